@@ -8,6 +8,7 @@ import uuid
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 _alone: list[str] = []
@@ -50,7 +51,7 @@ def ordered_offsets(df: DataFrame, order: list[str], size: str, out: str = "star
     """
     spark = df.sparkSession
     n = shuffle_partitions(spark)
-    schema = df.schema.add("pid", "int").add("inner", "long")
+    schema = T.StructType([*df.schema.fields, T.StructField("pid", T.IntegerType()), T.StructField("inner", T.LongType())])
     at = df.columns.index(size)
 
     def count(batches):

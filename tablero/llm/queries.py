@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .op01_packing import pack
+from .op02_warc import warc_round_trip
+from .op05_toxicity import toxicity
+from .op06_quality import quality_scores
 from .op09_exact_dedup import exact_dedup
 from .op10_mixing import mix
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,9 +40,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_warc, op5_toxicity, op6_quality, op9_exact_dedup, op10_mixing)}
 
 
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+h AS (SELECT page_id, octet_length(raw) AS n, sha1(raw) AS hex, max(page_id) OVER (PARTITION BY raw) AS best FROM p),
+b AS (SELECT *, list_aggregate(list_transform(range(40), lambda i: lpad(bin((('0x' || hex[i + 1])::INTEGER)), 4, '0')), 'string_agg', '') AS bits FROM h)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (16 * bits[5 * i + 1]::INTEGER + 8 * bits[5 * i + 2]::INTEGER + 4 * bits[5 * i + 3]::INTEGER
+            + 2 * bits[5 * i + 4]::INTEGER + bits[5 * i + 5]::INTEGER + 1)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = best THEN NULL ELSE best END::BIGINT AS refers_to
+FROM b
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
@@ -65,4 +98,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
