@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .op01_packing import pack
 from .op02_warc import warc_round_trip
+from .op03_ngram_join import ngram_join
 from .op05_toxicity import toxicity
 from .op06_quality import quality_scores
+from .op07_topk import top_k
 from .op09_exact_dedup import exact_dedup
 from .op10_mixing import mix
 
@@ -23,6 +25,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +37,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -40,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_warc, op5_toxicity, op6_quality, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_warc, op3_ngram_join, op5_toxicity, op6_quality, op7_topk, op9_exact_dedup, op10_mixing)}
 
 
 OP2_SQL = r"""
@@ -56,6 +66,17 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 FROM b
 """
 
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w::DOUBLE[], c.w::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
@@ -98,4 +119,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op7_topk": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
