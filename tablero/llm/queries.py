@@ -10,9 +10,11 @@ from .common import table
 from .op01_packing import pack
 from .op02_warc import warc_round_trip
 from .op03_ngram_join import ngram_join
+from .op04_substring_dedup import repeated_units
 from .op05_toxicity import toxicity
 from .op06_quality import quality_scores
 from .op07_topk import top_k
+from .op08_pitman_yor import score
 from .op09_exact_dedup import exact_dedup
 from .op10_mixing import mix
 
@@ -29,6 +31,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +47,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,8 +59,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_warc, op3_ngram_join, op5_toxicity, op6_quality, op7_topk, op9_exact_dedup, op10_mixing)}
+    """All queries of the subpackage; the pipeline counts as part of it."""
+    own = (op1_packing, op2_warc, op3_ngram_join, op4_substring_dedup, op5_toxicity, op6_quality, op7_topk, op8_pitman_yor, op9_exact_dedup, op10_mixing)
+    return {f.__name__: f for f in (*own, pipeline)}
 
 
 OP2_SQL = r"""
@@ -66,6 +84,24 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 FROM b
 """
 
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL),
+u AS (
+  SELECT doc_id, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+         length(line) AS n, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
+h AS (
+  SELECT doc_id, start, start + n AS "end", len(w)::BIGINT AS words,
+         md5(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS digest
+  FROM u WHERE len(w) >= 10),
+g AS (
+  SELECT *, first_value(doc_id) OVER f AS first_doc_id, first_value(start) OVER f AS first_start, count(*) OVER (PARTITION BY digest) AS copies
+  FROM h WINDOW f AS (PARTITION BY digest ORDER BY doc_id, start))
+SELECT doc_id, start, "end", words, digest, first_doc_id, first_start, copies FROM g
+WHERE NOT (doc_id = first_doc_id AND start = first_start)
+"""
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
@@ -119,4 +155,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op7_topk": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_topk": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
