@@ -1 +1,3 @@
-"""Part of the tablero library."""
+"""Scalar functions as Column expressions."""
+
+from .scalars import *  # noqa: F403

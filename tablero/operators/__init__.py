@@ -1 +1,3 @@
-"""Part of the tablero library."""
+"""DataFrame operators over the silver tables; every key list starts with league and season unless told otherwise."""
+
+KEYS = ("league", "season")

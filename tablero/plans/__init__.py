@@ -1 +1,6 @@
-"""Part of the tablero library."""
+"""Registered queries over the driver tables, and the same results in SQL."""
+
+from .oracle import oracle_sql
+from .queries import queries
+
+__all__ = ["oracle_sql", "queries"]

@@ -1 +1 @@
-"""Part of the tablero library."""
+"""Readers, writers and page extraction."""

@@ -1 +1,5 @@
-"""Part of the tablero library."""
+"""Structured Streaming jobs."""
+
+from .ingest import ingest_stream
+
+__all__ = ["ingest_stream"]
