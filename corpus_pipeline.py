@@ -24,7 +24,7 @@ from tablero.llm.op10_mixing import mixed_documents
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``ids`` (null-safe)."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(ids.select(F.col("doc_id").alias("__kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,11 +139,13 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     A document taken k times in full comes k times; one whose stream ends inside it adds a copy cut after the
     words taken. Rows that the mix takes no word of are left out.
     """
-    picked = mix(docs, **how).where("taken > 0").select("doc_id", "size", "taken")
-    rows = docs.join(picked, docs["doc_id"].eqNullSafe(picked["doc_id"])).drop(picked["doc_id"])
-    rows = rows.withColumn("whole", F.floor(F.col("taken") / F.col("size"))).withColumn("rest", F.col("taken") % F.col("size"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("whole") + F.when(F.col("rest") > 0, 1).otherwise(0))))
-    cut = F.array_join(F.slice(F.split(F.trim("text"), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("rest").cast("int")), " ")
-    text = F.when(F.col("copy") <= F.col("whole"), F.col("text")).otherwise(cut)
-    out = rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("copy") <= F.col("whole"), F.col("n_chars")).otherwise(F.length("text")))
+    picked = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    rows = docs.join(picked, F.col("doc_id").eqNullSafe(F.col("__id")))
+    rows = rows.withColumns({"__whole": F.floor(F.col("__taken") / F.col("__size")), "__rest": F.col("__taken") % F.col("__size")})
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__whole") + F.when(F.col("__rest") > 0, 1).otherwise(0))))
+    whole = F.col("__copy") <= F.col("__whole")
+    cut = F.array_join(F.slice(F.split(F.trim("text"), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("__rest").cast("int")), " ")
+    out = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")))
     return out.select(*docs.columns)
