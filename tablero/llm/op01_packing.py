@@ -32,13 +32,15 @@ LENGTH = 4096
 END_ID = 2
 DIMS, BITS = 4, 12
 #: Remembered runs per worker process; the memory starts anew beyond it.
-MEMORY = 800_000
+MEMORY = 1_000_000
 PORTION = 4_000_000
 _SPACE = re.compile("[ \n\t\r]")
 #: What str.split parts at besides _SPACE.
 _RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\t\r"]
-#: Fixed: the vocabulary's own split pattern, for lower-cased ASCII.
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\s0-9a-z]+")
+#: Runs whose characters have no composition and only simple case: printable ASCII and the Latin-1 letters.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Fixed: the vocabulary's own split pattern, for lower-cased runs of that kind.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def default_vocabulary() -> str:
@@ -54,11 +56,17 @@ class RunTokenizer:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same merges for parts that are split and lower-cased already
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.ask = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.runs: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
 
@@ -70,21 +78,24 @@ class RunTokenizer:
         return cls._loaded[path]
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        get, cut, missing = self.runs.get, [], set()
+        get, cut, missing, gaps = self.runs.get, [], set(), []
         for text in texts:
-            pairs = []
+            streams = []
             for part in portions(text):
                 runs = runs_of(part)
                 found = list(map(get, runs))
                 if None in found:
-                    missing.update(r for r, f in zip(runs, found) if f is None)
-                else:
-                    runs = None
-                pairs.append((runs, found))
-            cut.append(pairs)
+                    holes = [(i, runs[i]) for i, f in enumerate(found) if f is None]
+                    missing.update(r for _, r in holes)
+                    gaps.append((found, holes))
+                streams.append(found)
+            cut.append(streams)
         self.learn(list(missing))
-        known, tail = self.runs.__getitem__, np.array([end], self.kind).tobytes()
-        out = [b"".join([*(b"".join(map(known, runs) if runs else found) for runs, found in pairs), tail]) for pairs in cut]
+        known, tail = self.runs, np.array([end], self.kind).tobytes()
+        for found, holes in gaps:
+            for i, r in holes:
+                found[i] = known[r]
+        out = [b"".join([*map(b"".join, streams), tail]) for streams in cut]
         if len(self.runs) > MEMORY:
             self.runs = {"": b""}
         if len(self.parts) > MEMORY:
@@ -92,15 +103,29 @@ class RunTokenizer:
         return out
 
     def learn(self, new: list[str]) -> None:
-        """ASCII runs share the ids of their lower-cased parts; other runs are asked for whole."""
-        split, parts = {}, self.parts
+        """Runs of plain Latin letters share the ids of their lower-cased parts; other runs are asked for whole."""
+        split, odd, parts = {}, [], self.parts
         for run in new:
-            split[run] = _PARTS.findall(run.lower()) if run.isascii() and run.isprintable() and "<|" not in run else [run]
+            if _PLAIN.fullmatch(run) and "<|" not in run:
+                split[run] = _PARTS.findall(run.lower())
+            else:
+                odd.append(run)
         ask = list({p for found in split.values() for p in found if p not in parts})
-        for p, found in zip(ask, self.ask(ask, add_special_tokens=False)):
-            parts[p] = np.array(found.ids, self.kind).tobytes()
+        for at in range(0, len(ask), 8192):
+            some = ask[at : at + 8192]
+            found = self.plain.encode_batch_fast([" ".join(some[i : i + 64]) for i in range(0, len(some), 64)], add_special_tokens=False)
+            ids = np.array([i for f in found for i in f.ids], self.kind)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize  # the last id of a part carries the word end
+            if len(cuts) != len(some):
+                raise ValueError("the vocabulary does not mark word ends")
+            raw, low = ids.tobytes(), 0
+            for p, high in zip(some, cuts.tolist()):
+                parts[p] = raw[low:high]
+                low = high
         for run, found in split.items():
             self.runs[run] = parts[found[0]] if len(found) == 1 else b"".join([parts[p] for p in found])
+        for run, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            self.runs[run] = np.array(found.ids, self.kind).tobytes()
 
 
 def runs_of(text: str) -> list[str]:
