@@ -185,4 +185,27 @@ def oracle_sql() -> dict[str, str]:
     q["head_to_head"] = f"WITH {FACTORS} SELECT team, rival, count(*) FILTER (pts > opts) AS wins, count(*) FILTER (NOT pts > opts) AS losses FROM f WHERE opts IS NOT NULL AND team = 'O' AND rival = 'F' GROUP BY team, rival"
     q["foul_trouble"] = f"WITH {BOX} SELECT player, avg((pf >= 4)::INT) AS foul_trouble FROM box GROUP BY player"
     q["rotation"] = f"""WITH {BOX}, p AS (SELECT supplier AS team, player, avg(seconds) AS min_per_game FROM box GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY min_per_game DESC, player) AS rank FROM p) SELECT * FROM r WHERE rank <= 8"""
+    sides = """b AS (SELECT game, kind, p, team, TRUE AS own FROM x UNION ALL SELECT game, kind, p, rival, FALSE FROM x)"""
+    q["clutch_team"] = f"""WITH {ACTIONS}, x AS (SELECT * FROM act WHERE period >= 4 AND clock <= 300 AND team IS NOT NULL), {sides},
+        t AS (SELECT team, count(DISTINCT game) AS games, coalesce(sum(p) FILTER (own), 0)::BIGINT AS pts, coalesce(sum(p) FILTER (NOT own), 0)::BIGINT AS opp_pts,
+        round(sum(CASE WHEN own AND kind IN ('CANASTA-2P', 'CANASTA-3P', 'TIRO2-FALLADO', 'TIRO3-FALLADO', 'PERDIDA') THEN 1.0::DOUBLE WHEN own AND kind IN ('CANASTA-1P', 'TIRO1-FALLADO') THEN 0.44::DOUBLE ELSE 0 END), 6) AS poss,
+        count(*) FILTER (own AND kind IN ('CANASTA-2P', 'CANASTA-3P', 'TIRO2-FALLADO', 'TIRO3-FALLADO')) AS fga, count(*) FILTER (own AND kind IN ('CANASTA-2P', 'CANASTA-3P')) AS fgm, count(*) FILTER (own AND kind = 'PERDIDA') AS tov,
+        count(*) FILTER (own AND kind = 'CANASTA-3P') AS m3 FROM b GROUP BY team) SELECT team, games, pts, opp_pts, poss, fga, fgm, tov, (fgm + 0.5::DOUBLE * m3) / nullif(fga, 0) AS efg_pct FROM t"""
+    q["overtime_record"] = f"WITH {GAMES}, {ACTIONS} SELECT team, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses FROM g WHERE game % 400 IN (SELECT game FROM act WHERE period >= 5) GROUP BY team"
+    q["stretch_points"] = f"WITH {ACTIONS}, x AS (SELECT * FROM act WHERE period = 3 AND clock >= 420 AND kind LIKE 'CANASTA%'), {sides} SELECT game, team, coalesce(sum(p) FILTER (own), 0)::BIGINT AS pts, coalesce(sum(p) FILTER (NOT own), 0)::BIGINT AS opp_pts FROM b GROUP BY game, team"
+    q["phase_comparison"] = f"""WITH {FACTORS}, p AS (SELECT team, date >= DATE '2000-01-01' AS late, count(*) AS games, sum(pts)::BIGINT AS pts, sum(fgm)::BIGINT AS fgm, sum(fg3m)::BIGINT AS m3, sum(fga)::BIGINT AS fga FROM f WHERE opts IS NOT NULL GROUP BY 1, 2)
+        SELECT team, max(games) FILTER (NOT late) AS games_regular, max(games) FILTER (late) AS games_playoff, max(pts / games) FILTER (NOT late) AS pts_per_game_regular, max(pts / games) FILTER (late) AS pts_per_game_playoff,
+        max((fgm + 0.5::DOUBLE * m3) / fga) FILTER (late) - max((fgm + 0.5::DOUBLE * m3) / fga) FILTER (NOT late) AS efg_pct_change FROM p GROUP BY team"""
+    q["recent_form"] = f"WITH {FACTORS}, b AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY date DESC, game DESC) AS back FROM f WHERE opts IS NOT NULL) SELECT team, game, back, ortg - drtg AS net_rating FROM b WHERE back <= 10"
+    q["usage_per_game"] = f"""WITH {BOX}, p AS (SELECT supplier AS team, game, player, sum(seconds)::BIGINT AS seconds, sum(fg2a + fg3a)::BIGINT + 0.44::DOUBLE * sum(fta)::BIGINT + sum(tov)::BIGINT AS used FROM box GROUP BY ALL), q AS (SELECT * FROM p WHERE seconds > 0),
+        u AS (SELECT *, used / nullif((seconds / 2400.0::DOUBLE) * sum(used) OVER (PARTITION BY team, game), 0) AS usage FROM q),
+        m AS (SELECT team, player FROM (SELECT team, player, row_number() OVER (PARTITION BY team ORDER BY sum(seconds) DESC, player) AS r FROM q GROUP BY team, player) WHERE r <= 5)
+        SELECT team, game, player, round(usage, 6) AS usage FROM u SEMI JOIN m USING (team, player)"""
+    q["allowed_zones"] = f"""WITH {SHOTS}, {ZONES} SELECT (team + 1) % 20 AS team, count(*) AS shots, count(*) FILTER (report = 'paint') AS paint_att, count(*) FILTER (report = 'mid') AS mid_att, count(*) FILTER (report = 'triple') AS triple_att,
+        count(*) FILTER (report = 'paint' AND result = 'CONVERTIDO') / nullif(count(*) FILTER (report = 'paint'), 0) AS paint_efg FROM zc GROUP BY 1"""
+    q["executive_comparison"] = f"""WITH {FACTORS}, o AS (SELECT *, pts > opts AS won, row_number() OVER (PARTITION BY team ORDER BY date DESC, game DESC) AS back FROM f WHERE opts IS NOT NULL),
+        w AS (SELECT team, count(*)::DOUBLE AS games, sum(pts) / count(*) AS pts_per_game, (count(*) FILTER (won))::DOUBLE AS wins_h2h, (count(*) FILTER (NOT won))::DOUBLE AS losses_h2h, (count(*) FILTER (won AND back <= 10))::DOUBLE AS wins_last10,
+              CASE WHEN team = 'O' THEN (count(*) FILTER (won))::DOUBLE END AS wins_home, CASE WHEN team = 'F' THEN (count(*) FILTER (won))::DOUBLE END AS wins_away FROM o GROUP BY team),
+        l AS (SELECT team, u.metric, u.value FROM w, LATERAL (VALUES ('games', games), ('pts_per_game', pts_per_game), ('wins_h2h', wins_h2h), ('losses_h2h', losses_h2h), ('wins_last10', wins_last10), ('wins_home', wins_home), ('wins_away', wins_away)) u(metric, value))
+        SELECT metric, max(value) FILTER (team = 'O') AS a, max(value) FILTER (team = 'F') AS b FROM l GROUP BY metric"""
     return q

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from ..operators import documented as dc
 from ..operators import events as ev
 from ..operators import history as hi
 from ..operators import lineups as li
@@ -326,6 +327,45 @@ def zone_rules(spark, sf):
     return rows.groupBy("zone", "model", "report", "document").agg(F.count("*").alias("n"))
 
 
+def clutch_team(spark, sf):
+    out = dc.clutch_team_report(roles.actions(spark, sf), (F.col("period") >= 4) & (F.col("clock") <= 300), GAME, keys=())
+    return out.select("team", "games", "pts", "opp_pts", F.round("poss", 6).alias("poss"), "fga", "fgm", "tov", "efg_pct")
+
+
+def overtime_record(spark, sf):
+    games = roles.games(spark, sf).withColumn("game", F.col("game") % 400)
+    return dc.overtime_record(roles.actions(spark, sf), games, keys=())
+
+
+def stretch_points(spark, sf):
+    return dc.stretch_points(roles.actions(spark, sf), 3, 180, game=GAME)
+
+
+def phase_comparison(spark, sf):
+    rows = _opponents(spark, sf).withColumn("phase", F.when(F.col("date") >= "2000-01-01", "playoff").otherwise("regular"))
+    return dc.phase_comparison(rows, keys=()).select("team", "games_regular", "games_playoff", "pts_per_game_regular", "pts_per_game_playoff", "efg_pct_change")
+
+
+def recent_form(spark, sf):
+    rows = _factors(spark, sf).where("opp_pts is not null")
+    return dc.recent_form(rows, 10, keys=()).select("team", "game", "back", "net_rating")
+
+
+def usage_per_game(spark, sf):
+    rows = roles.box_rows(spark, sf).groupBy(F.col("supplier").alias("team"), "game", "player").agg(*(F.sum(c).alias(c) for c in ("seconds", "fg2a", "fg3a", "fta", "tov"))).withColumn("fga", F.col("fg2a") + F.col("fg3a"))
+    return dc.usage_per_game(rows, keys=()).select("team", "game", "player", F.round("usage", 6).alias("usage"))
+
+
+def allowed_zones(spark, sf):
+    shots = roles.shots(spark, sf).withColumn("rival", (F.col("team") + 1) % 20)
+    return dc.allowed_zones(shots, keys=()).select("team", "shots", "paint_att", "mid_att", "triple_att", "paint_efg")
+
+
+def executive_comparison(spark, sf):
+    out = dc.executive_comparison(_opponents(spark, sf), "O", "F", keys=())
+    return out.where(F.col("metric").isin("games", "pts_per_game", "wins_h2h", "losses_h2h", "wins_last10", "wins_home", "wins_away"))
+
+
 def _model_rows(spark, sf):
     g = roles.games(spark, sf).withColumns({"win": F.col("won").cast("int"), "home": F.col("is_home").cast("int"), "form": F.col("pts") / 1e7})
     g = hi.ewm_before(g, ["team"], ["date", "game"], ["form"])
@@ -376,7 +416,7 @@ def _own() -> list[Callable]:
         win_loss_diff, streaks, rest_buckets, bursts, player_season, zscore, similar_topk, compare_pair, score_ffill, quarter_delta, quarter_points, pace_weighted, clutch_net, clutch_share, assist_pairs,
         second_chance, rebound_result, after_turnover, lineup_segments, lineup_facts, zone_profile, zone_distribution, zone_vs_league, jersey_map, shot_cell_parse, name_split, clock_parse, date_stadium,
         link_extract, dedupe_first, json_explode, incremental_new, time_folds, temporal_cut, auc_logloss, fixture_state_join, percentile_profile, half_season_trend, player_report, head_to_head, foul_trouble,
-        rotation, zone_rules, winprob_fit, winprob_cv, winprob_platt, stream_ingest,
+        rotation, zone_rules, clutch_team, overtime_record, stretch_points, phase_comparison, recent_form, usage_per_game, allowed_zones, executive_comparison, winprob_fit, winprob_cv, winprob_platt, stream_ingest,
     ]
 
 
