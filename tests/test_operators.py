@@ -94,8 +94,6 @@ def test_players_on_court_against_a_set_loop(events, stream):
 
 
 def test_ewm_matches_pandas_and_does_not_leak(spark):
-    import pandas as pd
-
     rng = random.Random(3)
     rows = [(k, i, None if rng.random() < 0.15 else rng.random()) for k in range(3) for i in range(40)]
     got = hi.ewm_before(spark.createDataFrame(rows, "team long, game long, x double"), ["team"], ["game"], ["x"]).toPandas().sort_values(["team", "game"])
