@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import ordered_offsets, shared_dir, shuffle_partitions, staged
 
-ROLL_BYTES = 256 << 20
-SHARD_BYTES = 1 << 30
+ROLL_BYTES = 64 << 20
+SHARD_BYTES = 512 << 20
 LEAST_SHARDS = 64
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"

@@ -12,14 +12,12 @@ without labels); repeated rows are scored each; extra columns are ignored; an em
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .textops import LOWER, byte_buffer, hashed_rows, slices, word_hashes, word_spans
+from .textops import byte_buffer, slices, word_hashes, word_spans
 
 #: Byte classes: 0 other, 1 lower, 2 upper, 3 digit, 4 white space, 5 sentence marks, 6 loud marks, 7 symbols, 8 bars and brackets, 9 non-ASCII
 _KINDS = (("abcdefghijklmnopqrstuvwxyz", 1), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), ("0123456789", 3), (" \t\n\x0b\x0c\r", 4), (".,;:'\"?-", 5), ("!", 6), ("#$%&*+=@^~", 7), ("|<>[]{}()/\\_`", 8))
