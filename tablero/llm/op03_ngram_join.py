@@ -4,7 +4,8 @@ A text's set: the hashes of its distinct word shingles. Equal sets are one node.
 shingles of rare sketch cells first (a fixed-size count sketch over all documents gives the
 rarity) and breaks ties by another hash; sets that reach the threshold share a token of their prefixes
 under each order. Pairs come from the first order's prefixes, must share prefix tokens under the
-other orders as well, and are then verified on whole sets.
+other orders as well, and are then verified on whole sets. Between the two, a parity sketch of each set (as many bits
+as tokens) bounds the symmetric difference from below and drops pairs that cannot reach the threshold.
 
 A token's bucket is never expanded into all its pairs. First each member meets the bucket's first
 member of its size and its neighbour in a random order of the bucket; verified links are joined to
@@ -115,31 +116,59 @@ def least_size(percent: int) -> int:
     return -(-percent // (100 - percent))
 
 
-def postings(docs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """token, sig, n: prefix postings under the first order; copies within a task count once."""
+HEADS = [f"head{k}" for k in range(1, ORDERS)]
+
+
+def parity(tokens: np.ndarray) -> bytes:
+    """Parity of the number of tokens in each of at least 256 and about n cells, as bits."""
+    cells_ = 1 << max(8, (len(tokens) - 1).bit_length())
+    at = (mix(tokens ^ np.uint64(0x7F4A7C15)) & np.uint64(cells_ - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells_) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference: differing cells, the larger sketch folded to the size of the smaller."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
+    """Rows of two kinds: (token, sig, n), prefix postings under the first order; and (sig, n, parity, heads), a set's parity
+    sketch and its prefixes under the other orders, cut to 32 bits each (they only filter). Copies within a task count once."""
     least = least_size(percent)
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        names, ints = ["token", "n", "sig", "parity", *HEADS], pa.list_(pa.int32())
         seen: set[int] = set()
         for b in batches:
-            tokens, sigs, sizes = [], [], []
+            tokens, sigs, sizes, heads, bits = [], [], [], [], []
             for _, s in text_sets(b.column(0), width):
                 if len(s) < least:
                     continue
                 if (name := signature(s)) in seen:
                     continue
-                if len(seen) < 1_000_000:  # copies beyond come twice and fold in their bucket
+                if len(seen) < 1_000_000:  # copies beyond come twice and fold later
                     seen.add(name)
-                head = ordered(s, classes, 0, prefix_length(len(s), percent))
-                tokens.append(head)
-                sigs.append(np.full(len(head), name, np.int64))
-                sizes.append(np.full(len(head), len(s), np.int64))
+                p = prefix_length(len(s), percent)
+                tokens.append(ordered(s, classes, 0, p))
+                sigs.append(name)
+                sizes.append(len(s))
+                bits.append(parity(s))
+                heads.append([(ordered(s, classes, k, p) >> np.uint64(33)).astype(np.int32) for k in range(1, ORDERS)])
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sizes))], names=["token", "sig", "n"])
+                n = [len(t) for t in tokens]
+                no = pa.nulls(sum(n), ints)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.repeat(sizes, n)), pa.array(np.repeat(sigs, n)), pa.nulls(sum(n), pa.binary()), *[no] * len(HEADS)], names=names)
+                none = pa.nulls(len(n), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(bits, pa.binary()), *(pa.array([h[k] for h in heads], ints) for k in range(len(HEADS)))], names=names)
 
-    return docs.select("text").mapInArrow(run, "token long, sig long, n long")
+    return docs.select("text").mapInArrow(run, "token long, n long, sig long, parity binary, " + ", ".join(f"{h} array<int>" for h in HEADS))
 
 
 def buckets(batches) -> Iterator[tuple[np.ndarray, ...]]:
@@ -241,8 +270,8 @@ def shared_postings(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "token long, n long, sig long")
 
 
-def candidate_sets(docs: DataFrame, reps: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """sig, n, heads (prefixes under the other orders), tokens, for the documents named in ``reps``.
+def whole_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """sig, n, tokens of the documents named in ``reps`` (and of a few more).
 
     A bitmap of 2**FILTER_BITS hashed ids (2 MB, whatever the number of documents) keeps most others from being read into sets.
     """
@@ -251,9 +280,7 @@ def candidate_sets(docs: DataFrame, reps: DataFrame, classes: np.ndarray, width:
     table = np.zeros(1 << FILTER_BITS, np.uint8)
     for r in marked.collect():  # bit k of bucket b, counted from 1, stands for (b - 1) * 32768 + k
         bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-        at = (r["no"] - 1) * 32768
-        chunk = bits[: max(0, min(len(bits), len(table) - at))]
-        table[at : at + len(chunk)] = chunk
+        table[(r["no"] - 1) * 32768 :][: len(bits)] = bits
     packed = np.packbits(table)
 
     def run(batches) -> Iterator:
@@ -263,29 +290,42 @@ def candidate_sets(docs: DataFrame, reps: DataFrame, classes: np.ndarray, width:
         for whole in batches:
             whole = whole.filter(pa.array(wanted[whole.column(1).to_numpy(zero_copy_only=False)]))
             for at in range(0, whole.num_rows, 256):
-                rows = []
-                for _, s in text_sets(whole.slice(at, 256).column(0), width):
-                    if len(s) >= least_size(percent):
-                        p = prefix_length(len(s), percent)
-                        rows.append((signature(s), len(s), *(ordered(s, classes, k, p).astype(np.int64) for k in range(1, ORDERS)), s.astype(np.int64)))
-                if rows:
-                    kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * ORDERS)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["sig", "n", *(f"head{k}" for k in range(1, ORDERS)), "tokens"])
+                sets = [s for _, s in text_sets(whole.slice(at, 256).column(0), width)]
+                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sig", "n", "tokens"])
+
+    return docs.select("text", bit("doc_id").alias("bit")).mapInArrow(run, "sig long, n long, tokens array<long>")
+
 
-    heads = ", ".join(f"head{k} array<long>" for k in range(1, ORDERS))
-    return docs.select("text", bit("doc_id").alias("bit")).mapInArrow(run, f"sig long, n long, {heads}, tokens array<long>")
+def _sides(sets: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    a, b = (sets.select(F.col("sig").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
+    return a, b
+
+
+def sharing(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity sketches allow the threshold and that share a prefix token under every other order."""
+
+    def close(batches) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            n_a, n_b = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+            apart = np.fromiter((least_difference(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(5).to_pylist())), np.int64, b.num_rows)
+            keep = apart * (100 + percent) <= (n_a + n_b) * (100 - percent)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+
+    a, b = _sides(heads, ["n", "parity"])
+    pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "parity_a", "n_b", "parity_b").mapInArrow(close, "a long, b long")
+    for h in HEADS:
+        a, b = _sides(heads, [h])
+        pairs = pairs.join(a, "a").join(b, "b").where(F.arrays_overlap(f"{h}_a", f"{h}_b")).select("a", "b")
+    return pairs
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets share prefix tokens under every other order and reach the threshold."""
-    heads = [f"head{k}" for k in range(1, ORDERS)]
-    sides = lambda side, cols: sets.select(F.col("sig").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in cols))
-    kept = pairs.join(sides("a", heads), "a").join(sides("b", heads), "b")
-    for h in heads:
-        kept = kept.where(F.arrays_overlap(f"{h}_a", f"{h}_b"))
-    whole = kept.select("a", "b").join(sides("a", ["n", "tokens"]), "a").join(sides("b", ["n", "tokens"]), "b")
+    """The pairs whose whole sets reach the threshold."""
+    a, b = _sides(sets, ["n", "tokens"])
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return whole.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -294,20 +334,28 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     texts = rows.where("block is null").select("doc_id", "n", "sig")
     classes = rarity(rows.where("block is not null").select("block", "counts"))
     reps = staged(texts.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    shared = staged(shared_postings(postings(docs, classes, width, percent)))
-    asked = shared.select("sig").distinct().join(reps, "sig")
-    sets = staged(candidate_sets(docs, asked, classes, width, percent).dropDuplicates(["sig"]))
-
+    found = staged(prefixes(docs, classes, width, percent))
+    shared = staged(shared_postings(found.where("token is not null")))
+    heads = staged(found.where("token is null").select("sig", "n", "parity", *HEADS).join(shared.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]))
     parts = shuffle_partitions(docs.sparkSession)
     dealt = lambda df: df.repartition(parts, "token").sortWithinPartitions("token", "n", "sig")
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+
     tested = staged(first_pairs(dealt(shared), percent).distinct())
-    links = staged(verified(tested, sets, percent))
+    near = staged(sharing(tested, heads, percent))
+    sets = staged(whole_sets(docs, ends(near).join(reps, "sig"), width))
+    links = staged(verified(near, sets, percent).distinct())
+
     label = components(links).withColumnRenamed("node", "sig")
     named = shared.join(label, "sig", "left").select("token", "n", "sig", F.coalesce("component", "sig").alias("component"))
-    rest = staged(cross_pairs(dealt(named), percent).distinct().join(tested, ["a", "b"], "left_anti"))
-    more = verified(rest, sets, percent)
-
-    found = components(links.unionByName(more)).withColumnRenamed("node", "sig")
+    rest = cross_pairs(dealt(named), percent).distinct().join(tested, ["a", "b"], "left_anti")
+    rest = staged(sharing(rest, heads, percent))
+    unread = staged(ends(rest).join(sets.select("sig"), "sig", "left_anti").join(reps, "sig"))
+    if not unread.isEmpty():
+        sets = sets.unionByName(staged(whole_sets(docs, unread, width)))
+    links = links.unionByName(verified(rest, sets, percent))
+
+    found = components(links).withColumnRenamed("node", "sig")
     named_sets = reps.join(found, "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("component"))
     smallest = named_sets.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = staged(named_sets.join(smallest, "component").select("sig", "component_id"))
