@@ -18,11 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts per Arrow batch: a batch is in memory in the executor and in its Python worker at once.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, for texts are long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share (spark.checkpoint.dir).
 
     Only where the setting is absent, as in tests on one machine, a temporary folder stands in.
     """
+    bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not _alone:

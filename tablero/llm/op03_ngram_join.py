@@ -4,8 +4,8 @@ A text's set: the hashes of its distinct word shingles. Equal sets are one node.
 shingles of rare sketch cells first (a fixed-size count sketch over all documents gives the
 rarity) and breaks ties by another hash; sets that reach the threshold share a token of their prefixes
 under each order. Pairs come from the first order's prefixes, must share prefix tokens under the
-other orders as well, and are then verified on whole sets. Between the two, a parity sketch of each set (as many bits
-as tokens) bounds the symmetric difference from below and drops pairs that cannot reach the threshold.
+other orders as well, and are then verified on whole sets. Between the two, a parity sketch of each set (about as many
+bits as tokens) bounds the symmetric difference from below and drops pairs that cannot reach the threshold.
 
 A token's bucket is never expanded into all its pairs. First each member meets the bucket's first
 member of its size and its neighbour in a random order of the bucket; verified links are joined to
@@ -36,6 +36,7 @@ WIDTH, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_BLOCK = 20, 4096
 ORDERS = 3
 FILTER_BITS = 24
+SKETCH_CELLS = 11
 
 
 def text_sets(column, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -120,8 +121,8 @@ HEADS = [f"head{k}" for k in range(1, ORDERS)]
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """Parity of the number of tokens in each of at least 256 and about n cells, as bits."""
-    cells_ = 1 << max(8, (len(tokens) - 1).bit_length())
+    """Parity of the number of tokens in each of about n cells (256 to 2**SKETCH_CELLS), as bits."""
+    cells_ = 1 << min(max(8, (len(tokens) - 1).bit_length()), SKETCH_CELLS)
     at = (mix(tokens ^ np.uint64(0x7F4A7C15)) & np.uint64(cells_ - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=cells_) & 1).astype(np.uint8)).tobytes()
 
@@ -214,45 +215,75 @@ def pair_batches(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 100
 
 
 def first_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sigs: with the bucket's first member of the size class, and with the neighbour in a random order."""
+    """Pairs (a, b) of sigs that the sketches allow: with the bucket's first member of the size class, with the neighbour by
+    size, and with the neighbour in a random order of the bucket. Rows: token, n, sig, parity."""
 
-    def one(token: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def one(token, n, sig, parities) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         new = np.r_[True, sig[1:] != sig[:-1]]  # sorted by n, sig: copies are neighbours
-        n, sig = n[new], sig[new]
+        n, sig, parities = n[new], sig[new], parities[new]
         if len(sig) < 2:
             return
-        at = 0
+        widths, sketches, at, left, right = np.array([len(p) for p in parities]), folded(list(parities)), 0, [], []
         while at < len(n):
             end = int(np.searchsorted(n, n[at] * 100 // percent, "right"))
-            yield np.full(end - at - 1, sig[at]), sig[at + 1 : end]
+            right.append(np.arange(at + 1, end))
+            left.append(np.full(end - at - 1, at))
             at = end
         order = np.argsort(mix(sig.astype(np.uint64) ^ token[:1].astype(np.uint64)))
-        a, b = order[:-1], order[1:]
-        ok = near_sizes(n[a], n[b], percent)
-        yield sig[a[ok]], sig[b[ok]]
-        steps = np.arange(len(n) - 1)  # neighbours by size: two size classes meet at their border
-        ok = near_sizes(n[steps], n[steps + 1], percent)
-        yield sig[steps[ok]], sig[steps[ok] + 1]
+        left += [np.minimum(order[:-1], order[1:]), np.arange(len(n) - 1)]
+        right += [np.maximum(order[:-1], order[1:]), np.arange(1, len(n))]
+        i, j = np.concatenate(left), np.concatenate(right)
+        ok = near_sizes(n[i], n[j], percent)
+        i, j = i[ok], j[ok]
+        keep = np.zeros(len(i), bool)
+        for width, m in sketches.items():
+            own = np.flatnonzero(widths[i] == width)
+            apart = np.bitwise_count(m[i[own]] ^ m[j[own]]).sum(1, dtype=np.int64)
+            keep[own] = apart * (100 + percent) <= (n[i[own]] + n[j[own]]) * (100 - percent)
+        yield sig[i[keep]], sig[j[keep]]
 
-    return shared.mapInArrow(lambda bs: pair_batches(p for t, n, s in buckets(bs) for p in one(t, n, s)), "a long, b long")
+    return shared.mapInArrow(lambda bs: pair_batches(p for row in buckets(bs) for p in one(*row)), "a long, b long")
 
 
 def cross_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """All pairs of near sizes in a bucket (token, n, sig, component) whose components differ."""
+    """All pairs of a bucket (token, n, sig, parity, component) whose components differ and that sizes and sketches allow."""
 
-    def one(n: np.ndarray, sig: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def one(n, sig, parities, comp) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         new = np.r_[True, sig[1:] != sig[:-1]]
-        n, sig, comp = n[new], sig[new], comp[new]
+        n, sig, parities, comp = n[new], sig[new], parities[new], comp[new]
         if (comp == comp[0]).all():
             return
+        widths, sketches = np.array([len(p) for p in parities]), folded(list(parities))
         ends = np.searchsorted(n, n * 100 // percent, "right")
         for i in range(len(n)):
             j = np.arange(i + 1, ends[i])
-            j = j[comp[j] != comp[i]]
+            j = possible(i, j[comp[j] != comp[i]], n, widths, sketches, percent)
             if len(j):
                 yield np.full(len(j), sig[i]), sig[j]
 
-    return shared.mapInArrow(lambda bs: pair_batches(p for _, n, s, c in buckets(bs) for p in one(n, s, c)), "a long, b long")
+    return shared.mapInArrow(lambda bs: pair_batches(p for _, *row in buckets(bs) for p in one(*row)), "a long, b long")
+
+
+def folded(parities: list[bytes]) -> dict[int, np.ndarray]:
+    """Sketches as matrices by width in bytes; a wider sketch is folded to every narrower width in use."""
+    own = np.array([len(p) for p in parities])
+    out = {}
+    for width in sorted(set(own.tolist())):
+        rows = np.zeros((len(parities), width), np.uint8)
+        for k in np.flatnonzero(own >= width):
+            x = np.frombuffer(parities[k], np.uint8)
+            while len(x) > width:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            rows[k] = x
+        out[width] = rows
+    return out
+
+
+def possible(i: int, j: np.ndarray, n: np.ndarray, widths: np.ndarray, sketches: dict[int, np.ndarray], percent: int) -> np.ndarray:
+    """Those members j of a bucket whose sketches allow the threshold with member i (whose set is no larger)."""
+    m = sketches[widths[i]]
+    apart = np.bitwise_count(m[j] ^ m[i]).sum(1, dtype=np.int64)
+    return j[apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
@@ -261,9 +292,16 @@ def shared_postings(rows: DataFrame) -> DataFrame:
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        held, size = [], 0
         for t, n, s in buckets(batches):
             if (s != s[0]).any():
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n), pa.array(s)], names=["token", "n", "sig"])
+                held.append((t, n, s))
+                size += len(t)
+                if size >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["token", "n", "sig"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["token", "n", "sig"])
 
     parts = shuffle_partitions(rows.sparkSession)
     dealt = rows.select("token", "n", "sig").repartition(parts, "token").sortWithinPartitions("token", "n", "sig")
@@ -341,13 +379,15 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     dealt = lambda df: df.repartition(parts, "token").sortWithinPartitions("token", "n", "sig")
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
 
-    tested = staged(first_pairs(dealt(shared), percent).distinct())
+    # sketches travel with the postings, so that hopeless pairs never become rows
+    sketched = shared.join(heads.select("sig", "parity"), "sig").select("token", "n", "sig", "parity")
+    tested = staged(first_pairs(dealt(sketched), percent).distinct())
     near = staged(sharing(tested, heads, percent))
     sets = staged(whole_sets(docs, ends(near).join(reps, "sig"), width))
     links = staged(verified(near, sets, percent).distinct())
 
     label = components(links).withColumnRenamed("node", "sig")
-    named = shared.join(label, "sig", "left").select("token", "n", "sig", F.coalesce("component", "sig").alias("component"))
+    named = sketched.join(label, "sig", "left").select("token", "n", "sig", "parity", F.coalesce("component", "sig").alias("component"))
     rest = cross_pairs(dealt(named), percent).distinct().join(tested, ["a", "b"], "left_anti")
     rest = staged(sharing(rest, heads, percent))
     unread = staged(ends(rest).join(sets.select("sig"), "sig", "left_anti").join(reps, "sig"))

@@ -61,7 +61,7 @@ def byte_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes each (a longer text forms a range alone)."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
