@@ -1,8 +1,11 @@
-"""Substring deduplication by line hashing.
+"""Substring deduplication by hashing of lines, joined short lines and paragraphs.
 
-A text's units are its lines. A unit is normalised (A-Z lower-cased, runs of ASCII white space to one blank, ends stripped);
-units of at least MIN_WORDS words are grouped by digest over the whole corpus. The occurrence ranked first, by
-doc_id and offset, stays; all others are removed, each reported with its place in the original text.
+A text's units are its lines of at least MIN_WORDS words; from every shorter line on, the fewest lines that reach MIN_WORDS
+words together, so that a passage of short lines is seen wherever it stands; and its paragraphs (between lines without
+words) of several lines, so that it is seen however it is wrapped. A unit is normalised (A-Z lower-cased, runs of ASCII
+white space, line ends with them, to one blank, ends stripped) and grouped by digest over the whole corpus, whatever its kind. The
+occurrence ranked first, by doc_id and offset, stays; all others are removed, each reported with its place in the
+original text. MIN_WORDS only keeps out chance repeats of one to three words. Units may overlap; the removed text is their union.
 
 Defined cases: null and empty texts have no unit; rows without doc_id rank last; rows that repeat a doc_id are the same
 document, so a unit at the same offset of them is one occurrence; a unit repeated within a document is removed after its
@@ -20,20 +23,39 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-MIN_WORDS = 10
+MIN_WORDS = 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def units_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
     """start, end (code points, without the line end), words and digest of each unit."""
-    at = 0
+    lines, paragraph, at = [], 0, 0  # lines with words
     for line in text.split("\n"):
-        words = _WORD.findall(line)
-        if len(words) >= min_words:
-            yield at, at + len(line), len(words), hashlib.md5(" ".join(words).translate(_LOWER).encode("utf-8", "surrogatepass")).digest()
+        if words := _WORD.findall(line):
+            lines.append((at, at + len(line), words, paragraph))
+        else:
+            paragraph += 1
         at += len(line) + 1
 
+    def unit(i: int, j: int, words: list[str]) -> tuple[int, int, int, bytes]:
+        return lines[i][0], lines[j][1], len(words), hashlib.md5(" ".join(words).translate(_LOWER).encode("utf-8", "surrogatepass")).digest()
+
+    for i, (_, _, own, paragraph) in enumerate(lines):
+        words, j = own, i
+        while len(words) < min_words and j + 1 < len(lines):
+            j += 1
+            words = words + lines[j][2]
+        if len(words) >= min_words:
+            yield unit(i, j, words)
+        if i and lines[i - 1][3] == paragraph:
+            continue
+        last = i
+        while last + 1 < len(lines) and lines[last + 1][3] == paragraph:
+            last += 1
+        if last > i and last != j and sum(len(x[2]) for x in lines[i : last + 1]) >= min_words:
+            yield unit(i, last, [w for x in lines[i : last + 1] for w in x[2]])
+
 
 def hashed_units(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches) -> Iterator:
@@ -73,7 +95,7 @@ def without_repeats(docs: DataFrame, removed: DataFrame) -> DataFrame:
                 kept, at = [], 0
                 for cut in cuts or []:
                     kept.append(text[at : cut["start"]])
-                    at = cut["end"] + 1
+                    at = max(at, cut["end"] + 1)
                 texts.append(None if text is None else "".join(kept) + text[at:])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2)], names=["doc_id", "text", "spans"])
 

@@ -149,6 +149,18 @@ def test_substring_dedup(nasty, nasty_rows, empty, spark):
     assert op4.repeated_units(empty).count() == 0
 
 
+def test_substring_dedup_sees_passages_of_short_lines(spark):
+    words = [f"p{i}" for i in range(60)]
+    wrapped = lambda n: "\n".join(" ".join(words[i : i + n]) for i in range(0, 60, n))
+    texts = [f"own head a\n{wrapped(2)}\nown tail a", f"another\n{wrapped(2)}\nends so", f"x y\n\n{wrapped(9)}\n\nz", f"{wrapped(7)}", "one of nine words that stands in two texts\nq", "r\none of nine words that stands in two texts"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    removed = op4.repeated_units(docs)
+    cleaned = {r["doc_id"]: r["text"] for r in op4.without_repeats(docs, removed).collect()}
+    assert cleaned[0] == texts[0] and cleaned[1] == "another\nends so"  # one passage inside paragraphs of their own
+    assert cleaned[2] == texts[2] and cleaned[3] == ""  # one paragraph in another wrap
+    assert cleaned[4] == texts[4] and cleaned[5] == "r\n"
+
+
 def test_exact_dedup(nasty, nasty_rows, empty):
     groups = {}
     for i, t, *_ in nasty_rows:
