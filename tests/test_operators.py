@@ -8,6 +8,7 @@ from tablero.operators import events as ev
 from tablero.operators import history as hi
 from tablero.operators import lineups as li
 from tablero.operators import reports as rp
+from tablero.operators import shots as sh
 from tablero.operators import similarity as sm
 from tablero.operators import teamgame as tg
 from tablero.operators import winprob as wp
@@ -174,3 +175,10 @@ def test_plans_have_no_cartesian_product(spark):
     for name in ("four_factors_opponent", "ewm_form", "second_chance", "lineup_segments", "time_folds"):
         plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan, name
+
+
+def test_zone_distribution_keeps_zones_outside_the_dimension(spark):
+    rows = [("a", "Z1-IZ", "TIRO2", "CONVERTIDO"), ("a", "Z5-IZ", "TIRO2", "FALLADO"), ("b", "Z5-IZ", "TIRO2", "CONVERTIDO"), ("b", None, "TIRO2", "FALLADO")]
+    shots = spark.createDataFrame(rows, "team string, zone string, kind string, result string")
+    got = {(r["team"], r["zone"]): (r["att"], r["share"]) for r in sh.zone_distribution(shots, spark.createDataFrame([("Z1-IZ",), ("Z99-DE",)], "zone string"), ("team",)).collect()}
+    assert got == {("a", "Z1-IZ"): (1, 0.5), ("a", "Z5-IZ"): (1, 0.5), ("a", "Z99-DE"): (0, 0.0), ("b", "Z1-IZ"): (0, 0.0), ("b", "Z5-IZ"): (1, 1.0), ("b", "Z99-DE"): (0, 0.0)}
