@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -13,17 +14,27 @@ PAST = (Window.unboundedPreceding, -1)
 def ewm_before(df: DataFrame, key: Sequence[str], order: Sequence[str], metrics: Sequence[str], span: int = 10, suffix: str = "_ewm") -> DataFrame:
     """Exponentially weighted mean of all earlier rows: adjusted weights; nulls are skipped but keep their place.
 
-    Closed form sum(x q^-n) / sum(q^-n), q = 1 - 2 / (span + 1). Weights grow like q^-n, so keys should stay below about three thousand rows; a
-    team's season has some forty.
+    Closed form sum(x q^-n) / sum(q^-n), q = 1 - 2 / (span + 1), within blocks of rows of a key, whose weights stay below e^50; a block takes over
+    the decayed totals of the two before, which leaves out weights below e^-100 of the latest only. So keys may have any number of rows.
     """
-    q = 1 - 2 / (span + 1)
+    q = max(1 - 2 / (span + 1), 1e-20)
+    size = max(1, int(50 / -math.log(q)))
     w = Window.partitionBy(*key).orderBy(*order)
-    out = df.withColumn("_k", F.pow(F.lit(q), -F.row_number().over(w)))
-    past = w.rowsBetween(*PAST)
-    for m in metrics:
-        weight = F.when(F.col(m).isNotNull(), F.col("_k"))
-        out = out.withColumn(f"{m}{suffix}", F.try_divide(F.sum(F.col(m) * F.col("_k")).over(past), F.sum(weight).over(past)))
-    return out.drop("_k")
+    out = df.withColumn("_n", F.row_number().over(w) - 1).withColumns({"_block": F.floor(F.col("_n") / size), "_at": F.col("_n") % size + 1})
+    out = out.withColumn("_k", F.pow(F.lit(q), -F.col("_at")))
+    inside = Window.partitionBy(*key, "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy(*key).orderBy("_block", "_n").rowsBetween(*PAST)
+    ends, decay = F.col("_at") == size, q**size
+    before = lambda c: F.coalesce(F.last(F.when(ends, c), ignorenulls=True).over(past), F.lit(0.0))
+    names = [f"_{part}{i}" for i in range(len(metrics)) for part in ("sum", "weight")]
+    terms = [t for m in metrics for t in (F.col(m) * F.col("_k"), F.when(F.col(m).isNotNull(), F.col("_k")))]
+    out = out.withColumns({c: F.coalesce(F.sum(t).over(inside), F.lit(0.0)) for c, t in zip(names, terms)})
+    out = out.withColumns({f"{c}_last": before(F.col(c) * decay) for c in names})
+    out = out.withColumns({f"{c}_both": before((F.col(c) + F.col(f"{c}_last")) * decay) for c in names})
+    mean = lambda i: F.try_divide(F.col(f"_sum{i}") + F.col(f"_sum{i}_both"), F.col(f"_weight{i}") + F.col(f"_weight{i}_both"))
+    # nulls after a row lower all weights alike, so that its mean stays
+    out = out.withColumns({f"{m}{suffix}": F.last(F.when(F.col(m).isNotNull(), mean(i)), ignorenulls=True).over(past) for i, m in enumerate(metrics)})
+    return out.drop("_n", "_block", "_at", "_k", *names, *(f"{c}_{part}" for c in names for part in ("last", "both")))
 
 
 def rolling_before(df: DataFrame, key: Sequence[str], order: Sequence[str], metric: str, games: int = 5, out: str | None = None) -> DataFrame:

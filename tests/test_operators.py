@@ -182,3 +182,13 @@ def test_zone_distribution_keeps_zones_outside_the_dimension(spark):
     shots = spark.createDataFrame(rows, "team string, zone string, kind string, result string")
     got = {(r["team"], r["zone"]): (r["att"], r["share"]) for r in sh.zone_distribution(shots, spark.createDataFrame([("Z1-IZ",), ("Z99-DE",)], "zone string"), ("team",)).collect()}
     assert got == {("a", "Z1-IZ"): (1, 0.5), ("a", "Z5-IZ"): (1, 0.5), ("a", "Z99-DE"): (0, 0.0), ("b", "Z1-IZ"): (0, 0.0), ("b", "Z5-IZ"): (1, 1.0), ("b", "Z99-DE"): (0, 0.0)}
+
+
+def test_ewm_of_keys_with_very_many_rows(spark):
+    rng = random.Random(4)
+    rows = [("long", i, None if i % 7 == 3 or 4000 <= i < 5500 else 1e5 * rng.random()) for i in range(9000)] + [("short", i, float(i)) for i in range(30)]
+    got = hi.ewm_before(spark.createDataFrame(rows, "team string, game long, x double"), ["team"], ["game"], ["x"]).toPandas().sort_values(["team", "game"])
+    assert list(got.columns) == ["team", "game", "x", "x_ewm"] and len(got) == 9030
+    for _, part in got.groupby("team"):
+        want = part["x"].ewm(span=10, min_periods=1).mean().shift(1)
+        assert (part["x_ewm"].isna() == want.isna()).all() and ((part["x_ewm"] - want).abs().fillna(0) < 1e-6).all()
