@@ -144,7 +144,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     rows = rows.withColumns({"__whole": F.floor(F.col("__taken") / F.col("__size")), "__rest": F.col("__taken") % F.col("__size")})
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__whole") + F.when(F.col("__rest") > 0, 1).otherwise(0))))
     whole = F.col("__copy") <= F.col("__whole")
-    cut = F.array_join(F.slice(F.split(F.trim("text"), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("__rest").cast("int")), " ")
+    cut = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("__rest").cast("int")), " ")
     out = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")))

@@ -212,3 +212,13 @@ def test_registry():
 def test_main_path_of_the_mix_is_native(nasty):
     plan = op10.mix(nasty)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_mixed_documents_keeps_all_words_taken_of_texts_that_begin_with_white_space(spark):
+    rows = [(i, "\n\t" + " ".join(f"w{i}_{k}" for k in range(7)) + "\n", "abc"[i % 3]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in op10.mix(docs).collect()}
+    words = dict.fromkeys(taken, 0)
+    for r in op10.mixed_documents(docs).collect():
+        words[r["doc_id"]] += len(r["text"].split())
+    assert words == {d: t for d, (t, _) in taken.items()} and any(t % n for t, n in taken.values())
