@@ -24,7 +24,7 @@ def period_membership(games: DataFrame, periods: DataFrame, keys: Sequence[str]
     inside = (F.col("date_from").isNull() | (F.col("date") >= F.col("date_from"))) & (F.col("date_to").isNull() | (F.col("date") <= F.col("date_to")))
     ranged = games.join(dim, same & inside).select(*games.columns, "label")
     ends = periods.where("last_k is not null").select("label", "last_k").distinct()
-    most = 1000
+    most = ends.agg(F.max("last_k")).first()[0] or 0  # of the small dimension
     tail = last_k(games, [*keys, "team"], order, most, "_back").join(F.broadcast(ends), F.col("_back") <= F.col("last_k")).select(*games.columns, "label")
     return ranged.unionByName(tail)
 

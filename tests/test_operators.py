@@ -192,3 +192,10 @@ def test_ewm_of_keys_with_very_many_rows(spark):
     for _, part in got.groupby("team"):
         want = part["x"].ewm(span=10, min_periods=1).mean().shift(1)
         assert (part["x_ewm"].isna() == want.isna()).all() and ((part["x_ewm"] - want).abs().fillna(0) < 1e-6).all()
+
+
+def test_period_membership_keeps_more_than_a_thousand_last_games(spark):
+    games = spark.range(1500).select(F.lit("a").alias("team"), F.col("id").alias("game"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"))
+    dim = spark.createDataFrame([(None, "last1200", None, None, 1200), (None, "last2", None, None, 2)], "team string, label string, date_from date, date_to date, last_k int")
+    got = {r["label"]: r["count"] for r in rp.period_membership(games, dim, keys=()).groupBy("label").count().collect()}
+    assert got == {"last1200": 1200, "last2": 2}
