@@ -3,20 +3,22 @@
 A text's set: the hashes of its distinct word shingles. Equal sets are one node. Every order puts
 shingles of rare sketch cells first (a fixed-size count sketch over all documents gives the
 rarity) and breaks ties by another hash; sets that reach the threshold share a token of their prefixes
-under each order. Pairs come from the first order's prefixes, must share prefix tokens under the
-other orders as well, and are then verified on whole sets. Between the two, a parity sketch of each set (about as many
-bits as tokens) bounds the symmetric difference from below and drops pairs that cannot reach the threshold.
-
-A token's bucket is never expanded into all its pairs. First each member meets the bucket's first
-member of its size and its neighbour in a random order of the bucket; verified links are joined to
-components. Then only pairs of different components that no test has covered yet are formed and verified, so no
-link between different components is missed and component ids are exact, while a family of
-very many near copies costs a number of tests in proportion to its postings.
+under each order. Candidates come from the first order's prefixes, must share prefix tokens under the
+other orders as well, and are then verified on whole sets. A parity sketch, which travels with each posting of a token that
+several sets hold, bounds the symmetric difference from below and drops pairs that cannot reach the threshold inside the bucket.
+
+Postings are dealt by ranges of (token, size, set), so a token of very many sets spreads over many tasks. A
+bucket is never expanded into all its pairs. First each member meets its neighbour and the first member of its block, all buckets in
+the same order, so that a family of near copies tests about the same few pairs a member in every bucket. Where the
+sketches allow no other pair the bucket is finished; the postings of the others are kept. Verified links are joined to components, and
+of the kept buckets only those of several components are read again, in blocks: pairs across components that sketches allow and
+no test has covered, a few per member at first and then all that are left. So no link between different components is
+missed and component ids are exact, while a family of very many near copies costs tests in proportion to its postings.
 
 Defined cases: null or empty text, or text without words, has the empty set and links with nothing; fewer words than a
-shingle make one shingle; sets too small to differ and still reach the threshold link only with equal sets;
-repeated rows are equal sets (a null doc_id never names a component unless all its members are null);
-extra columns are ignored; an empty table gives an empty result.
+shingle make one shingle; sets too small to differ and still reach the threshold link only with equal sets; very long
+texts are read whole, one slice each; repeated rows are equal sets (a null doc_id never names a component unless all its members
+are null); ties of size are ordered by the set's hash; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,12 @@ WIDTH, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_BLOCK = 20, 4096
 ORDERS = 3
 FILTER_BITS = 24
-SKETCH_CELLS = 11
+#: Bits of the least and the largest parity sketch.
+LEAST_CELLS, MOST_CELLS = 6, 11
+#: Members of a bucket that meet in one piece; buckets of up to SMALL members are compared whole at once.
+BLOCK, SMALL = 1024, 64
+#: Partners of a member in the first round across components.
+PARTNERS = 4
 
 
 def text_sets(column, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -117,38 +125,24 @@ def least_size(percent: int) -> int:
     return -(-percent // (100 - percent))
 
 
-HEADS = [f"head{k}" for k in range(1, ORDERS)]
-
-
-def parity(tokens: np.ndarray) -> bytes:
-    """Parity of the number of tokens in each of about n cells (256 to 2**SKETCH_CELLS), as bits."""
-    cells_ = 1 << min(max(8, (len(tokens) - 1).bit_length()), SKETCH_CELLS)
+def parity(tokens: np.ndarray, percent: int) -> bytes:
+    """Parity of the number of tokens in each cell, as bits; about five cells for each token that may differ at the threshold."""
+    bits = (len(tokens) * 5 * (100 - percent) // 100).bit_length()
+    cells_ = 1 << min(max(bits, LEAST_CELLS), MOST_CELLS)
     at = (mix(tokens ^ np.uint64(0x7F4A7C15)) & np.uint64(cells_ - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=cells_) & 1).astype(np.uint8)).tobytes()
 
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference: differing cells, the larger sketch folded to the size of the smaller."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Rows of two kinds: (token, sig, n), prefix postings under the first order; and (sig, n, parity, heads), a set's parity
-    sketch and its prefixes under the other orders, cut to 32 bits each (they only filter). Copies within a task count once."""
+    """sig, n, parity sketch and the prefix under the first order of every set; copies within a task count once."""
     least = least_size(percent)
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        names, ints = ["token", "n", "sig", "parity", *HEADS], pa.list_(pa.int32())
         seen: set[int] = set()
         for b in batches:
-            tokens, sigs, sizes, heads, bits = [], [], [], [], []
+            tokens, sigs, sizes, bits = [], [], [], []
             for _, s in text_sets(b.column(0), width):
                 if len(s) < least:
                     continue
@@ -156,160 +150,244 @@ def prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
                     continue
                 if len(seen) < 1_000_000:  # copies beyond come twice and fold later
                     seen.add(name)
-                p = prefix_length(len(s), percent)
-                tokens.append(ordered(s, classes, 0, p))
+                tokens.append(ordered(s, classes, 0, prefix_length(len(s), percent)).astype(np.int64))
                 sigs.append(name)
                 sizes.append(len(s))
-                bits.append(parity(s))
-                heads.append([(ordered(s, classes, k, p) >> np.uint64(33)).astype(np.int32) for k in range(1, ORDERS)])
+                bits.append(parity(s, percent))
             if tokens:
-                n = [len(t) for t in tokens]
-                no = pa.nulls(sum(n), ints)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.repeat(sizes, n)), pa.array(np.repeat(sigs, n)), pa.nulls(sum(n), pa.binary()), *[no] * len(HEADS)], names=names)
-                none = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(bits, pa.binary()), *(pa.array([h[k] for h in heads], ints) for k in range(len(HEADS)))], names=names)
-
-    return docs.select("text").mapInArrow(run, "token long, n long, sig long, parity binary, " + ", ".join(f"{h} array<int>" for h in HEADS))
-
-
-def buckets(batches) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of each run of equal first column in a sorted stream, across batches."""
-    held: list[np.ndarray] | None = None
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
-        if not len(cols[0]):
-            continue
-        cuts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-        ends = np.r_[cuts[1:], len(cols[0])]
-        for i, j in zip(cuts[:-1][ends[:-1] - cuts[:-1] > 1], ends[:-1][ends[:-1] - cuts[:-1] > 1]):
-            yield tuple(c[i:j] for c in cols)
-        held = [c[cuts[-1] :] for c in cols]
-    if held is not None and len(held[0]) > 1:
-        yield tuple(held)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["sig", "n", "parity", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "sig long, n int, parity binary, tokens array<long>")
+
+
+def shared_postings(found: DataFrame) -> DataFrame:
+    """token, sig of the tokens that at least two different sets hold (and those at the ends of a partition)."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        held, before = np.zeros((2, 0), np.int64), None  # the last posting, whose successor is not known yet; the token before it
+
+        def kept(rows: np.ndarray, next_token) -> pa.RecordBatch:
+            nonlocal before
+            same = rows[0, 1:] == rows[0, :-1]
+            keep = np.r_[before is None or before == rows[0, 0], same] | np.r_[same, next_token is None or next_token == rows[0, -1]]
+            before = rows[0, -1]
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows], names=["token", "sig"])
+
+        for b in batches:
+            rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])], 1)
+            if rows.shape[1]:
+                rows = rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)]]  # copies are neighbours
+                held = rows[:, -1:]
+                if rows.shape[1] > 1:
+                    yield kept(rows[:, :-1], held[0, 0])
+        if held.shape[1]:
+            yield kept(held, None)
+
+    parts = shuffle_partitions(found.sparkSession)
+    postings = found.select(F.explode("tokens").alias("token"), "sig")
+    return postings.repartitionByRange(parts, "token", "sig").sortWithinPartitions("token", "sig").mapInArrow(run, "token long, sig long")
 
 
 def near_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def pair_batches(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 100_000) -> Iterator:
-    import pyarrow as pa
-
-    left, right, held = [], [], 0
-
-    def flush():
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    for a, b in found:
-        left.append(np.minimum(a, b))
-        right.append(np.maximum(a, b))
-        held += len(a)
-        if held >= most:
-            yield flush()
-            left, right, held = [], [], 0
-    if held:
-        yield flush()
-
-
-def first_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sigs that the sketches allow: with the bucket's first member of the size class, with the neighbour by
-    size, and with the neighbour in a random order of the bucket. Rows: token, n, sig, parity."""
-
-    def one(token, n, sig, parities) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        new = np.r_[True, sig[1:] != sig[:-1]]  # sorted by n, sig: copies are neighbours
-        n, sig, parities = n[new], sig[new], parities[new]
-        if len(sig) < 2:
-            return
-        widths, sketches, at, left, right = np.array([len(p) for p in parities]), folded(list(parities)), 0, [], []
-        while at < len(n):
-            end = int(np.searchsorted(n, n[at] * 100 // percent, "right"))
-            right.append(np.arange(at + 1, end))
-            left.append(np.full(end - at - 1, at))
-            at = end
-        order = np.argsort(mix(sig.astype(np.uint64) ^ token[:1].astype(np.uint64)))
-        left += [np.minimum(order[:-1], order[1:]), np.arange(len(n) - 1)]
-        right += [np.maximum(order[:-1], order[1:]), np.arange(1, len(n))]
-        i, j = np.concatenate(left), np.concatenate(right)
-        ok = near_sizes(n[i], n[j], percent)
-        i, j = i[ok], j[ok]
-        keep = np.zeros(len(i), bool)
-        for width, m in sketches.items():
-            own = np.flatnonzero(widths[i] == width)
-            apart = np.bitwise_count(m[i[own]] ^ m[j[own]]).sum(1, dtype=np.int64)
-            keep[own] = apart * (100 + percent) <= (n[i[own]] + n[j[own]]) * (100 - percent)
-        yield sig[i[keep]], sig[j[keep]]
-
-    return shared.mapInArrow(lambda bs: pair_batches(p for row in buckets(bs) for p in one(*row)), "a long, b long")
-
-
-def cross_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket (token, n, sig, parity, component) whose components differ and that sizes and sketches allow."""
-
-    def one(n, sig, parities, comp) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        new = np.r_[True, sig[1:] != sig[:-1]]
-        n, sig, parities, comp = n[new], sig[new], parities[new], comp[new]
-        if (comp == comp[0]).all():
-            return
-        widths, sketches = np.array([len(p) for p in parities]), folded(list(parities))
-        ends = np.searchsorted(n, n * 100 // percent, "right")
-        for i in range(len(n)):
-            j = np.arange(i + 1, ends[i])
-            j = possible(i, j[comp[j] != comp[i]], n, widths, sketches, percent)
-            if len(j):
-                yield np.full(len(j), sig[i]), sig[j]
-
-    return shared.mapInArrow(lambda bs: pair_batches(p for _, *row in buckets(bs) for p in one(*row)), "a long, b long")
-
-
-def folded(parities: list[bytes]) -> dict[int, np.ndarray]:
-    """Sketches as matrices by width in bytes; a wider sketch is folded to every narrower width in use."""
-    own = np.array([len(p) for p in parities])
-    out = {}
-    for width in sorted(set(own.tolist())):
-        rows = np.zeros((len(parities), width), np.uint8)
-        for k in np.flatnonzero(own >= width):
-            x = np.frombuffer(parities[k], np.uint8)
-            while len(x) > width:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            rows[k] = x
-        out[width] = rows
-    return out
-
-
-def possible(i: int, j: np.ndarray, n: np.ndarray, widths: np.ndarray, sketches: dict[int, np.ndarray], percent: int) -> np.ndarray:
-    """Those members j of a bucket whose sketches allow the threshold with member i (whose set is no larger)."""
-    m = sketches[widths[i]]
-    apart = np.bitwise_count(m[j] ^ m[i]).sum(1, dtype=np.int64)
-    return j[apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
-
-
-def shared_postings(rows: DataFrame) -> DataFrame:
-    """The postings of tokens that at least two different sets hold."""
+class Members:
+    """Sizes, names and parity sketches of some sets."""
+
+    def __init__(self, n: np.ndarray, sig: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.n, self.sig, self.data, self.offsets = n.astype(np.int64), sig, data, offsets
+        self.width = np.diff(offsets)
+
+    @staticmethod
+    def of(n, sig, parities) -> "Members":
+        """From Arrow columns."""
+        offsets = np.frombuffer(parities.buffers()[1], np.int32)[parities.offset : parities.offset + len(parities) + 1].astype(np.int64)
+        data = np.frombuffer(parities.buffers()[2], np.uint8) if len(parities) else np.zeros(0, np.uint8)
+        return Members(n.to_numpy(zero_copy_only=False), sig.to_numpy(zero_copy_only=False), data, offsets)
+
+    def rows(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Sketches of the members ``at``, folded to ``width`` bytes."""
+        own, out = self.width[at], np.zeros((len(at), width), np.uint8)
+        for size in np.unique(own):
+            k = np.flatnonzero(own == size)
+            m = self.data[self.offsets[at[k]][:, None] + np.arange(size)]
+            out[k] = np.bitwise_xor.reduce(m.reshape(len(k), size // width, width), axis=1)
+        return out
+
+    def possible(self, i: np.ndarray, j: np.ndarray, percent: int, other: "Members | None" = None, most: int = 50_000) -> np.ndarray:
+        """Marks of the pairs (member i, member j of ``other``) whose sizes and sketches allow the threshold."""
+        other = other or self
+        keep = near_sizes(self.n[i], other.n[j], percent)
+        width = np.minimum(self.width[i], other.width[j])
+        for w in np.unique(width[keep]):
+            at = np.flatnonzero(keep & (width == w))
+            for lo in range(0, len(at), most):
+                k = at[lo : lo + most]
+                apart = np.bitwise_count(self.rows(i[k], w) ^ other.rows(j[k], w)).sum(1, dtype=np.int64)
+                keep[k] = apart * (100 + percent) <= (self.n[i[k]] + other.n[j[k]]) * (100 - percent)
+        return keep
+
+
+def pair_batch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs, the smaller name first."""
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+
+def group_pairs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j) of neighbours and of first member and any later one, in every group of a sorted run; and all other (i, j) of small groups."""
+    size = ends - starts
+    at, start = np.arange(size.sum()), np.repeat(starts, size)
+    i = np.r_[at[at > start] - 1, start[at > start + 1]]
+    j = np.r_[at[at > start], at[at > start + 1]]
+    other_i, other_j = [], []
+    for step in range(2, SMALL):
+        k = at[(at - step > start) & np.repeat(size <= SMALL, size)]
+        if not len(k):
+            break
+        other_i.append(k - step)
+        other_j.append(k)
+    none = np.zeros(0, np.int64)
+    return i, j, np.concatenate([none, *other_i]), np.concatenate([none, *other_j])
+
+
+_BOTH = "a long, b long, token long, n int, sig long, parity binary"
+
+
+def first_pairs(sketched: DataFrame, percent: int) -> DataFrame:
+    """Rows of two kinds: pairs (a, b) to test, and the postings of buckets that other pairs may hide in."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        names = ["a", "b", "token", "n", "sig", "parity"]
+        long, first, open_token = pa.int64(), None, None
+
+        def work(t, final: bool):
+            """Rows of whole tokens, or whole blocks of the token in ``open_token``."""
+            token = t.column(0).to_numpy(zero_copy_only=False)
+            m = Members.of(t.column(1), t.column(2), t.column(3))
+            run_starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            sizes = np.diff(np.r_[run_starts, len(token)])
+            place = np.arange(len(token)) - np.repeat(run_starts, sizes)
+            starts = np.flatnonzero(place % BLOCK == 0)
+            ends = np.r_[starts[1:], len(token)]
+            i, j, oi, oj = group_pairs(starts, ends)
+            ok = m.possible(i, j, percent)
+            group = np.repeat(np.arange(len(starts)), ends - starts)
+            wanting = ends - starts > SMALL  # not compared whole here
+            wanting |= np.repeat(sizes > BLOCK, -(-sizes // BLOCK))
+            wanting |= (token[starts] == first) | (token[starts] == open_token)
+            if final:
+                wanting |= token[starts] == token[-1]
+            left = ~wanting[group[oi]]
+            wanting[group[oi[left][m.possible(oi[left], oj[left], percent)]]] = True
+            pairs = pair_batch(m.sig[i[ok]], m.sig[j[ok]])
+            if len(pairs):
+                no = pa.nulls(len(pairs), long)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), no, pa.nulls(len(pairs), pa.int32()), no, pa.nulls(len(pairs), pa.binary())], names=names)
+            kept = t.filter(pa.array(wanting[group]))
+            if kept.num_rows:
+                no = pa.nulls(kept.num_rows, long)
+                yield pa.RecordBatch.from_arrays([no, no, *kept.columns], names=names)
+
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            t = t.combine_chunks()
+            if not t.num_rows:
+                continue
+            token = t.column(0).to_numpy()
+            first = token[0] if first is None else first
+            cut = int(np.searchsorted(token, token[-1], "left"))  # the last token may go on
+            if t.num_rows - cut > 4 * BLOCK:
+                cut += (t.num_rows - cut) // BLOCK * BLOCK
+            if cut:
+                whole = t.slice(0, cut).combine_chunks().to_batches()[0]
+                yield from work(whole, False)
+                open_token = token[cut - 1]
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield from work(held.combine_chunks().to_batches()[0], True)
+
+    return sketched.mapInArrow(run, _BOTH)
+
+
+_BLOCKS = "token long, block long, low long, high long, least int, most int, n binary, sig binary, component binary, parity binary, offsets binary"
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """token, n, sig, parity, component, dealt by ranges, packed to blocks of at most BLOCK members of one token."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        held, size = [], 0
-        for t, n, s in buckets(batches):
-            if (s != s[0]).any():
-                held.append((t, n, s))
-                size += len(t)
-                if size >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["token", "n", "sig"])
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["token", "n", "sig"])
+        schema = pa.schema([("token", pa.int64()), ("block", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), *((c, pa.binary()) for c in ("n", "sig", "component", "parity", "offsets"))])
+        block = TaskContext.get().partitionId() << 40
+        for b in batches:
+            token, component = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 4))
+            m = Members.of(b.column(1), b.column(2), b.column(3))
+            runs = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            place = np.arange(len(token)) - np.repeat(runs, np.diff(np.r_[runs, len(token)]))
+            starts = np.flatnonzero(place % BLOCK == 0)
+            out = []
+            for i, j in zip(starts, np.r_[starts[1:], len(token)]):
+                n, c, lo = m.n[i:j], component[i:j], m.offsets[i]
+                out.append((token[i], block, c.min(), c.max(), n.min(), n.max(), n.tobytes(), m.sig[i:j].tobytes(), c.tobytes(), m.data[lo : m.offsets[j]].tobytes(), (m.offsets[i : j + 1] - lo).tobytes()))
+                block += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     parts = shuffle_partitions(rows.sparkSession)
-    dealt = rows.select("token", "n", "sig").repartition(parts, "token").sortWithinPartitions("token", "n", "sig")
-    return dealt.mapInArrow(run, "token long, n long, sig long")
+    return rows.repartitionByRange(parts, "token", "component", "n", "sig").sortWithinPartitions("token", "component", "n", "sig").mapInArrow(run, _BLOCKS)
+
+
+def cross_pairs(blocks: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs of sets of different components in the blocks of one token that sizes and sketches allow, at most ``most`` a member.
+
+    Blocks meet by number first, those of one and the same component or of far sizes not at all; then their contents are joined.
+    """
+    near = blocks.select("token", "block", "low", "high", "least", "most")
+    a, b = near.alias("a"), near.alias("b")
+    apart = ~((F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low")))
+    sizes = (F.col("a.most") * 100 >= F.col("b.least") * percent) & (F.col("b.most") * 100 >= F.col("a.least") * percent)
+    meet = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.block") <= F.col("b.block")) & apart & sizes).select(F.col("a.block").alias("block"), F.col("b.block").alias("other"))
+    columns = ("n", "sig", "component", "parity", "offsets")
+    left = blocks.select("block", *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = blocks.select(F.col("block").alias("other"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    rows = meet.join(left, "block").join(right, "other").select("block", "other", *(f"{c}_{s}" for s in "ab" for c in columns))
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
 
+        for batch in batches:
+            found = []
+            for block, other, *raw in zip(*(c.to_pylist() for c in batch.columns)):
+                na, sa, ca, pa_, oa, nb, sb, cb, pb, ob = (np.frombuffer(x, np.uint8 if k % 5 == 3 else np.int64) for k, x in enumerate(raw))
+                i, j = np.nonzero(ca[:, None] != cb[None, :])
+                if block == other:
+                    i, j = i[i < j], j[i < j]
+                m, o = Members(na, sa, pa_, oa), Members(nb, sb, pb, ob)
+                ok = m.possible(i, j, percent, o)
+                i, j = i[ok], j[ok]
+                if most is not None and len(i):
+                    i, j = i[(few := np.arange(len(i)) - np.searchsorted(i, i) < most)], j[few]
+                if len(i):
+                    found.append(pair_batch(sa[i], sb[j]))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
-def whole_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """sig, n, tokens of the documents named in ``reps`` (and of a few more).
+
+HEADS = [f"head{k}" for k in range(1, ORDERS)]
+
+
+def whole_sets(docs: DataFrame, reps: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
+    """sig, n, tokens, prefixes under the other orders (32 bits a token, as they only filter) of the documents named in ``reps`` (and of a few more).
 
     A bitmap of 2**FILTER_BITS hashed ids (2 MB, whatever the number of documents) keeps most others from being read into sets.
     """
@@ -329,9 +407,10 @@ def whole_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
             whole = whole.filter(pa.array(wanted[whole.column(1).to_numpy(zero_copy_only=False)]))
             for at in range(0, whole.num_rows, 256):
                 sets = [s for _, s in text_sets(whole.slice(at, 256).column(0), width)]
-                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sig", "n", "tokens"])
+                heads = [pa.array([(ordered(s, classes, k, prefix_length(len(s), percent)) >> np.uint64(33)).astype(np.int32) for s in sets], pa.list_(pa.int32())) for k in range(1, ORDERS)]
+                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), *heads], names=["sig", "n", "tokens", *HEADS])
 
-    return docs.select("text", bit("doc_id").alias("bit")).mapInArrow(run, "sig long, n long, tokens array<long>")
+    return docs.select("text", bit("doc_id").alias("bit")).mapInArrow(run, "sig long, n long, tokens array<long>, " + ", ".join(f"{h} array<int>" for h in HEADS))
 
 
 def _sides(sets: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -339,22 +418,10 @@ def _sides(sets: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     return a, b
 
 
-def sharing(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose parity sketches allow the threshold and that share a prefix token under every other order."""
-
-    def close(batches) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            n_a, n_b = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
-            apart = np.fromiter((least_difference(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(5).to_pylist())), np.int64, b.num_rows)
-            keep = apart * (100 + percent) <= (n_a + n_b) * (100 - percent)
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep))
-
-    a, b = _sides(heads, ["n", "parity"])
-    pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "parity_a", "n_b", "parity_b").mapInArrow(close, "a long, b long")
+def sharing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that share a prefix token under every other order."""
     for h in HEADS:
-        a, b = _sides(heads, [h])
+        a, b = _sides(sets, [h])
         pairs = pairs.join(a, "a").join(b, "b").where(F.arrays_overlap(f"{h}_a", f"{h}_b")).select("a", "b")
     return pairs
 
@@ -368,35 +435,44 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
+    parts = shuffle_partitions(docs.sparkSession)
     rows = staged(signed(docs, width))
     texts = rows.where("block is null").select("doc_id", "n", "sig")
     classes = rarity(rows.where("block is not null").select("block", "counts"))
     reps = staged(texts.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")))
     found = staged(prefixes(docs, classes, width, percent))
-    shared = staged(shared_postings(found.where("token is not null")))
-    heads = staged(found.where("token is null").select("sig", "n", "parity", *HEADS).join(shared.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]))
-    parts = shuffle_partitions(docs.sparkSession)
-    dealt = lambda df: df.repartition(parts, "token").sortWithinPartitions("token", "n", "sig")
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    shared = staged(shared_postings(found))
 
     # sketches travel with the postings, so that hopeless pairs never become rows
-    sketched = shared.join(heads.select("sig", "parity"), "sig").select("token", "n", "sig", "parity")
-    tested = staged(first_pairs(dealt(sketched), percent).distinct())
-    near = staged(sharing(tested, heads, percent))
-    sets = staged(whole_sets(docs, ends(near).join(reps, "sig"), width))
-    links = staged(verified(near, sets, percent).distinct())
-
-    label = components(links).withColumnRenamed("node", "sig")
-    named = sketched.join(label, "sig", "left").select("token", "n", "sig", "parity", F.coalesce("component", "sig").alias("component"))
-    rest = cross_pairs(dealt(named), percent).distinct().join(tested, ["a", "b"], "left_anti")
-    rest = staged(sharing(rest, heads, percent))
-    unread = staged(ends(rest).join(sets.select("sig"), "sig", "left_anti").join(reps, "sig"))
-    if not unread.isEmpty():
-        sets = sets.unionByName(staged(whole_sets(docs, unread, width)))
-    links = links.unionByName(verified(rest, sets, percent))
-
-    found = components(links).withColumnRenamed("node", "sig")
-    named_sets = reps.join(found, "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("component"))
+    sketched = shared.join(found.select("sig", "n", "parity").dropDuplicates(["sig"]), "sig").select("token", "n", "sig", "parity")
+    dealt = sketched.repartitionByRange(parts, "token", "n", "sig").sortWithinPartitions("token", "n", "sig")
+    both = staged(first_pairs(dealt, percent))
+    kept = both.where("token is not null").select("token", "n", "sig", "parity")
+    tested = staged(both.where("a is not null").select("a", "b").distinct())
+    sets = None
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        nonlocal sets
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        unread = staged((ends if sets is None else ends.join(sets.select("sig"), "sig", "left_anti")).join(reps, "sig"))
+        if sets is None or not unread.isEmpty():
+            more = staged(whole_sets(docs, unread, classes, width, percent))
+            sets = more if sets is None else sets.unionByName(more)
+        return staged(verified(sharing(pairs, sets), sets, percent).distinct())
+
+    links = links_of(tested)
+    for most in (PARTNERS, None):
+        label = components(links).withColumnRenamed("node", "sig")
+        named = kept.join(label, "sig", "left").select("token", "n", "sig", "parity", F.coalesce("component", "sig").alias("component"))
+        mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+        blocks = staged(blocked(named.join(mixed, "token").select("token", "n", "sig", "parity", "component")))
+        rest = staged(cross_pairs(blocks, percent, most).distinct().join(tested, ["a", "b"], "left_anti"))
+        if rest.isEmpty():
+            break
+        links, tested = links.unionByName(links_of(rest)), tested.unionByName(rest)
+
+    joined = components(links).withColumnRenamed("node", "sig")
+    named_sets = reps.join(joined, "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("component"))
     smallest = named_sets.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = staged(named_sets.join(smallest, "component").select("sig", "component_id"))
     # both sides are dealt plainly by sig, so a set of very many copies can be split
