@@ -1,15 +1,20 @@
-"""Substring deduplication by hashing of lines, joined short lines and paragraphs.
-
-A text's units are its lines of at least MIN_WORDS words; from every shorter line on, the fewest lines that reach MIN_WORDS
-words together, so that a passage of short lines is seen wherever it stands; and its paragraphs (between lines without
-words) of several lines, so that it is seen however it is wrapped. A unit is normalised (A-Z lower-cased, runs of ASCII
-white space, line ends with them, to one blank, ends stripped) and grouped by digest over the whole corpus, whatever its kind. The
-occurrence ranked first, by doc_id and offset, stays; all others are removed, each reported with its place in the
-original text. MIN_WORDS only keeps out chance repeats of one to three words. Units may overlap; the removed text is their union.
-
-Defined cases: null and empty texts have no unit; rows without doc_id rank last; rows that repeat a doc_id are the same
-document, so a unit at the same offset of them is one occurrence; a unit repeated within a document is removed after its
-first place; extra columns are ignored; an empty table gives an empty result.
+"""Substring deduplication by hashing of lines, sentences and paragraphs.
+
+A text's units are its lines (with words), its sentences (runs of words inside a paragraph up to a word that ends in a full stop,
+question or exclamation mark) and its paragraphs of several lines (between lines without words). A line or sentence of fewer than MIN_WORDS
+words is joined with the following ones up to MIN_WORDS words, so that a passage of short lines is seen wherever it stands, and one inside
+a longer line by its sentences. A unit is normalised (A-Z lower-cased, runs of ASCII white space, line ends with
+them, to one blank, ends stripped) and grouped by digest over the whole corpus, whatever its kind. The occurrence ranked first, by doc_id and
+offset, stays; all others are removed from their texts, with their places in the original text reported. MIN_WORDS only keeps out
+chance repeats of one to three words. Units may overlap; what goes is their union.
+
+Units are dealt by ranges of (digest, doc_id, offset), so that a line of very many copies spreads over many tasks; each task walks its sorted
+rows, and one summary row per partition tells the next where its first digest began.
+
+Defined cases: null texts stay null and empty ones empty, without units; rows without doc_id rank last; rows that repeat doc_id and text are
+the same document, so a unit at the same offset of them is one occurrence; rows that share a doc_id but not the text are
+told apart by a hash of the text; a unit repeated within a document is removed after its first place; very long texts are read whole, by one
+task; ties cannot be, as (doc_id, offset, text) is the occurrence; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,85 +23,170 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import shuffle_partitions, staged
 
 MIN_WORDS = 4
+#: Words in one run of removed units from which on a document counts as repeating a passage.
+PASSAGE_WORDS = 25
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+_STOPS = (".", "!", "?", "。", "！", "？")
 
 
-def units_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
-    """start, end (code points, without the line end), words and digest of each unit."""
-    lines, paragraph, at = [], 0, 0  # lines with words
-    for line in text.split("\n"):
-        if words := _WORD.findall(line):
-            lines.append((at, at + len(line), words, paragraph))
-        else:
-            paragraph += 1
-        at += len(line) + 1
+def joined(starts: list[int], n: int, least: int) -> Iterator[tuple[int, int]]:
+    """Word ranges: from every start the fewest following pieces that hold ``least`` words together."""
+    ends, j = [*starts[1:], n], 0
+    for k, start in enumerate(starts):
+        j = max(j, k)
+        while j < len(ends) and ends[j] - start < least:
+            j += 1
+        if j == len(ends):
+            return
+        yield start, ends[j]
 
-    def unit(i: int, j: int, words: list[str]) -> tuple[int, int, int, bytes]:
-        return lines[i][0], lines[j][1], len(words), hashlib.md5(" ".join(words).translate(_LOWER).encode("utf-8", "surrogatepass")).digest()
 
-    for i, (_, _, own, paragraph) in enumerate(lines):
-        words, j = own, i
-        while len(words) < min_words and j + 1 < len(lines):
-            j += 1
-            words = words + lines[j][2]
-        if len(words) >= min_words:
-            yield unit(i, j, words)
-        if i and lines[i - 1][3] == paragraph:
-            continue
-        last = i
-        while last + 1 < len(lines) and lines[last + 1][3] == paragraph:
-            last += 1
-        if last > i and last != j and sum(len(x[2]) for x in lines[i : last + 1]) >= min_words:
-            yield unit(i, last, [w for x in lines[i : last + 1] for w in x[2]])
+def units_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
+    """start, end (code points) and digest of each different unit."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    lines, sentences, paragraphs = [], [], []
+    for i, (start, end) in enumerate(spans):
+        before = spans[i - 1][1] if i else 0
+        breaks = 2 if not i else 0 if text[before:start] == " " else text.count("\n", before, start)
+        if breaks:
+            lines.append(i)
+        if breaks > 1:
+            paragraphs.append(i)
+        if breaks > 1 or text[before - 1] in _STOPS:
+            sentences.append(i)
+    several = [(i, j) for i, j in zip(paragraphs, [*paragraphs[1:], len(spans)]) if j - i >= min_words and (k := _after(lines, i)) is not None and k < j]
+    ranges = dict.fromkeys([*joined(lines, len(spans), min_words), *joined(sentences, len(spans), min_words), *several])
+    words = [text[a:b].translate(_LOWER) for a, b in spans] if ranges else []
+    return [(spans[i][0], spans[j - 1][1], hashlib.md5(" ".join(words[i:j]).encode("utf-8", "surrogatepass")).digest()) for i, j in ranges]
+
+
+def _after(ascending: list[int], x: int) -> int | None:
+    from bisect import bisect_right
+
+    k = bisect_right(ascending, x)
+    return ascending[k] if k < len(ascending) else None
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, name, text; the name tells rows apart that share a doc_id but not the text."""
+    return docs.select("doc_id", F.hash("text").alias("name"), "text")
 
 
 def hashed_units(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, name, start, end, digest of all units."""
+
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
         for b in batches:
-            rows = [(doc, *u) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for u in units_of(text or "", min_words)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["doc_id", "start", "end", "words", "digest"])
+            rows = [(doc, name, *u) for doc, name, text in zip(*(c.to_pylist() for c in b.columns)) for u in units_of(text or "", min_words)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["doc_id", "name", "start", "end", "digest"])
+
+    return named(docs).mapInArrow(run, "doc_id long, name int, start int, end int, digest binary")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, words long, digest binary")
 
+_PLACE = ["doc_id", "name", "start"]
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed unit: doc_id, start, end, words, digest, first_doc_id, first_start, copies."""
-    units = staged(hashed_units(docs, min_words))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
-    groups = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    groups = staged(groups.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "copies"))
-    # both sides are dealt plainly by the digest, so adaptive execution splits a line of very many copies
-    same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start") == F.col("first_start"))
-    out = units.join(groups, "digest").where(~same)
-    return out.select("doc_id", "start", "end", "words", F.lower(F.hex("digest")).alias("digest"), "first_doc_id", "first_start", "copies")
 
+def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, name, start, end, first_doc_id, first_start of the removed units; repeated rows repeat theirs."""
+    spark = docs.sparkSession
+    order = ["digest", F.col("doc_id").asc_nulls_last(), "start", "name"]
+    dealt = staged(hashed_units(docs, min_words)).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    ddl = "doc_id long, name int, start int, end int, first_doc_id long, first_name int, first_start int, pid int, digest binary"
 
-def without_repeats(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """doc_id, text without the removed units and their line ends, and the removed spans in original offsets."""
-    spans = removed.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    rows = docs.select("doc_id", "text").join(spans.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")), "left").drop("own")
+    def run(batches) -> Iterator:
+        """Removed units; with a digest the rows of the partition's first one, still to be judged; without an end the partition's last digest and its first place."""
+        import pyarrow as pa
+
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        names = [*_PLACE, "end", *(f"first_{c}" for c in _PLACE), "pid", "digest"]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        pid, now, place, opening = TaskContext.get().partitionId(), None, None, None
+        for b in batches:
+            out = []
+            for doc, name, start, end, digest in zip(*(c.to_pylist() for c in b.columns)):
+                if digest != now:
+                    opening = digest if opening is None else opening
+                    now, place = digest, (doc, name, start)
+                if digest == opening:
+                    out.append((doc, name, start, end, *place, pid, digest))
+                elif (doc, name, start) != place:
+                    out.append((doc, name, start, end, *place, pid, None))
+            if out:
+                yield batch(out)
+        if now is not None:
+            yield batch([(None, None, None, None, *place, pid, now)])
+
+    found = staged(dealt.mapInArrow(run, ddl))
+    first = [f"first_{c}" for c in _PLACE]
+    # one row per partition: where the digest began that the following partitions open with
+    ends = sorted((r["pid"], bytes(r["digest"]), *(r[c] for c in first)) for r in found.where("end is null").collect())
+    opened, begun = [], None
+    for pid, digest, *place in ends:
+        if begun is not None:
+            opened.append((pid, *begun))
+        if begun is None or begun[0] != digest:
+            begun = (digest, *place)
+    table = spark.createDataFrame(opened, "pid int, digest binary, b_first_doc_id long, b_first_name int, b_first_start int")
+    known = F.col("b_first_start").isNotNull()
+    edge = found.where("end is not null and digest is not null").join(F.broadcast(table), ["pid", "digest"], "left")
+    edge = edge.select(*_PLACE, "end", *(F.when(known, F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) for c in first))
+    rows = found.where("digest is null").select(*edge.columns).unionByName(edge)
+    same = F.lit(True)
+    for c in _PLACE:
+        same = same & F.col(c).eqNullSafe(F.col(f"first_{c}"))
+    return rows.where(~same).drop("first_name")
+
+
+def cleaned(text: str, cuts: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]], int, int]:
+    """Remaining text, disjoint removed spans (parted by white space only: one span), words removed, words of the longest span.
+
+    With a span goes one white-space character that follows it.
+    """
+    runs: list[list[int]] = []
+    for start, end in sorted(cuts):
+        if runs and (start <= runs[-1][1] or not _WORD.search(text, runs[-1][1], start)):
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    kept, at, words = [], 0, [0]
+    for start, end in runs:
+        kept.append(text[at:start])
+        words.append(len(_WORD.findall(text, start, end)))
+        at = end + 1
+    return "".join(kept) + text[at:], [(i, j) for i, j in runs], sum(words), max(words)
+
+
+def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """One row per document: doc_id, text without its repeated units, spans ('start-end' in the original text, by blanks), removed_units,
+    removed_words, longest (words of the longest removed span), predicted (1 if that is a passage, of ``passage_words`` words or more)."""
+    removed = removed_units(docs, min_words)
+    cuts = removed.groupBy("doc_id", "name").agg(F.collect_set(F.struct("start", "end")).alias("cuts")).withColumnsRenamed({"doc_id": "own", "name": "own_name"})
+    rows = named(docs).join(cuts, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("name") == F.col("own_name")), "left").select("doc_id", "text", "cuts")
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            texts = []
-            for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                kept, at = [], 0
-                for cut in cuts or []:
-                    kept.append(text[at : cut["start"]])
-                    at = max(at, cut["end"] + 1)
-                texts.append(None if text is None else "".join(kept) + text[at:])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2)], names=["doc_id", "text", "spans"])
-
-    return rows.mapInArrow(run, "doc_id long, text string, spans array<struct<start: long, end: long>>")
+            texts, spans, units, words, longest = [], [], [], [], []
+            for text, cut in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                left, where, n, most = cleaned(text, [(c["start"], c["end"]) for c in cut]) if cut else (text, [], 0, 0)
+                texts.append(left)
+                spans.append(" ".join(f"{i}-{j}" for i, j in where))
+                units.append(len(cut or []))
+                words.append(n)
+                longest.append(most)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(spans, pa.string()), *(pa.array(c, pa.int64()) for c in (units, words, longest))], names=["doc_id", "text", "spans", "removed_units", "removed_words", "longest"])
+
+    out = rows.mapInArrow(run, "doc_id long, text string, spans string, removed_units long, removed_words long, longest long")
+    return out.withColumn("predicted", (F.col("longest") >= passage_words).cast("int"))

@@ -10,7 +10,7 @@ from .common import table
 from .op01_packing import pack
 from .op02_warc import warc_round_trip
 from .op03_ngram_join import ngram_join
-from .op04_substring_dedup import repeated_units
+from .op04_substring_dedup import substring_dedup
 from .op05_toxicity import toxicity
 from .op06_quality import quality_scores
 from .op07_topk import top_k
@@ -32,7 +32,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(table(spark, sf_dir, "documents"))
+    return substring_dedup(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,21 +85,43 @@ FROM b
 """
 
 OP4_SQL = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
-  FROM documents WHERE text IS NOT NULL),
-u AS (
-  SELECT doc_id, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-         length(line) AS n, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
-h AS (
-  SELECT doc_id, start, start + n AS "end", len(w)::BIGINT AS words,
-         md5(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS digest
-  FROM u WHERE len(w) >= 10),
-g AS (
-  SELECT *, first_value(doc_id) OVER f AS first_doc_id, first_value(start) OVER f AS first_start, count(*) OVER (PARTITION BY digest) AS copies
-  FROM h WINDOW f AS (PARTITION BY digest ORDER BY doc_id, start))
-SELECT doc_id, start, "end", words, digest, first_doc_id, first_start, copies FROM g
-WHERE NOT (doc_id = first_doc_id AND start = first_start)
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS p FROM documents),
+p AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM d WHERE text IS NOT NULL),
+w0 AS (
+  SELECT doc_id, i, regexp_extract(piece, '[^\x20\x09-\x0D]+') AS word, regexp_extract(piece, '^[\x20\x09-\x0D]*') AS lead,
+         sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS "end" FROM p),
+w AS (
+  SELECT *, "end" - length(word) AS start, CASE WHEN i = 1 THEN 2 ELSE length(lead) - length(replace(lead, chr(10), '')) END AS breaks,
+         right(lag(word) OVER (PARTITION BY doc_id ORDER BY i), 1) IN ('.', '!', '?', '。', '！', '？') AS stop,
+         count(*) OVER (PARTITION BY doc_id) AS n,
+         translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM w0),
+s AS (
+  SELECT doc_id, i, n, 'line' AS kind FROM w WHERE breaks > 0 UNION ALL
+  SELECT doc_id, i, n, 'sentence' FROM w WHERE breaks > 1 OR stop),
+e AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY doc_id, kind ORDER BY i), n + 1) AS stop FROM s),
+j AS (SELECT a.doc_id, a.i, min(b.stop) AS stop FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.kind = b.kind AND b.i >= a.i AND b.stop - a.i >= 4 AND b.i < a.i + 4 GROUP BY a.doc_id, a.kind, a.i),
+q AS (SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), n + 1) AS stop FROM w WHERE breaks > 1),
+r AS (
+  SELECT DISTINCT doc_id, i, stop FROM j UNION
+  SELECT doc_id, i, stop FROM q WHERE stop - i >= 4 AND EXISTS (SELECT 1 FROM w WHERE w.doc_id = q.doc_id AND w.i > q.i AND w.i < q.stop AND breaks = 1)),
+l AS (SELECT doc_id, list(low ORDER BY i) AS words, list(start ORDER BY i) AS starts, list("end" ORDER BY i) AS ends FROM w GROUP BY doc_id),
+u AS (SELECT doc_id, starts[i]::BIGINT AS start, ends[stop - 1]::BIGINT AS "end", md5(array_to_string(words[i:stop - 1], ' ')) AS digest FROM r JOIN l USING (doc_id)),
+g AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY doc_id, start) AS rank FROM u),
+c AS (SELECT g.*, text, max(g."end") OVER (PARTITION BY doc_id ORDER BY start, g."end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g JOIN documents USING (doc_id) WHERE rank > 1),
+m AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR (start > before AND NOT regexp_matches(substr(text, before + 1, start - before), '^[\x20\x09-\x0D]*$')) THEN 1 ELSE 0 END)
+         OVER (PARTITION BY doc_id ORDER BY start, "end") AS run FROM c),
+v AS (SELECT doc_id, run, min(start) AS start, max("end") AS "end", count(*) AS units, any_value(text) AS text FROM m GROUP BY doc_id, run),
+k AS (
+  SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY run), -1) AS before,
+         len(regexp_extract_all(substr(text, start + 1, "end" - start), '[^\x20\x09-\x0D]+')) AS words FROM v),
+o AS (
+  SELECT doc_id, string_agg(substr(text, before + 2, greatest(start - before - 1, 0)), '' ORDER BY run) || substr(any_value(text), max("end") + 2) AS rest,
+         string_agg(start || '-' || "end", ' ' ORDER BY run) AS spans, sum(units)::BIGINT AS removed_units, sum(words)::BIGINT AS removed_words, max(words)::BIGINT AS longest
+  FROM k GROUP BY doc_id)
+SELECT doc_id, CASE WHEN spans IS NULL THEN text ELSE rest END AS text, coalesce(spans, '') AS spans, coalesce(removed_units, 0) AS removed_units,
+       coalesce(removed_words, 0) AS removed_words, coalesce(longest, 0) AS longest, (coalesce(longest, 0) >= 25)::INT AS predicted
+FROM documents LEFT JOIN o USING (doc_id)
 """
 
 OP7_SQL = """

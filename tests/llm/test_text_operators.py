@@ -131,22 +131,36 @@ def test_prefixes_of_linked_sets_meet_under_every_order():
 
 
 def test_substring_dedup(nasty, nasty_rows, empty, spark):
-    got = {(r["doc_id"], r["start"], r["end"], r["first_doc_id"], r["first_start"]) for r in op4.repeated_units(nasty).collect()}
-    units = [(doc is None, doc, s, e, d) for doc, text in {(r[0], r[1]) for r in nasty_rows} for s, e, _, d in op4.units_of(text or "")]
+    got = {(r["doc_id"], r["start"], r["end"], r["first_doc_id"], r["first_start"]) for r in op4.removed_units(nasty).collect()}
+    units = [(doc is None, doc, s, e, d) for doc, text in {(r[0], r[1]) for r in nasty_rows} for s, e, d in op4.units_of(text or "")]
     first, want = {}, set()
     for none, doc, s, e, d in sorted(units, key=lambda u: (u[0], u[1] or 0, u[2])):
-        if d in first:
+        if first.setdefault(d, (doc, s)) != (doc, s):
             want.add((doc, s, e, *first[d]))
-        else:
-            first[d] = (doc, s)
     assert got == want and want
-    cleaned = {r["doc_id"]: r["text"] for r in op4.without_repeats(nasty, op4.repeated_units(nasty)).collect()}
+    rows = op4.substring_dedup(nasty).collect()
     texts = {r[0]: r[1] for r in nasty_rows}
-    for doc, s, e, *_ in want:
-        assert texts[doc][s:e] not in (cleaned[doc] or "").split("\n")
-    kept = {d for d in texts if d not in {w[0] for w in want}}
-    assert all(cleaned[d] == texts[d] for d in kept)
-    assert op4.repeated_units(empty).count() == 0
+    assert len(rows) == len(nasty_rows)
+    for r in rows:
+        cuts = {(s, e) for doc, s, e, *_ in want if doc == r["doc_id"]}
+        text, spans, words, longest = op4.cleaned(texts[r["doc_id"]], list(cuts)) if cuts else (texts[r["doc_id"]], [], 0, 0)
+        assert (r["text"], r["spans"], r["removed_units"], r["removed_words"], r["longest"]) == (text, " ".join(f"{i}-{j}" for i, j in spans), len(cuts), words, longest)
+    assert op4.removed_units(empty).count() == 0 and op4.substring_dedup(empty).count() == 0
+
+
+def test_substring_dedup_sees_a_passage_inside_lines(spark):
+    passage = " ".join(f"Alpha{i} beta gamma delta epsilon zeta." for i in range(10))
+    rows = [(1, f"own words here without a stop {passage} and more of the text"), (2, f"something quite else {passage} then other words follow"), (3, "no passage in this one. It has its own words."), (4, None), (5, "")]
+    got = {r["doc_id"]: r for r in op4.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["predicted"] for i in range(1, 6)] == [0, 1, 0, 0, 0]
+    assert got[2]["longest"] == 54 and got[2]["text"] == "something quite else Alpha0 beta gamma delta epsilon zeta. then other words follow"
+    assert got[4]["text"] is None and got[5]["text"] == ""
+
+
+def test_substring_dedup_tells_texts_of_one_id_apart(spark):
+    rows = [(1, "one two three four five"), (7, "one two three four five"), (7, "a b c d e\none two three four five")]
+    got = sorted((r["doc_id"], r["text"]) for r in op4.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "one two three four five"), (7, ""), (7, "a b c d e\n")]
 
 
 def test_substring_dedup_sees_passages_of_short_lines(spark):
@@ -154,8 +168,7 @@ def test_substring_dedup_sees_passages_of_short_lines(spark):
     wrapped = lambda n: "\n".join(" ".join(words[i : i + n]) for i in range(0, 60, n))
     texts = [f"own head a\n{wrapped(2)}\nown tail a", f"another\n{wrapped(2)}\nends so", f"x y\n\n{wrapped(9)}\n\nz", f"{wrapped(7)}", "one of nine words that stands in two texts\nq", "r\none of nine words that stands in two texts"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    removed = op4.repeated_units(docs)
-    cleaned = {r["doc_id"]: r["text"] for r in op4.without_repeats(docs, removed).collect()}
+    cleaned = {r["doc_id"]: r["text"] for r in op4.substring_dedup(docs).collect()}
     assert cleaned[0] == texts[0] and cleaned[1] == "another\nends so"  # one passage inside paragraphs of their own
     assert cleaned[2] == texts[2] and cleaned[3] == ""  # one paragraph in another wrap
     assert cleaned[4] == texts[4] and cleaned[5] == "r\n"
