@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import efg, ratio
+from ..dims import zone_category
+from ..functions import efg, ratio, true_shooting
 from . import KEYS
 from .events import MADE, points
 from .history import last_k
-from .reports import records, splits, team_report
+from .reports import player_report, records, splits, team_report
 from .shots import shot_profile
 
 
@@ -21,19 +22,22 @@ def _both_sides(events: DataFrame, game: Sequence[str]) -> DataFrame:
     return events.where("team is not null").withColumn("_r", roles).select(*game, "kind", "period", F.col("_r.who").alias("team"), F.col("_r.own").alias("own"))
 
 
-def clutch_team_report(events: DataFrame, when: Column, game: Sequence[str] = (*KEYS, "game"), keys: Sequence[str] = KEYS) -> DataFrame:
-    """Clutch games, points for and against, ratings, eFG and turnover rate per team."""
+def clutch_team_report(events: DataFrame, when: Column, game: Sequence[str] = (*KEYS, "game"), keys: Sequence[str] = KEYS, results: DataFrame | None = None) -> DataFrame:
+    """Clutch games, points for and against, ratings, eFG and turnover rate per team; with ``results`` (game, team, won) also the record in those games."""
     rows = _both_sides(events.where(when), game)
-    own = F.col("own")
-    fga = F.col("kind").isin("CANASTA-2P", "CANASTA-3P", "TIRO2-FALLADO", "TIRO3-FALLADO")
-    made = F.col("kind").isin("CANASTA-2P", "CANASTA-3P")
-    poss = F.when(fga | (F.col("kind") == "PERDIDA"), 1.0).when(F.col("kind").isin("CANASTA-1P", "TIRO1-FALLADO"), 0.44).otherwise(0.0)
+    own, kind = F.col("own"), F.col("kind")
+    made = kind.isin("CANASTA-2P", "CANASTA-3P")
+    fga = made | kind.isin("TIRO2-FALLADO", "TIRO3-FALLADO")
+    poss = fga.cast("int") - (kind == "REBOTE-OFENSIVO").cast("int") + (kind == "PERDIDA").cast("int") + 0.44 * kind.isin("CANASTA-1P", "TIRO1-FALLADO").cast("int")
     out = rows.groupBy(*keys, "team").agg(
         F.count_distinct(*(F.col(g) for g in game)).alias("games"), F.sum(F.when(own, points()).otherwise(0)).alias("pts"), F.sum(F.when(~own, points()).otherwise(0)).alias("opp_pts"),
         F.sum(F.when(own, poss).otherwise(0.0)).alias("poss"), F.sum(F.when(~own, poss).otherwise(0.0)).alias("opp_poss"), F.count_if(own & fga).alias("fga"), F.count_if(own & made).alias("fgm"),
-        F.count_if(own & (F.col("kind") == "CANASTA-3P")).alias("fg3m"), F.count_if(own & (F.col("kind") == "PERDIDA")).alias("tov"),
+        F.count_if(own & (kind == "CANASTA-3P")).alias("fg3m"), F.count_if(own & (kind == "PERDIDA")).alias("tov"),
     )
-    return out.withColumns({"ortg": 100 * ratio("pts", "poss"), "drtg": 100 * ratio("opp_pts", "opp_poss"), "efg_pct": efg("fgm", "fg3m", "fga"), "tov_pct": ratio("tov", "poss")})
+    out = out.withColumns({"ortg": 100 * ratio("pts", "poss"), "drtg": 100 * ratio("opp_pts", "opp_poss"), "efg_pct": efg("fgm", "fg3m", "fga"), "tov_pct": ratio("tov", "poss")})
+    if results is None:
+        return out
+    return out.join(records(results.join(rows.select(*game, "team").distinct(), [*game, "team"], "left_semi"), (*keys, "team")), [*keys, "team"], "left")
 
 
 def overtime_record(events: DataFrame, team_games: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -51,10 +55,13 @@ def stretch_points(events: DataFrame, period: int = 3, seconds: int = 180, lengt
 
 def phase_comparison(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Team report of the regular phase and the playoffs side by side, with differences (rows carry ``phase``)."""
-    both = team_report(rows, (*keys, "team", "phase"))
-    metrics = [c for c in both.columns if c not in (*keys, "team", "phase")]
+    return _by_phase(team_report(rows, (*keys, "team", "phase")), (*keys, "team"))
+
+
+def _by_phase(both: DataFrame, group: Sequence[str]) -> DataFrame:
+    metrics = [c for c in both.columns if c not in (*group, "phase")]
     at = lambda m, p: F.max(F.when(F.col("phase") == p, F.col(m)))
-    out = both.groupBy(*keys, "team").agg(*(at(m, p).alias(f"{m}_{p}") for m in metrics for p in ("regular", "playoff")))
+    out = both.groupBy(*group).agg(*(at(m, p).alias(f"{m}_{p}") for m in metrics for p in ("regular", "playoff")))
     return out.withColumns({f"{m}_change": F.col(f"{m}_playoff") - F.col(f"{m}_regular") for m in metrics})
 
 
@@ -63,14 +70,78 @@ def recent_form(factors: DataFrame, k: int = 10, keys: Sequence[str] = KEYS) ->
     return last_k(factors, [*keys, "team"], ["date", "game"], k, "back")
 
 
-def usage_per_game(players: DataFrame, keys: Sequence[str] = KEYS, top: int = 5) -> DataFrame:
-    """Minutes-scaled usage per game of the players with the most minutes of their team."""
+def usage_per_game(players: DataFrame, team_possessions: DataFrame, keys: Sequence[str] = KEYS, top: int = 5) -> DataFrame:
+    """Minutes-scaled usage per game, (FGA + 0.44 FTA + TOV) / (minutes / 40 * team possessions), of the players with the most minutes of their team.
+
+    ``team_possessions`` has game, team, poss; no minutes give null.
+    """
     team = (*keys, "team")
     used = F.col("fga") + 0.44 * F.col("fta") + F.col("tov")
-    rows = players.where("seconds > 0").withColumn("_used", used)
-    rows = rows.withColumn("usage", ratio("_used", (F.col("seconds") / 2400.0) * F.sum("_used").over(Window.partitionBy(*team, "game"))))
-    most = rows.groupBy(*team, "player").agg(F.sum("seconds").alias("_s")).withColumn("_r", F.row_number().over(Window.partitionBy(*team).orderBy(F.desc("_s"), "player"))).where(F.col("_r") <= top)
-    return rows.join(most.select(*team, "player"), [*team, "player"], "left_semi").drop("_used")
+    rows = players.join(team_possessions.select(*team, "game", "poss"), [*team, "game"])
+    rows = rows.withColumn("usage", ratio(used, (F.col("seconds") / 2400.0) * F.col("poss")))
+    most = players.groupBy(*team, "player").agg(F.sum("seconds").alias("_s")).withColumn("_r", F.row_number().over(Window.partitionBy(*team).orderBy(F.desc("_s"), "player"))).where(F.col("_r") <= top)
+    return rows.join(most.select(*team, "player"), [*team, "player"], "left_semi").drop("poss")
+
+
+def player_phases(players: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Player averages of the regular phase and the playoffs side by side, with differences (rows carry ``phase``)."""
+    return _by_phase(player_report(players, (*keys, "team", "phase")), (*keys, "team", "player"))
+
+
+def points_by_origin(events: DataFrame, shots: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ("num", "seq"), rules: str = "report") -> DataFrame:
+    """Per team: points from free throws, twos and threes (events), the twos' split into paint and mid range (shots), and the share of field goals that an
+    assist of the side follows within four events."""
+    game = (*keys, "game")
+    w = Window.partitionBy(*game).orderBy(*order).rowsBetween(1, 4)
+    basket = F.col("kind").isin("CANASTA-2P", "CANASTA-3P")
+    ahead = F.collect_list(F.when(F.col("kind") == "ASISTENCIA", F.col("side"))).over(w)
+    rows = events.withColumn("_helped", F.array_contains(ahead, F.col("side"))).where("team is not null")
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, points()).otherwise(0))
+    out = rows.groupBy(*keys, "team").agg(of("CANASTA-1P").alias("free_throw_pts"), of("CANASTA-2P").alias("two_pts"), of("CANASTA-3P").alias("three_pts"), F.count_if(basket).alias("fgm"), F.count_if(basket & F.col("_helped")).alias("assisted"))
+    zone = zone_category("zone", rules)
+    made = shots.where("result = 'CONVERTIDO' and kind = 'TIRO2'")
+    areas = made.groupBy(*keys, "team").agg((2 * F.count_if(zone == "paint")).alias("paint_pts"), (2 * F.count_if(zone == "mid")).alias("mid_pts"))
+    return out.join(areas, [*keys, "team"], "left").withColumn("assisted_share", ratio("assisted", "fgm"))
+
+
+def period_splits(quarters: DataFrame, games: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Mean points for and against per team in the first half, the second half and the fourth quarter; only games with all four quarters count.
+
+    ``quarters`` as of ``events.quarter_scores``; ``games`` has game, home, away.
+    """
+    part = lambda s, name, on: F.sum(F.when(on, F.col(f"{s}_pts")).otherwise(0)).alias(f"{s}_{name}")
+    spans = (("first_half", F.col("period") <= 2), ("second_half", F.col("period") >= 3), ("fourth", F.col("period") == 4))
+    per_game = quarters.groupBy(*keys, "game").agg(F.count("*").alias("_n"), *(part(s, name, on) for s in ("home", "away") for name, on in spans)).where("_n = 4").join(games, [*keys, "game"])
+    side = lambda own, other: per_game.select(*keys, F.col(own).alias("team"), *(F.col(f"{own}_{n}").alias(f"{n}_for") for n, _ in spans), *(F.col(f"{other}_{n}").alias(f"{n}_against") for n, _ in spans))
+    both = side("home", "away").unionByName(side("away", "home"))
+    return both.groupBy(*keys, "team").agg(F.count("*").alias("games"), *(F.avg(f"{n}_{x}").alias(f"{n}_{x}") for n, _ in spans for x in ("for", "against")))
+
+
+def transition_split(events: DataFrame, game: Sequence[str] = (*KEYS, "game"), order: Sequence[str] = ("num", "seq"), seconds: int = 8) -> DataFrame:
+    """Points, possessions and points per possession of each side in transition and in the half court.
+
+    A shot, free throw or turnover is in transition if it comes within ``seconds`` of the change of possession before it (a rival's turnover, field
+    goal or missed shot that the own side rebounds). Needs ``elapsed``.
+    """
+    before = Window.partitionBy(*game).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    kind = F.col("kind")
+    other = F.when(F.col("side") == "LOCAL", "VISITANTE").when(F.col("side") == "VISITANTE", "LOCAL")
+    gains = F.when(kind.isin("PERDIDA", "CANASTA-2P", "CANASTA-3P"), other).when(kind == "REBOTE-DEFENSIVO", F.col("side"))
+    change = F.when(gains.isNotNull(), F.struct(gains.alias("side"), "elapsed"))
+    rows = events.withColumn("_change", F.last(change, ignorenulls=True).over(before))
+    ends = kind.isin("CANASTA-2P", "CANASTA-3P", "TIRO2-FALLADO", "TIRO3-FALLADO", "PERDIDA")
+    free = kind.isin("CANASTA-1P", "TIRO1-FALLADO")
+    fast = F.coalesce((F.col("_change.side") == F.col("side")) & (F.col("elapsed") - F.col("_change.elapsed") <= seconds), F.lit(False))
+    rows = rows.where("side is not null").where(ends | free).withColumn("transition", fast)
+    out = rows.groupBy(*game, "side", "transition").agg(F.sum(points()).alias("pts"), F.sum(ends.cast("int") + 0.44 * free.cast("int")).alias("poss"))
+    return out.withColumn("ppp", ratio("pts", "poss"))
+
+
+def allowed_efficiency(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """What a team's rivals reach against it: eFG, true shooting and offensive rebound share (rows carry the opp_ columns)."""
+    cols = ("opp_pts", "opp_fgm", "opp_fga", "opp_fg3m", "opp_fta", "opp_orb", "drb")
+    s = rows.groupBy(*keys, "team").agg(F.count("*").alias("games"), *(F.sum(c).alias(c) for c in cols))
+    return s.select(*keys, "team", "games", efg("opp_fgm", "opp_fg3m", "opp_fga").alias("opp_efg_pct"), true_shooting("opp_pts", "opp_fga", "opp_fta").alias("opp_ts_pct"), ratio("opp_orb", F.col("opp_orb") + F.col("drb")).alias("opp_orb_pct"))
 
 
 def allowed_zones(shots: DataFrame, keys: Sequence[str] = KEYS, rules: str = "report") -> DataFrame:

@@ -2,7 +2,7 @@
 
 A stint is the time from a player's entry to the next substitution of that player; a segment lies between two neighbouring
 boundaries of a side in a game (own substitutions, period starts and ends). Events belong to the segment of their place; only
-segments with ``size`` players count.
+segments with ``size`` players and with time on the clock count. A segment lasts from the clock of its first boundary to that of its last.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import lineup_label, ratio
+from ..functions import elapsed_seconds, lineup_label, ratio
 from . import KEYS
 from .events import MADE, points
 
@@ -31,12 +31,30 @@ def stints(events: DataFrame, game: Sequence[str] = (*KEYS, "game"), entry: str
     return subs.withColumn("n_out", F.lead("n").over(w)).where(F.col("kind") == entry).select(*game, "side", "player", F.col("n").alias("n_in"), "n_out")
 
 
+def timed(events: DataFrame, game: Sequence[str] = (*KEYS, "game"), length: int = 600, overtime: int = 300) -> DataFrame:
+    """Add elapsed, the game seconds gone. A period start without clock has the period's full length, an end 0; other rows without clock or
+    period take the time of the row before. Needs ``n`` (see ``numbered``)."""
+    full = F.when(F.col("period") <= 4, length).otherwise(overtime)
+    clock = F.coalesce("clock", F.when(F.col("kind") == "INICIO-PERIODO", full).when(F.col("kind") == "FINAL-PERIODO", 0))
+    w = Window.partitionBy(*game).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("elapsed", F.coalesce(F.last(elapsed_seconds("period", clock, overtime, length), ignorenulls=True).over(w), F.lit(0)))
+
+
 def segments(events: DataFrame, game: Sequence[str] = (*KEYS, "game"), entry: str = IN, leave: str = OUT, boundaries: Sequence[str] = ("INICIO-PERIODO", "FINAL-PERIODO", "FINAL-PARTIDO")) -> DataFrame:
-    """(game, side, n_from, n_to) between neighbouring boundaries of each side; substitutions at one clock make empty segments."""
-    own = events.where(F.col("kind").isin(entry, leave)).select(*game, "side", "n")
-    both = events.where(F.col("kind").isin(*boundaries)).select(*game, F.explode(F.array(F.lit("LOCAL"), F.lit("VISITANTE"))).alias("side"), "n")
+    """(game, side, n_from, n_to) between neighbouring boundaries of each side, and seconds where events carry ``elapsed``.
+
+    Substitutions at one clock make segments without time. The last segment is open and lasts to the game's last event.
+    """
+    time = ["elapsed"] if "elapsed" in events.columns else []
+    own = events.where(F.col("kind").isin(entry, leave)).select(*game, "side", "n", *time)
+    both = events.where(F.col("kind").isin(*boundaries)).select(*game, F.explode(F.array(F.lit("LOCAL"), F.lit("VISITANTE"))).alias("side"), "n", *time)
     w = Window.partitionBy(*game, "side").orderBy("n")
-    return own.unionByName(both).distinct().withColumn("n_to", F.lead("n").over(w)).select(*game, "side", F.col("n").alias("n_from"), "n_to")
+    cuts = own.unionByName(both).distinct().withColumn("n_to", F.lead("n").over(w))
+    if not time:
+        return cuts.select(*game, "side", F.col("n").alias("n_from"), "n_to")
+    last = events.groupBy(*game).agg(F.max("elapsed").alias("_last"))
+    cuts = cuts.withColumn("_end", F.lead("elapsed").over(w)).join(last, list(game))
+    return cuts.select(*game, "side", F.col("n").alias("n_from"), "n_to", (F.coalesce("_end", "_last") - F.col("elapsed")).alias("seconds"))
 
 
 def on_court(segs: DataFrame, stint: DataFrame, game: Sequence[str] = (*KEYS, "game"), size: int | None = 5) -> DataFrame:
@@ -46,12 +64,16 @@ def on_court(segs: DataFrame, stint: DataFrame, game: Sequence[str] = (*KEYS, "g
     for k in (*game, "side"):
         same = same & (F.col(f"s.{k}") == F.col(f"t.{k}"))
     inside = (F.col("t.n_in") <= F.col("s.n_from")) & (F.col("t.n_out").isNull() | (F.col("s.n_from") < F.col("t.n_out")))
-    rows = s.join(t, same & inside).groupBy(*(F.col(f"s.{k}").alias(k) for k in (*game, "side", "n_from", "n_to"))).agg(F.sort_array(F.collect_set("t.player")).alias("lineup"))
+    rows = s.join(t, same & inside).groupBy(*(F.col(f"s.{k}").alias(k) for k in segs.columns)).agg(F.sort_array(F.collect_set("t.player")).alias("lineup"))
     return rows if size is None else rows.where(F.size("lineup") == size)
 
 
 def segment_facts(events: DataFrame, lineups: DataFrame, game: Sequence[str] = (*KEYS, "game"), parity: bool = False) -> DataFrame:
-    """Own and rival points, attempts, possessions of each segment. parity: the narrower event sets (attempts are makes, threes made only)."""
+    """Own and rival points, attempts and possessions (attempts - offensive rebounds + turnovers + 0.44 free throws) of each segment that has time.
+
+    parity: the narrower event sets (attempts are makes, threes made only, fouls drawn for free throws).
+    """
+    lineups = lineups.where("seconds > 0") if "seconds" in lineups.columns else lineups.withColumn("seconds", F.lit(None).cast("long"))
     own = F.col("e.side") == F.col("l.side")
     other = F.col("e.side").isNotNull() & ~own
     kind = F.col("e.kind")
@@ -60,21 +82,19 @@ def segment_facts(events: DataFrame, lineups: DataFrame, game: Sequence[str] = (
     fg3a = kind == "CANASTA-3P" if parity else kind.isin("CANASTA-3P", "TIRO3-FALLADO")
     fta = kind == "CANASTA-1P" if parity else kind.isin("CANASTA-1P", "TIRO1-FALLADO")
     free = kind == "FALTA-RECIBIDA" if parity else fta
-    poss = F.when(fga & ~(kind == "CANASTA-1P"), 1.0).when(kind == "PERDIDA", 1.0).when(free, 0.44).otherwise(0.0)
+    poss = fga.cast("int") - (kind == "REBOTE-OFENSIVO").cast("int") + (kind == "PERDIDA").cast("int") + 0.44 * free.cast("int")
     same = F.lit(True)
     for k in game:
         same = same & (F.col(f"e.{k}") == F.col(f"l.{k}"))
     span = (F.col("e.n") > F.col("l.n_from")) & (F.col("l.n_to").isNull() | (F.col("e.n") <= F.col("l.n_to")))
     joined = lineups.alias("l").join(events.alias("e"), same & span, "left")
     count = lambda c, who, name: F.count_if(who & c).alias(name)
-    clock = F.col("e.elapsed") if "elapsed" in events.columns else F.lit(None).cast("double")
-    return joined.groupBy(*(F.col(f"l.{k}").alias(k) for k in (*game, "side", "n_from", "n_to", "lineup"))).agg(
+    return joined.groupBy(*(F.col(f"l.{k}").alias(k) for k in (*game, "side", "n_from", "n_to", "seconds", "lineup"))).agg(
         F.sum(F.when(own, points(kind)).otherwise(0)).alias("pts"),
         F.sum(F.when(other, points(kind)).otherwise(0)).alias("opp_pts"),
         F.sum(F.when(own, poss).otherwise(0.0)).alias("poss"),
         F.sum(F.when(other, poss).otherwise(0.0)).alias("opp_poss"),
         count(fga, own, "fga"), count(made, own, "fgm"), count(fg3a, own, "fg3a"), count(fta, own, "fta"), count(kind == "PERDIDA", own, "tov"), count(kind == "ASISTENCIA", own, "ast"),
-        (F.max(clock) - F.min(clock)).alias("seconds"),
     )
 
 

@@ -9,31 +9,36 @@ from pyspark.sql import functions as F
 
 from ..functions import efg, possessions, ratio, true_shooting
 from . import KEYS
-from .history import last_k
 
 
 def period_membership(games: DataFrame, periods: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ("date", "game")) -> DataFrame:
-    """Team games times the report periods they fall into (periods may overlap): by date range, and the last k.
+    """Team games times the report periods they fall into (periods may overlap): by date range, or the last k of the team.
 
-    ``periods`` has keys, team, label, date_from, date_to, last_k; a null team or key applies to all. It is a small dimension.
+    ``periods`` has keys, team, label, date_from, date_to, last_k; a null team or key applies to all. Its rows are joined on those keys that they
+    name, one join per combination that occurs; at most 2**(keys + 1) rows come to the driver to tell.
     """
-    dim = F.broadcast(periods.where("last_k is null").select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("team").alias("_team"), "label", "date_from", "date_to"))
-    same = F.lit(True)
-    for k in (*keys, "team"):
-        same = same & (F.col(f"_{k}").isNull() | (F.col(k) == F.col(f"_{k}")))
+    own = [*keys, "team"]
+    dim = periods.select(*(F.col(k).alias(f"_{k}") for k in own), "label", "date_from", "date_to", "last_k")
+    back = Window.partitionBy(*own).orderBy(*(F.col(c).desc() for c in order))
+    rows = games.withColumn("_back", F.row_number().over(back))
     inside = (F.col("date_from").isNull() | (F.col("date") >= F.col("date_from"))) & (F.col("date_to").isNull() | (F.col("date") <= F.col("date_to")))
-    ranged = games.join(dim, same & inside).select(*games.columns, "label")
-    ends = periods.where("last_k is not null").select("label", "last_k").distinct()
-    most = ends.agg(F.max("last_k")).first()[0] or 0  # of the small dimension
-    tail = last_k(games, [*keys, "team"], order, most, "_back").join(F.broadcast(ends), F.col("_back") <= F.col("last_k")).select(*games.columns, "label")
-    return ranged.unionByName(tail)
+    inside = F.when(F.col("last_k").isNotNull(), F.col("_back") <= F.col("last_k")).otherwise(inside)
+    out = games.withColumn("label", F.lit(None).cast("string")).limit(0)
+    for named in dim.select(*(F.col(f"_{k}").isNotNull().alias(k) for k in own)).distinct().collect():
+        part, on = dim, inside
+        for k in own:
+            part = part.where(F.col(f"_{k}").isNotNull() if named[k] else F.col(f"_{k}").isNull())
+            on = on & (F.col(k) == F.col(f"_{k}")) if named[k] else on
+        out = out.unionByName(rows.join(part, on).select(*games.columns, "label"))
+    return out
 
 
 def team_report(rows: DataFrame, group: Sequence[str] = (*KEYS, "team", "label")) -> DataFrame:
-    """Team averages and ratings over its games (rows carry the opponent's opp_ columns)."""
+    """Team averages and ratings over its games (rows carry the opponent's opp_ columns); pace_40 where rows carry the team's playing time in seconds."""
     own = possessions("fga", "orb", "tov", "fta")
     other = possessions("opp_fga", "opp_orb", "opp_tov", "opp_fta")
-    cols = ["pts", "fgm", "fga", "fg2m", "fg2a", "fg3m", "fg3a", "ftm", "fta", "orb", "drb", "ast", "tov", "opp_pts", "opp_orb", "opp_drb"]
+    # five players share a team's playing time
+    cols = [*(("seconds",) if "seconds" in rows.columns else ()), "pts", "fgm", "fga", "fg2m", "fg2a", "fg3m", "fg3a", "ftm", "fta", "orb", "drb", "ast", "tov", "opp_pts", "opp_orb", "opp_drb"]
     s = rows.groupBy(*group).agg(F.count("*").alias("games"), *(F.sum(c).alias(c) for c in cols), F.sum(own).alias("poss"), F.sum(other).alias("opp_poss"))
     return s.select(
         *group,
@@ -49,6 +54,7 @@ def team_report(rows: DataFrame, group: Sequence[str] = (*KEYS, "team", "label")
         (100 * ratio("opp_pts", "opp_poss")).alias("drtg"),
         (100 * ratio("pts", "poss") - 100 * ratio("opp_pts", "opp_poss")).alias("net"),
         ratio(F.col("poss") + F.col("opp_poss"), 2 * F.col("games")).alias("pace"),
+        *((40 * ratio(F.col("poss") + F.col("opp_poss"), 2 * F.col("seconds") / 300.0)).alias("pace_40") for _ in range("seconds" in rows.columns)),
         ratio("orb", F.col("orb") + F.col("opp_drb")).alias("orb_pct"),
         ratio("drb", F.col("drb") + F.col("opp_orb")).alias("drb_pct"),
         ratio("tov", "poss").alias("tov_pct"),
@@ -57,16 +63,19 @@ def team_report(rows: DataFrame, group: Sequence[str] = (*KEYS, "team", "label")
     )
 
 
-def player_report(players: DataFrame, group: Sequence[str] = (*KEYS, "team", "label")) -> DataFrame:
-    """Player averages and shares of team totals; usg_share5 has no minutes in it, usg_scaled has."""
+def player_report(players: DataFrame, group: Sequence[str] = (*KEYS, "team", "label"), totals: DataFrame | None = None) -> DataFrame:
+    """Player averages and shares of team totals; usg_share5 has no minutes in it, usg_scaled has.
+
+    ``totals`` holds the team's game totals (fgm, fga, fta, tov, date; the TOTALES rows), which are more than the sum of the players
+    (team rebounds, team turnovers); without it the sums of the player rows stand in.
+    """
     used = F.col("fga") + 0.44 * F.col("fta") + F.col("tov")
     rows = players.where("seconds > 0").withColumn("_used", used)
     p = rows.groupBy(*group, "player").agg(
         F.count_distinct("date").alias("gp"), F.sum("seconds").alias("seconds"), *(F.sum(c).alias(c) for c in ("pts", "fgm", "fga", "fg3m", "fg3a", "fta", "ast", "tov", "_used"))
     )
-    w = Window.partitionBy(*group)
-    team_games = rows.groupBy(*group).agg(F.count_distinct("date").alias("_team_games"))
-    p = p.withColumns({"_team_used": F.sum("_used").over(w), "_team_fgm": F.sum("fgm").over(w)}).join(team_games, list(group))
+    team = (rows if totals is None else totals).groupBy(*group).agg(F.count_distinct("date").alias("_team_games"), F.sum(used).alias("_team_used"), F.sum("fgm").alias("_team_fgm"))
+    p = p.join(team, list(group))
     minutes = F.col("seconds") / 60.0
     return p.select(
         *group,
@@ -128,7 +137,7 @@ def against_league(team: DataFrame, metrics: Sequence[str], keys: Sequence[str]
 
 def phase(rows: DataFrame, cutoffs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """regular or playoff by each team's cutoff date (a small dimension: keys, team, cutoff)."""
-    joined = rows.join(F.broadcast(cutoffs), [*keys, "team"], "left")
+    joined = rows.join(cutoffs, [*keys, "team"], "left")
     return joined.withColumn("phase", F.when(F.col("date") >= F.col("cutoff"), "playoff").otherwise("regular")).drop("cutoff")
 
 
@@ -138,6 +147,18 @@ def percentiles(rows: DataFrame, metrics: Sequence[str], keys: Sequence[str] = K
     return rows.withColumns({f"{m}_pctile": F.percent_rank().over(part.orderBy(m)) for m in metrics})
 
 
+#: The eight dimensions of a player profile.
+PROFILE = ("pts_per_game", "efg_pct", "ts_pct", "usg_share5", "ast_tov", "trb_40", "stl_40", "blk_40")
+
+
+def player_profile(seasons: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """League percentiles of the eight dimensions; ``seasons`` has the season totals and games of ``similarity.player_seasons`` with their features."""
+    used = F.col("fga") + 0.44 * F.col("fta") + F.col("tov")
+    team = Window.partitionBy(*keys, "team")
+    rows = seasons.withColumns({"pts_per_game": ratio("pts", "games"), "usg_share5": 5 * ratio(used, F.sum(used).over(team))})
+    return percentiles(rows, PROFILE, keys)
+
+
 def foul_trouble(players: DataFrame, group: Sequence[str] = (*KEYS, "team", "player"), fouls: int = 4) -> DataFrame:
     return players.groupBy(*group).agg(F.avg((F.col("pf") >= fouls).cast("double")).alias("foul_trouble"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timezone
+from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import KEYS
-from .history import ewm_before, last_k, positions, rolling_before, temporal_folds
+from .history import ewm_before, last_k, positions, rolling_before, temporal_cut, temporal_folds
 
 ANALYSIS = ("delta_efg_pct", "delta_tov_pct", "delta_orb_pct", "delta_ftr", "delta_net_rating", "home", "rest_diff", "net_rating_ewm", "efg_pct_ewm", "tov_pct_ewm")
 PREGAME = ("home", "net_rating_ewm", "win_last5", "paint_efg_ewm", "fg3_pct_ewm")
@@ -40,6 +41,13 @@ def scaled(features: Sequence[str], scale: dict[str, tuple[float, float]]) -> Co
     return array_to_vector(F.array(*((F.col(f).cast("double") - F.lit(scale[f][0])) / F.lit(scale[f][1]) for f in features)))
 
 
+class Linear(NamedTuple):
+    """Intercept and coefficients of a fitted regression, for models that come from a table."""
+
+    intercept: float
+    coefficients: Sequence[float]
+
+
 class WinModel:
     """A standardised L2 logistic regression; with calibration, the mean of the Platt-scaled fold models."""
 
@@ -126,19 +134,36 @@ def train_calibrated(rows: DataFrame, features: Sequence[str] = PREGAME, label:
 def metrics(scored: DataFrame, label: str = "win", prob: str = "prob", group: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
     """n, accuracy, auc (rank sum with mean ranks of ties) and log loss per group, without leaving the executors.
 
-    Ranks come from counts per distinct probability, so ties cost nothing and no sort passes through one task of rows.
+    Ranks come from counts per distinct probability, so ties cost nothing; they are summed inside 4,096 buckets of probabilities and over the
+    buckets, so that no task sees all of them.
     """
     p, y = F.col(prob), F.col(label).cast("double")
     clipped = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
     per = scored.groupBy(*group, p.alias("_p")).agg(F.count("*").alias("_n"), F.sum(y).alias("_pos"), F.sum(-(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))).alias("_loss"), F.count_if((p >= threshold) == (y == 1)).alias("_ok"))
-    w = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_n").over(w), F.lit(0))
-    per = per.withColumn("_rank", below + (F.col("_n") + 1) / 2)
+    # ranks inside buckets of neighbouring probabilities, then the small table of buckets summed up
+    per = per.withColumn("_bucket", F.floor(F.col("_p") * 4096))
+    inner = Window.partitionBy(*group, "_bucket").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = per.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(outer), F.lit(0))).drop("_in")
+    per = per.withColumn("_inner", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(sizes, [*group, "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_inner") + (F.col("_n") + 1) / 2)
     out = per.groupBy(*group).agg(F.sum("_n").alias("n"), F.sum("_pos").alias("_p1"), F.sum(F.col("_pos") * F.col("_rank")).alias("_ranks"), F.sum("_loss").alias("_loss"), F.sum("_ok").alias("_ok"))
     neg = F.col("n") - F.col("_p1")
     return out.select(*group, "n", (F.col("_ok") / F.col("n")).alias("accuracy"), F.try_divide(F.col("_ranks") - F.col("_p1") * (F.col("_p1") + 1) / 2, F.col("_p1") * neg).alias("auc"), (F.col("_loss") / F.col("n")).alias("log_loss"))
 
 
+def train_holdout(rows: DataFrame, features: Sequence[str] = PREGAME, label: str = "win", date: str = "date", order: Sequence[str] = ("game", "team"), share: float = 0.75, c: float = STRENGTH_C) -> tuple[WinModel, DataFrame]:
+    """A model of the first ``share`` of the rows in time, and the remaining rows scored by it; ``metrics`` evaluates them."""
+    cut = temporal_cut(rows.dropna(subset=[*features, label]), date, order, share)
+    model = train(cut.where("is_train"), features, label, c)
+    return model, model.transform(cut.where("not is_train").drop("is_train"))
+
+
+def retrain(rows: DataFrame, path: str, features: Sequence[str] = PREGAME, label: str = "win", date: str = "date", order: Sequence[str] = ("game", "team"), c: float = STRENGTH_C) -> WinModel:
+    """The production job: the calibrated model of all rows, saved with its metadata (rows, last date, time) and read back."""
+    train_calibrated(rows, features, label, date, order, c=c).save(rows.sparkSession, path)
+    return WinModel.load(rows.sparkSession, path)
+
+
 def cross_validate(rows: DataFrame, features: Sequence[str] = PREGAME, label: str = "win", date: str = "date", order: Sequence[str] = ("game", "team"), folds: int = 5, c: float = STRENGTH_C) -> DataFrame:
     """Metrics of each expanding temporal fold: fold, n_train, n, accuracy, auc, log_loss."""
     placed = temporal_folds(rows.dropna(subset=[*features, label]), date, order, folds).cache()

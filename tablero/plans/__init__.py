@@ -1,6 +1,11 @@
 """Registered queries over the driver tables, and the same results in SQL."""
 
-from .oracle import oracle_sql
+from . import more_sql, oracle, pages
 from .queries import queries
 
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle_sql() | pages.oracle_sql() | more_sql.oracle_sql()
+
+
 __all__ = ["oracle_sql", "queries"]

@@ -80,9 +80,6 @@ def oracle_sql() -> dict[str, str]:
     back = "row_number() OVER (PARTITION BY team ORDER BY date DESC, game DESC)"
     q["last_k"] = f"WITH {GAMES} SELECT * FROM (SELECT team, game, {back} AS back FROM g) WHERE back <= 5"
     q["ewm_last5"] = f"WITH {GAMES}, b AS (SELECT *, {back} AS back FROM g) SELECT team, round(sum(price * {_Q.format('back - 1')}) / sum({_Q.format('back - 1')}), 6) AS price_now FROM b WHERE back <= 5 GROUP BY team"
-    q["period_report"] = f"""WITH {GAMES}, b AS (SELECT *, {back} AS back FROM g), m AS (
-        SELECT team, pts, won, 'before' AS label FROM b WHERE date <= DATE '1998-06-30' UNION ALL SELECT team, pts, won, 'since' FROM b WHERE date >= DATE '1998-07-01' UNION ALL SELECT team, pts, won, 'last5' FROM b WHERE back <= 5)
-        SELECT team, label, count(*) AS games, sum(pts)::BIGINT AS pts, count(*) FILTER (won) AS wins FROM m GROUP BY team, label"""
     q["team_report"] = f"""WITH {FACTORS}, t AS (SELECT team, count(*) AS games, sum(pts)::BIGINT AS pts, sum(fgm)::BIGINT AS fgm, sum(fga)::BIGINT AS fga, sum(fg2m)::BIGINT AS fg2m, sum(fg2a)::BIGINT AS fg2a, sum(fg3m)::BIGINT AS fg3m, sum(fg3a)::BIGINT AS fg3a,
         sum(fta)::BIGINT AS fta, sum(orb)::BIGINT AS orb, sum(drb)::BIGINT AS drb, sum(ast)::BIGINT AS ast, sum(tov)::BIGINT AS tov, sum(opts)::BIGINT AS opts, sum(oorb)::BIGINT AS oorb, sum(odrb)::BIGINT AS odrb,
         sum(fga - orb + tov + 0.44::DOUBLE * fta) AS poss, sum(ofga - oorb + otov + 0.44::DOUBLE * ofta) AS oposs FROM f WHERE opts IS NOT NULL GROUP BY team)
@@ -106,10 +103,6 @@ def oracle_sql() -> dict[str, str]:
     q["similar_topk"] = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
         s AS (SELECT a.label AS season, a.vec_id AS player, b.vec_id AS "match", list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY season, player ORDER BY score DESC, "match") AS rank FROM s) SELECT season, player, "match", round(score, 6) AS score, rank FROM r WHERE rank <= 3"""
-    q["compare_pair"] = """WITH v AS (SELECT vec_id, i - 1 AS pos, 'f' || (i - 1) AS feature, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 11) t(i)),
-        z AS (SELECT *, coalesce((x - avg(x) OVER (PARTITION BY pos)) / nullif(stddev_pop(x) OVER (PARTITION BY pos), 0), 0) AS z FROM v),
-        d AS (SELECT a.pos, a.feature, a.x AS value_a, b.x AS value_b, abs(a.z - b.z) AS diff_z FROM z a JOIN z b ON a.pos = b.pos WHERE a.vec_id = 1 AND b.vec_id = 2)
-        SELECT feature, value_a, value_b, round(diff_z, 6) AS diff_z, row_number() OVER (ORDER BY diff_z, pos) <= 3 AS alike, row_number() OVER (ORDER BY diff_z DESC, pos) <= 3 AS different FROM d"""
     filled = lambda s: f"coalesce(last_value(CASE WHEN kind LIKE 'CANASTA%' THEN {s} END IGNORE NULLS) OVER (PARTITION BY game ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 0) AS {s}"
     q["score_ffill"] = f"WITH {ACTIONS} SELECT seq, {filled('home_score')}, {filled('away_score')} FROM act"
     quarters = """e AS (SELECT game, period, arg_max(home_score, n) AS home_score, arg_max(away_score, n) AS away_score FROM act WHERE kind = 'FINAL-PERIODO' AND period BETWEEN 1 AND 4 GROUP BY game, period),
@@ -138,17 +131,8 @@ def oracle_sql() -> dict[str, str]:
         last_value(CASE WHEN kind IN ('PERDIDA', 'REBOTE-DEFENSIVO', 'CANASTA-2P', 'CANASTA-3P', 'FINAL-PERIODO') THEN kind END IGNORE NULLS) OVER w AS stop FROM act WINDOW w AS (PARTITION BY game ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT game, side, sum(p)::BIGINT AS pts_after_turnover FROM s WHERE stop = 'PERDIDA' AND side <> turn.s AND kind LIKE 'CANASTA%' GROUP BY game, side"""
     q["lineup_segments"] = f"WITH {STINTS} SELECT game, side, n_from, n_to, array_to_string(lineup, ' / ') AS lineup FROM lu"
-    q["lineup_facts"] = f"""WITH {STINTS}, l AS (SELECT * FROM lu WHERE len(list_filter(lineup, lambda x: x IS NOT NULL)) = 2),
-        e AS (SELECT l.game, l.side, l.n_from, array_to_string(l.lineup, ' / ') AS lineup, act.side = l.side AS own, act.kind, act.p, act.side IS NOT NULL AND act.side <> l.side AS other FROM l LEFT JOIN act ON act.game = l.game AND act.n > l.n_from AND (l.n_to IS NULL OR act.n <= l.n_to))
-        SELECT side, lineup, sum(CASE WHEN own THEN p ELSE 0 END)::BIGINT AS pts, sum(CASE WHEN other THEN p ELSE 0 END)::BIGINT AS opp_pts,
-        round(sum(CASE WHEN own THEN CASE WHEN kind IN ('CANASTA-2P', 'CANASTA-3P', 'TIRO2-FALLADO', 'TIRO3-FALLADO', 'PERDIDA') THEN 1.0::DOUBLE WHEN kind IN ('CANASTA-1P', 'TIRO1-FALLADO') THEN 0.44::DOUBLE ELSE 0 END ELSE 0 END), 6) AS poss,
-        count(*) FILTER (own AND kind IN ('CANASTA-2P', 'CANASTA-3P', 'TIRO2-FALLADO', 'TIRO3-FALLADO')) AS fga, count(*) FILTER (own AND kind IN ('CANASTA-2P', 'CANASTA-3P')) AS fgm, count(*) FILTER (own AND kind IN ('CANASTA-3P', 'TIRO3-FALLADO')) AS fg3a,
-        count(*) FILTER (own AND kind IN ('CANASTA-1P', 'TIRO1-FALLADO')) AS fta, count(*) FILTER (own AND kind = 'PERDIDA') AS tov, count(*) FILTER (own AND kind = 'ASISTENCIA') AS ast, count(DISTINCT game) AS games FROM e GROUP BY side, lineup"""
     att = ", ".join(f"count(*) FILTER (model = '{z}') AS {z}_att, count(*) FILTER (model = '{z}' AND result = 'CONVERTIDO') AS {z}_made" for z in ("paint", "mid", "triple"))
     q["zone_profile"] = f"WITH {SHOTS}, {ZONES}, p AS (SELECT team, count(*) AS shots, {att} FROM zc WHERE top_pct <= 100 GROUP BY team) SELECT *, paint_att / shots AS paint_rate, mid_att / shots AS mid_rate, triple_att / shots AS triple_rate, paint_made / nullif(paint_att, 0) AS paint_efg FROM p"
-    q["zone_distribution"] = f"""WITH {SHOTS}, d(zone) AS (VALUES ('Z1-IZ'), ('Z2-DE'), ('Z7-IZ'), ('Z12-DE'), ('FRANJA-DE'), ('Z99-DE')), t AS (SELECT DISTINCT team FROM shots WHERE zone IS NOT NULL),
-        c AS (SELECT t.team, d.zone, count(s.result) AS att, count(*) FILTER (s.result = 'CONVERTIDO') AS made, count(*) FILTER (s.result = 'CONVERTIDO' AND s.kind = 'TIRO3') AS made3 FROM t CROSS JOIN d LEFT JOIN shots s ON s.team = t.team AND s.zone = d.zone GROUP BY ALL)
-        SELECT *, att / nullif(sum(att) OVER (PARTITION BY team), 0) AS share, made / nullif(att, 0) AS fg_pct, (made + 0.5::DOUBLE * made3) / nullif(att, 0) AS efg_pct FROM c"""
     q["zone_vs_league"] = f"""WITH {SHOTS}, p AS (SELECT team, zone, count(*) AS att, sum(CASE WHEN result = 'CONVERTIDO' THEN CASE WHEN kind = 'TIRO3' THEN 3 ELSE 2 END ELSE 0 END)::BIGINT AS pts FROM shots WHERE zone IS NOT NULL GROUP BY team, zone)
         SELECT team, zone, att, pts, pts / att AS ppa, sum(pts) OVER (PARTITION BY zone) / sum(att) OVER (PARTITION BY zone) AS league_ppa FROM p"""
     q["jersey_map"] = f"WITH {SHOTS} SELECT team, CASE WHEN jersey <= 9 THEN 'p' || team || '-' || jersey END AS player, count(*) AS shots FROM shots GROUP BY 1, 2"
@@ -179,33 +163,13 @@ def oracle_sql() -> dict[str, str]:
     q["percentile_profile"] = "SELECT c_custkey, round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal), 6) AS pctile FROM customer"
     q["half_season_trend"] = f"""WITH {GAMES}, h AS (SELECT *, ntile(2) OVER (PARTITION BY team ORDER BY date, game) AS half FROM g)
         SELECT team, avg(pts) FILTER (half = 1) AS first_half, avg(pts) FILTER (half = 2) AS second_half, avg(pts) FILTER (half = 2) - avg(pts) FILTER (half = 1) AS change FROM h GROUP BY team"""
-    q["player_report"] = f"""WITH {BOX}, p AS (SELECT supplier AS team, player, count(DISTINCT date) AS gp, sum(seconds)::BIGINT AS seconds, sum(fg2m + fg3m)::BIGINT AS fgm, sum(fg2a + fg3a)::BIGINT AS fga, sum(fg3m)::BIGINT AS fg3m, sum(fg3a)::BIGINT AS fg3a, sum(ast)::BIGINT AS ast, sum(tov)::BIGINT AS tov,
-        sum(fg2a + fg3a + 0.44::DOUBLE * fta + tov) AS used FROM box WHERE seconds > 0 GROUP BY ALL), s AS (SELECT *, sum(used) OVER (PARTITION BY team) AS tu, sum(fgm) OVER (PARTITION BY team) AS tf, row_number() OVER (PARTITION BY team ORDER BY seconds DESC, player) AS rank FROM p)
-        SELECT team, player, gp, round(seconds / 60.0::DOUBLE, 6) AS minutes, (fgm + 0.5::DOUBLE * fg3m) / fga AS efg_pct, fg3a / fga AS fg3_share, ast / tf AS ast_pct, ast / nullif(tov, 0) AS ast_tov, round(5 * (used / tu), 6) AS usg_share5, rank FROM s WHERE rank <= 8"""
     q["head_to_head"] = f"WITH {FACTORS} SELECT team, rival, count(*) FILTER (pts > opts) AS wins, count(*) FILTER (NOT pts > opts) AS losses FROM f WHERE opts IS NOT NULL AND team = 'O' AND rival = 'F' GROUP BY team, rival"
     q["foul_trouble"] = f"WITH {BOX} SELECT player, avg((pf >= 4)::INT) AS foul_trouble FROM box GROUP BY player"
     q["rotation"] = f"""WITH {BOX}, p AS (SELECT supplier AS team, player, avg(seconds) AS min_per_game FROM box GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY min_per_game DESC, player) AS rank FROM p) SELECT * FROM r WHERE rank <= 8"""
     sides = """b AS (SELECT game, kind, p, team, TRUE AS own FROM x UNION ALL SELECT game, kind, p, rival, FALSE FROM x)"""
-    q["clutch_team"] = f"""WITH {ACTIONS}, x AS (SELECT * FROM act WHERE period >= 4 AND clock <= 300 AND team IS NOT NULL), {sides},
-        t AS (SELECT team, count(DISTINCT game) AS games, coalesce(sum(p) FILTER (own), 0)::BIGINT AS pts, coalesce(sum(p) FILTER (NOT own), 0)::BIGINT AS opp_pts,
-        round(sum(CASE WHEN own AND kind IN ('CANASTA-2P', 'CANASTA-3P', 'TIRO2-FALLADO', 'TIRO3-FALLADO', 'PERDIDA') THEN 1.0::DOUBLE WHEN own AND kind IN ('CANASTA-1P', 'TIRO1-FALLADO') THEN 0.44::DOUBLE ELSE 0 END), 6) AS poss,
-        count(*) FILTER (own AND kind IN ('CANASTA-2P', 'CANASTA-3P', 'TIRO2-FALLADO', 'TIRO3-FALLADO')) AS fga, count(*) FILTER (own AND kind IN ('CANASTA-2P', 'CANASTA-3P')) AS fgm, count(*) FILTER (own AND kind = 'PERDIDA') AS tov,
-        count(*) FILTER (own AND kind = 'CANASTA-3P') AS m3 FROM b GROUP BY team) SELECT team, games, pts, opp_pts, poss, fga, fgm, tov, (fgm + 0.5::DOUBLE * m3) / nullif(fga, 0) AS efg_pct FROM t"""
     q["overtime_record"] = f"WITH {GAMES}, {ACTIONS} SELECT team, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses FROM g WHERE game % 400 IN (SELECT game FROM act WHERE period >= 5) GROUP BY team"
     q["stretch_points"] = f"WITH {ACTIONS}, x AS (SELECT * FROM act WHERE period = 3 AND clock >= 420 AND kind LIKE 'CANASTA%'), {sides} SELECT game, team, coalesce(sum(p) FILTER (own), 0)::BIGINT AS pts, coalesce(sum(p) FILTER (NOT own), 0)::BIGINT AS opp_pts FROM b GROUP BY game, team"
-    q["phase_comparison"] = f"""WITH {FACTORS}, p AS (SELECT team, date >= DATE '2000-01-01' AS late, count(*) AS games, sum(pts)::BIGINT AS pts, sum(fgm)::BIGINT AS fgm, sum(fg3m)::BIGINT AS m3, sum(fga)::BIGINT AS fga FROM f WHERE opts IS NOT NULL GROUP BY 1, 2)
-        SELECT team, max(games) FILTER (NOT late) AS games_regular, max(games) FILTER (late) AS games_playoff, max(pts / games) FILTER (NOT late) AS pts_per_game_regular, max(pts / games) FILTER (late) AS pts_per_game_playoff,
-        max((fgm + 0.5::DOUBLE * m3) / fga) FILTER (late) - max((fgm + 0.5::DOUBLE * m3) / fga) FILTER (NOT late) AS efg_pct_change FROM p GROUP BY team"""
-    q["recent_form"] = f"WITH {FACTORS}, b AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY date DESC, game DESC) AS back FROM f WHERE opts IS NOT NULL) SELECT team, game, back, ortg - drtg AS net_rating FROM b WHERE back <= 10"
-    q["usage_per_game"] = f"""WITH {BOX}, p AS (SELECT supplier AS team, game, player, sum(seconds)::BIGINT AS seconds, sum(fg2a + fg3a)::BIGINT + 0.44::DOUBLE * sum(fta)::BIGINT + sum(tov)::BIGINT AS used FROM box GROUP BY ALL), q AS (SELECT * FROM p WHERE seconds > 0),
-        u AS (SELECT *, used / nullif((seconds / 2400.0::DOUBLE) * sum(used) OVER (PARTITION BY team, game), 0) AS usage FROM q),
-        m AS (SELECT team, player FROM (SELECT team, player, row_number() OVER (PARTITION BY team ORDER BY sum(seconds) DESC, player) AS r FROM q GROUP BY team, player) WHERE r <= 5)
-        SELECT team, game, player, round(usage, 6) AS usage FROM u SEMI JOIN m USING (team, player)"""
     q["allowed_zones"] = f"""WITH {SHOTS}, {ZONES} SELECT (team + 1) % 20 AS team, count(*) AS shots, count(*) FILTER (report = 'paint') AS paint_att, count(*) FILTER (report = 'mid') AS mid_att, count(*) FILTER (report = 'triple') AS triple_att,
         count(*) FILTER (report = 'paint' AND result = 'CONVERTIDO') / nullif(count(*) FILTER (report = 'paint'), 0) AS paint_efg FROM zc GROUP BY 1"""
-    q["executive_comparison"] = f"""WITH {FACTORS}, o AS (SELECT *, pts > opts AS won, row_number() OVER (PARTITION BY team ORDER BY date DESC, game DESC) AS back FROM f WHERE opts IS NOT NULL),
-        w AS (SELECT team, count(*)::DOUBLE AS games, sum(pts) / count(*) AS pts_per_game, (count(*) FILTER (won))::DOUBLE AS wins_h2h, (count(*) FILTER (NOT won))::DOUBLE AS losses_h2h, (count(*) FILTER (won AND back <= 10))::DOUBLE AS wins_last10,
-              CASE WHEN team = 'O' THEN (count(*) FILTER (won))::DOUBLE END AS wins_home, CASE WHEN team = 'F' THEN (count(*) FILTER (won))::DOUBLE END AS wins_away FROM o GROUP BY team),
-        l AS (SELECT team, u.metric, u.value FROM w, LATERAL (VALUES ('games', games), ('pts_per_game', pts_per_game), ('wins_h2h', wins_h2h), ('losses_h2h', losses_h2h), ('wins_last10', wins_last10), ('wins_home', wins_home), ('wins_away', wins_away)) u(metric, value))
-        SELECT metric, max(value) FILTER (team = 'O') AS a, max(value) FILTER (team = 'F') AS b FROM l GROUP BY metric"""
+    q["stream_ingest"] = "SELECT user_id AS game, count(*) AS n FROM events GROUP BY user_id"
     return q

@@ -18,7 +18,7 @@ from ..operators import similarity as sm
 from ..operators import teamgame as tg
 from ..operators import winprob as wp
 from ..sources import extract, tables
-from . import roles
+from . import more, pages, roles
 
 GAME, EVENT_ORDER = ("game",), ("ts", "seq")
 
@@ -72,7 +72,7 @@ def ewm_last5(spark, sf):
 
 
 def period_report(spark, sf):
-    rows = [(None, "before", None, "1998-06-30", None), (None, "since", "1998-07-01", None, None), (None, "last5", None, None, 5)]
+    rows = [(None, "before", None, "1998-06-30", None), (None, "since", "1998-07-01", None, None), (None, "last5", None, None, 5), (10, "own", "1995-01-01", None, None), (10, "last2", None, None, 2), (13, "last2", None, None, 3), (None, "all", None, None, 1200)]
     dim = spark.createDataFrame(rows, "team long, label string, date_from string, date_to string, last_k int").withColumns({c: F.col(c).cast("date") for c in ("date_from", "date_to")})
     member = rp.period_membership(roles.games(spark, sf), dim, keys=())
     return member.groupBy("team", "label").agg(F.count("*").alias("games"), F.sum("pts").alias("pts"), F.count_if("won").alias("wins"))
@@ -135,8 +135,8 @@ def similar_topk(spark, sf):
 
 
 def compare_pair(spark, sf):
-    v = _vectors(spark, sf).select(F.lit("all").alias("league"), F.concat(F.lit("v"), F.col("player").cast("string")).alias("player"), F.col("season").cast("string").alias("season"), *(F.get("vector", F.lit(i)).alias(f"f{i}") for i in range(10)))
-    cols = [f"f{i}" for i in range(10)]
+    v = _vectors(spark, sf).select(F.lit("all").alias("league"), F.concat(F.lit("v"), F.col("player").cast("string")).alias("player"), F.col("season").cast("string").alias("season"), *(F.get("vector", F.lit(i)).alias(f"f{i}") for i in range(64)))
+    cols = [f"f{i}" for i in range(64)]
     return sm.compare(sm.z_scores(v, cols), "v1", "v2", cols).select("feature", "value_a", "value_b", F.round("diff_z", 6).alias("diff_z"), "alike", "different")
 
 
@@ -194,10 +194,11 @@ def lineup_segments(spark, sf):
 
 
 def lineup_facts(spark, sf):
-    a = li.numbered(roles.actions(spark, sf), GAME, EVENT_ORDER).withColumn("elapsed", fn.elapsed_seconds("period", "clock"))
+    a = li.timed(li.numbered(roles.actions(spark, sf), GAME, EVENT_ORDER), GAME)
     on = li.on_court(li.segments(a, GAME), li.stints(a, GAME), GAME, size=2)
     rated = li.lineup_ratings(li.segment_facts(a, on, GAME), ("side",), least_minutes=None)
-    return rated.select("side", F.array_join("lineup", " / ").alias("lineup"), "pts", "opp_pts", F.round("poss", 6).alias("poss"), "fga", "fgm", "fg3a", "fta", "tov", "ast", "games")
+    six = [F.round(c, 6).alias(c) for c in ("minutes", "poss", "opp_poss", "ortg", "drtg", "net", "tov_pct", "fg3_share", "ft_rate", "ast_pct", "poss_per_game")]
+    return rated.select("side", F.array_join("lineup", " / ").alias("lineup"), "label", "pts", "opp_pts", "fga", "fgm", "fg3a", "fta", "tov", "ast", "games", *six)
 
 
 def zone_profile(spark, sf):
@@ -303,8 +304,11 @@ def half_season_trend(spark, sf):
 
 def player_report(spark, sf):
     rows = roles.box_rows(spark, sf).withColumns({"team": F.col("supplier"), "fgm": F.col("fg2m") + F.col("fg3m"), "fga": F.col("fg2a") + F.col("fg3a")})
-    out = rp.player_report(rows, group=("team",))
-    return rp.top_n(out, ("team",), [F.desc("minutes"), "player"], 8).select("team", "player", "gp", F.round("minutes", 6).alias("minutes"), "efg_pct", "fg3_share", "ast_pct", "ast_tov", F.round("usg_share5", 6).alias("usg_share5"), "rank")
+    # a team's totals hold one turnover a game that no player has
+    totals = tg.team_box(rows.drop("fgm", "fga"), context=("date",), keys=()).withColumn("tov", F.col("tov") + 1)
+    out = rp.player_report(rows, ("team",), totals)
+    six = [F.round(c, 6).alias(c) for c in ("minutes", "min_per_game", "usg_share5", "usg_scaled", "tov_pct")]
+    return rp.top_n(out, ("team",), [F.desc("minutes"), "player"], 8).select("team", "player", "gp", "pts_per_game", "efg_pct", "fg3_share", "ast_pct", "ast_per_fgm", "ast_tov", *six, "rank")
 
 
 def head_to_head(spark, sf):
@@ -328,8 +332,11 @@ def zone_rules(spark, sf):
 
 
 def clutch_team(spark, sf):
-    out = dc.clutch_team_report(roles.actions(spark, sf), (F.col("period") >= 4) & (F.col("clock") <= 300), GAME, keys=())
-    return out.select("team", "games", "pts", "opp_pts", F.round("poss", 6).alias("poss"), "fga", "fgm", "tov", "efg_pct")
+    a = roles.actions(spark, sf)
+    last = a.groupBy("game").agg(F.max("home_score").alias("h"), F.max("away_score").alias("a"))
+    results = last.select("game", F.explode(F.array(F.struct(F.lit("home").alias("team"), (F.col("h") > F.col("a")).alias("won")), F.struct(F.lit("away").alias("team"), (F.col("a") > F.col("h")).alias("won")))).alias("r")).select("game", "r.*")
+    out = dc.clutch_team_report(a, (F.col("period") >= 4) & (F.col("clock") <= 300), GAME, keys=(), results=results)
+    return out.select("team", "games", "wins", "losses", "pts", "opp_pts", "fga", "fgm", "tov", "efg_pct", *(F.round(c, 6).alias(c) for c in ("poss", "opp_poss", "ortg", "drtg", "tov_pct")))
 
 
 def overtime_record(spark, sf):
@@ -342,18 +349,22 @@ def stretch_points(spark, sf):
 
 
 def phase_comparison(spark, sf):
-    rows = _opponents(spark, sf).withColumn("phase", F.when(F.col("date") >= "2000-01-01", "playoff").otherwise("regular"))
-    return dc.phase_comparison(rows, keys=()).select("team", "games_regular", "games_playoff", "pts_per_game_regular", "pts_per_game_playoff", "efg_pct_change")
+    cutoffs = spark.createDataFrame([("O", "2000-01-01"), ("F", "1994-01-01")], "team string, cutoff string").withColumn("cutoff", F.col("cutoff").cast("date"))
+    rows = rp.phase(_opponents(spark, sf), cutoffs, keys=())
+    out = dc.phase_comparison(rows, keys=())
+    return out.select("team", *(F.round(c, 6).alias(c) for c in out.columns if c != "team"))
 
 
 def recent_form(spark, sf):
-    rows = _factors(spark, sf).where("opp_pts is not null")
-    return dc.recent_form(rows, 10, keys=()).select("team", "game", "back", "net_rating")
+    rows = _factors(spark, sf).where("opp_pts is not null").withColumn("won", F.col("pts") > F.col("opp_pts"))
+    return dc.recent_form(rows, 10, keys=()).select("team", "game", "back", "rival", "won", "ortg", "drtg", "net_rating")
 
 
 def usage_per_game(spark, sf):
-    rows = roles.box_rows(spark, sf).groupBy(F.col("supplier").alias("team"), "game", "player").agg(*(F.sum(c).alias(c) for c in ("seconds", "fg2a", "fg3a", "fta", "tov"))).withColumn("fga", F.col("fg2a") + F.col("fg3a"))
-    return dc.usage_per_game(rows, keys=()).select("team", "game", "player", F.round("usage", 6).alias("usage"))
+    box = roles.box_rows(spark, sf).withColumn("team", F.col("supplier"))
+    rows = box.groupBy("team", "game", "player").agg(*(F.sum(c).alias(c) for c in ("seconds", "fg2a", "fg3a", "fta", "tov"))).withColumn("fga", F.col("fg2a") + F.col("fg3a"))
+    team = tg.team_box(box, context=("date",), keys=()).select("team", "game", fn.possessions("fga", "orb", "tov", "fta", 1.0).alias("poss"))
+    return dc.usage_per_game(rows, team, keys=()).select("team", "game", "player", F.round("usage", 6).alias("usage"))
 
 
 def allowed_zones(spark, sf):
@@ -362,8 +373,7 @@ def allowed_zones(spark, sf):
 
 
 def executive_comparison(spark, sf):
-    out = dc.executive_comparison(_opponents(spark, sf), "O", "F", keys=())
-    return out.where(F.col("metric").isin("games", "pts_per_game", "wins_h2h", "losses_h2h", "wins_last10", "wins_home", "wins_away"))
+    return dc.executive_comparison(_opponents(spark, sf), "O", "F", keys=()).select("metric", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
 def _model_rows(spark, sf):
@@ -378,28 +388,52 @@ def _model_rows(spark, sf):
 MODEL_FEATURES = ["home", "form_ewm", "win_last5"]
 
 
+def winprob_scaling(spark, sf):
+    cut = hi.temporal_cut(_model_rows(spark, sf).dropna(subset=[*MODEL_FEATURES, "win"]), "date", ["game"]).where("is_train")
+    scale = wp.scaling(cut, MODEL_FEATURES)
+    n = cut.count()
+    return spark.createDataFrame([(f, n, round(m, 9), round(d, 9)) for f, (m, d) in scale.items()], "feature string, n long, mean double, deviation double")
+
+
 def winprob_fit(spark, sf):
     model = wp.train(_model_rows(spark, sf), MODEL_FEATURES)
-    return model.coefficients(spark)
+    return model.coefficients(spark).select("feature", F.round("coefficient", 4).alias("coefficient"))
+
+
+def _four(metrics):
+    return metrics.select(*(c for c in metrics.columns if c not in ("accuracy", "auc", "log_loss")), *(F.round(c, 4).alias(c) for c in ("accuracy", "auc", "log_loss")))
 
 
 def winprob_cv(spark, sf):
-    return wp.cross_validate(_model_rows(spark, sf), MODEL_FEATURES, order=["game"])
+    return _four(wp.cross_validate(_model_rows(spark, sf), MODEL_FEATURES, order=["game"]))
+
+
+def winprob_cv_summary(spark, sf):
+    out = wp.cv_summary(wp.cross_validate(_model_rows(spark, sf), MODEL_FEATURES, order=["game"]))
+    return out.select(*(F.round(c, 4).alias(c) for c in out.columns))
+
+
+def winprob_holdout(spark, sf):
+    model, scored = wp.train_holdout(_model_rows(spark, sf), MODEL_FEATURES, order=["game"])
+    return _four(wp.metrics(scored).withColumn("n_train", F.lit(model.meta["n_rows"]).cast("long")))
 
 
 def winprob_platt(spark, sf):
     rows = _model_rows(spark, sf)
     model = wp.train_calibrated(rows, MODEL_FEATURES, order=["game"])
-    return wp.metrics(model.transform(rows.dropna(subset=MODEL_FEATURES)))
+    return _four(wp.metrics(model.transform(rows.dropna(subset=MODEL_FEATURES))))
 
 
-def stream_ingest(spark, sf):
-    import os
-    import tempfile
-    import uuid
+def winprob_retrain(spark, sf):
+    """The production model, saved and read back, scores its rows; its metadata beside them."""
+    rows = _model_rows(spark, sf)
+    model = wp.retrain(rows, f"{roles.scratch(spark)}/model", MODEL_FEATURES, order=["game"])
+    out = model.transform(rows.dropna(subset=MODEL_FEATURES))
+    return out.select("game", F.round("prob", 3).alias("prob"), F.lit(model.meta["n_rows"]).alias("n_rows"), F.lit(model.meta["last_date"]).alias("last_date"))
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'tablero')}"
-    work = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+def stream_ingest(spark, sf):
+    work = roles.scratch(spark)
     events = roles.table(spark, sf, "events")
     games = events.select(F.col("user_id").alias("game"), "event_id", "event_type")
     games.repartition(2).write.parquet(f"{work}/landing")
@@ -416,9 +450,9 @@ def _own() -> list[Callable]:
         win_loss_diff, streaks, rest_buckets, bursts, player_season, zscore, similar_topk, compare_pair, score_ffill, quarter_delta, quarter_points, pace_weighted, clutch_net, clutch_share, assist_pairs,
         second_chance, rebound_result, after_turnover, lineup_segments, lineup_facts, zone_profile, zone_distribution, zone_vs_league, jersey_map, shot_cell_parse, name_split, clock_parse, date_stadium,
         link_extract, dedupe_first, json_explode, incremental_new, time_folds, temporal_cut, auc_logloss, fixture_state_join, percentile_profile, half_season_trend, player_report, head_to_head, foul_trouble,
-        rotation, zone_rules, clutch_team, overtime_record, stretch_points, phase_comparison, recent_form, usage_per_game, allowed_zones, executive_comparison, winprob_fit, winprob_cv, winprob_platt, stream_ingest,
+        rotation, zone_rules, clutch_team, overtime_record, stretch_points, phase_comparison, recent_form, usage_per_game, allowed_zones, executive_comparison, winprob_scaling, winprob_fit, winprob_cv, winprob_cv_summary, winprob_holdout, winprob_platt, winprob_retrain, stream_ingest,
     ]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _own()}
+    return {f.__name__: f for f in _own()} | more.queries() | pages.queries()

@@ -97,6 +97,17 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Predicted fixtures as CSV, in the order of the fixture: fecha, local, visitante, prob_local, prob_visit."""
+    export_csv(predictions.select(F.date_format("date", "dd/MM/yyyy").alias("fecha"), "local", "visitante", "prob_local", "prob_visit"), path)
+
+
+def write_profiles(players: DataFrame, path: str) -> None:
+    """Player profiles as CSV: liga, nombre_completo, nombre_abreviado, fecha_nacimiento, url_perfil."""
+    names = {"league": "liga", "full_name": "nombre_completo", "short_name": "nombre_abreviado", "birth_date": "fecha_nacimiento", "url": "url_perfil"}
+    export_csv(players.select(*(F.col(c).alias(n) for c, n in names.items())), path)
+
+
 def new_rows(incoming: DataFrame, existing: DataFrame, key: Sequence[str] = ("league", "game")) -> DataFrame:
     """Incoming rows of games that are not known yet, full duplicates folded."""
     return incoming.join(existing.select(*key).distinct(), list(key), "left_anti").dropDuplicates()

@@ -1,4 +1,4 @@
-"""Incremental ingest of a landing folder: each file is read once, each game is appended once."""
+"""Incremental ingest of a landing folder: each file is read once, each row of a new game is appended once."""
 
 from __future__ import annotations
 
@@ -12,17 +12,41 @@ from ..sources.tables import new_rows
 
 
 def ingest_stream(spark: SparkSession, landing: str, schema: StructType, target: str, checkpoint: str, key: Sequence[str] = ("league", "game"), partition_by: Sequence[str] = (), files_per_batch: int = 1000) -> StreamingQuery:
-    """Append games that ``target`` does not hold yet. A batch that is run again finds its games known, so it changes nothing."""
+    """Read the files that are there now and append the rows of games that ``target`` did not hold before this run; returns when done.
+
+    The games known before a run are written beside the checkpoint, and renewed only after a run that came to its end, so a game whose rows
+    lie in files of several batches arrives whole, also over a restart. A batch that is run again finds its rows in the target, so it changes nothing.
+    """
+    known, done = f"{checkpoint.rstrip('/')}-known", f"{checkpoint.rstrip('/')}-done"
+    if not _exists(spark, f"{known}/_SUCCESS") or _exists(spark, done):
+        before = spark.read.schema(schema).parquet(target) if _exists(spark, target) else spark.createDataFrame([], schema)
+        before.select(*key).distinct().write.mode("overwrite").parquet(known)
+        _path(spark, done)[0].delete(_path(spark, done)[1], True)
+    key_schema = StructType([schema[k] for k in key])
 
     def append(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        try:
-            rows = new_rows(batch, session.read.schema(schema).parquet(target), key)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = batch.dropDuplicates()
+        rows = new_rows(batch, session.read.schema(key_schema).parquet(known), key)
+        if _exists(session, target):
+            same = session.read.schema(schema).parquet(target)
+            on = [rows[c.name].eqNullSafe(same[c.name]) for c in schema]
+            rows = rows.join(same, on, "left_anti")
         rows.write.mode("append").partitionBy(*partition_by).parquet(target)
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
-    return source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    fs, path = _path(spark, done)
+    fs.mkdirs(path)
+    return query
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    """The store and its name of a path that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)

@@ -199,3 +199,30 @@ def test_period_membership_keeps_more_than_a_thousand_last_games(spark):
     dim = spark.createDataFrame([(None, "last1200", None, None, 1200), (None, "last2", None, None, 2)], "team string, label string, date_from date, date_to date, last_k int")
     got = {r["label"]: r["count"] for r in rp.period_membership(games, dim, keys=()).groupBy("label").count().collect()}
     assert got == {"last1200": 1200, "last2": 2}
+
+
+def test_period_membership_keeps_teams_and_keys_apart(spark):
+    rows = [("l", t, d, f"2024-01-{d:02d}") for t in "AB" for d in range(1, 10)]
+    games = spark.createDataFrame(rows, "league string, team string, game int, date string").withColumn("date", F.col("date").cast("date"))
+    dim = [("l", "A", "last3", None, None, 3), (None, None, "early", None, "2024-01-02", None), ("other", None, "none", None, None, 5), (None, "B", "last1", None, None, 1)]
+    dim = spark.createDataFrame(dim, "league string, team string, label string, date_from string, date_to string, last_k int").withColumns({c: F.col(c).cast("date") for c in ("date_from", "date_to")})
+    got = sorted((r["label"], r["team"], r["game"]) for r in rp.period_membership(games, dim, keys=("league",)).collect())
+    assert got == sorted([("last3", "A", d) for d in (7, 8, 9)] + [("early", t, d) for t in "AB" for d in (1, 2)] + [("last1", "B", 9)])
+
+
+def test_player_features_by_hand(spark):
+    one = {"player": "P", "season": "s", "minutes": 400.0, "pts": 200, "fg2m": 50, "fg2a": 100, "fg3m": 20, "fg3a": 50, "ftm": 40, "fta": 50, "orb": 30, "drb": 70, "ast": 60, "stl": 20, "blk": 10, "tov": 30}
+    r = sm.features(spark.createDataFrame([one])).first()
+    want = {"pts_40": 20, "fga_40": 15, "ast_40": 6, "trb_40": 10, "stl_40": 2, "blk_40": 1, "tov_40": 3, "fg3a_40": 5, "fta_40": 5, "fg_pct": 70 / 150, "fg3_pct": 0.4, "ft_pct": 0.8, "efg_pct": 80 / 150, "ts_pct": 200 / (2 * (150 + 22)), "ast_tov": 2, "fg3_rate": 1 / 3, "ft_rate": 1 / 3, "orb_share": 0.3, "drb_share": 0.7}
+    assert set(want) == set(sm.FEATURES) and all(abs(r[f] - v) < 1e-12 for f, v in want.items())
+    assert abs(sum(sm.WEIGHTS.values()) - 1) < 1e-12 and sum(w == 0 for w in sm.WEIGHTS.values()) == 4
+
+
+def test_lineup_minutes_span_the_boundaries(spark):
+    ddl = "game int, seq int, kind string, side string, player string, period int, clock int"
+    rows = [(1, 1, "INICIO-PERIODO", None, None, 1, None), (1, 2, "CAMBIO-JUGADOR-ENTRA", "LOCAL", "A", 1, 600), (1, 3, "CANASTA-2P", "LOCAL", "A", 1, 500), (1, 4, "REBOTE-OFENSIVO", "LOCAL", "A", 1, 450), (1, 5, "CAMBIO-JUGADOR-SALE", "LOCAL", "A", 1, 100), (1, 6, "CAMBIO-JUGADOR-ENTRA", "LOCAL", "B", 1, 100), (1, 7, "FINAL-PERIODO", None, None, 1, None), (1, 8, "INICIO-PERIODO", None, None, 2, None), (1, 9, "FINAL-PERIODO", None, None, 2, None)]
+    a = li.timed(li.numbered(spark.createDataFrame(rows, ddl), ("game",), ("seq",)), ("game",))
+    on = li.on_court(li.segments(a, ("game",)), li.stints(a, ("game",)), ("game",), size=1)
+    facts = li.segment_facts(a.withColumn("team", F.lit("t")), on, ("game",))
+    got = {tuple(r["lineup"]): (r["seconds"], r["poss"]) for r in facts.groupBy("lineup").agg(F.sum("seconds").alias("seconds"), F.sum("poss").alias("poss")).collect()}
+    assert got == {("A",): (500, 0.0), ("B",): (700, 0.0)}
