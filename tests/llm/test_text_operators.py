@@ -217,7 +217,8 @@ def test_pitman_yor_base_and_gain(nasty, nasty_rows, empty):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["train_tokens"] == n
         assert (r["n_tokens"], r["n_known"], r["held_out"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), held(r["doc_id"]))
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
-    assert op8.score(empty).count() == 0
+    assert all(math.isclose(r["perplexity"], 10 ** (-r["score"] / r["n_tokens"])) for r in rows)
+    assert op8.score(empty).count() == 0 and not [t for t in empty.sparkSession.catalog.listTables() if t.name.startswith("tablero_")]
 
 
 def test_pitman_yor_sums_to_one(spark):
@@ -245,7 +246,26 @@ def test_pitman_yor_sums_to_one(spark):
 
 def test_seating_follows_the_process():
     rng = np.random.default_rng(1)
-    t = op8.seated(np.array([0, 1, 2, 1000]), np.full(4, 0.5), 0.5, rng)
+    even, none = np.full(20000, 0.5), np.zeros(20000)
+    t = op8.seated(np.array([0, 1, 2, 1000]), even[:4], none[:4], 0.5, rng).tables
     assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and 1 <= t[3] <= 1000
-    many = op8.seated(np.full(20000, 2), np.full(20000, 0.5), 0.5, rng)
+    many = op8.seated(np.full(20000, 2), even, none, 0.5, rng).tables
     assert abs((many == 2).mean() - 0.5 / (1 - 0.5 + 0.5)) < 0.02
+
+
+def test_steps_reach_the_exact_distribution_of_tables():
+    """Against the sum over all seatings of c customers at t tables, by the recursion of generalised Stirling numbers."""
+    d, fresh, slope = 0.7, 0.2, 0.05
+    for c in (2, 3, 6, 40):
+        ways = np.zeros((c + 1, c + 2))
+        ways[0, 0] = 1
+        for n in range(c):
+            for t in range(n + 1):
+                ways[n + 1, t] += ways[n, t] * max(n - d * t, 0)
+                ways[n + 1, t + 1] += ways[n, t]
+        want = np.array([ways[c, t] * np.prod([fresh + slope * i for i in range(t)]) for t in range(c + 1)])
+        want /= want.sum()
+        rng, state = np.random.default_rng(2), op8.Paths(np.full(20000, c))
+        for _ in range(12):
+            state = op8.reseated(state, np.full(20000, fresh), np.full(20000, slope), d, rng)
+        assert np.abs(np.bincount(state.tables, minlength=c + 1) / 20000 - want).max() < 0.015
