@@ -9,7 +9,7 @@ offset, stays; all others are removed from their texts, with their places in the
 chance repeats of one to three words. Units may overlap; what goes is their union.
 
 Units are dealt by ranges of (digest, doc_id, offset), so that a line of very many copies spreads over many tasks; each task walks its sorted
-rows, and one summary row per partition tells the next where its first digest began.
+rows, and one row per partition tells whether its first digest began in the partition before.
 
 Defined cases: null texts stay null and empty ones empty, without units; rows without doc_id rank last; rows that repeat doc_id and text are
 the same document, so a unit at the same offset of them is one occurrence; rows that share a doc_id but not the text are
@@ -94,58 +94,38 @@ def hashed_units(docs: DataFrame, min_words: int) -> DataFrame:
     return named(docs).mapInArrow(run, "doc_id long, name int, start int, end int, digest binary")
 
 
-_PLACE = ["doc_id", "name", "start"]
-
-
 def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, name, start, end, first_doc_id, first_start of the removed units; repeated rows repeat theirs."""
+    """doc_id, name, start, end of the removed units; repeated rows repeat theirs."""
     spark = docs.sparkSession
     order = ["digest", F.col("doc_id").asc_nulls_last(), "start", "name"]
     dealt = staged(hashed_units(docs, min_words)).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    ddl = "doc_id long, name int, start int, end int, first_doc_id long, first_name int, first_start int, pid int, digest binary"
+    ddl = "doc_id long, name int, start int, end int, pid int, digest binary, last binary"
 
     def run(batches) -> Iterator:
-        """Removed units; with a digest the rows of the partition's first one, still to be judged; without an end the partition's last digest and its first place."""
+        """Removed units: all but the first of a digest; and with pid and digests the partition's first row, which may be the first or not, and its last digest."""
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        names = [*_PLACE, "end", *(f"first_{c}" for c in _PLACE), "pid", "digest"]
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-        pid, now, place, opening = TaskContext.get().partitionId(), None, None, None
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "name", "start", "end", "pid", "digest", "last"])
+        now, place, opening = None, None, None
         for b in batches:
             out = []
             for doc, name, start, end, digest in zip(*(c.to_pylist() for c in b.columns)):
                 if digest != now:
-                    opening = digest if opening is None else opening
                     now, place = digest, (doc, name, start)
-                if digest == opening:
-                    out.append((doc, name, start, end, *place, pid, digest))
+                    opening = opening or (doc, name, start, end, TaskContext.get().partitionId(), digest)
                 elif (doc, name, start) != place:
-                    out.append((doc, name, start, end, *place, pid, None))
+                    out.append((doc, name, start, end, None, None, None))
             if out:
                 yield batch(out)
         if now is not None:
-            yield batch([(None, None, None, None, *place, pid, now)])
+            yield batch([(*opening, now)])
 
     found = staged(dealt.mapInArrow(run, ddl))
-    first = [f"first_{c}" for c in _PLACE]
-    # one row per partition: where the digest began that the following partitions open with
-    ends = sorted((r["pid"], bytes(r["digest"]), *(r[c] for c in first)) for r in found.where("end is null").collect())
-    opened, begun = [], None
-    for pid, digest, *place in ends:
-        if begun is not None:
-            opened.append((pid, *begun))
-        if begun is None or begun[0] != digest:
-            begun = (digest, *place)
-    table = spark.createDataFrame(opened, "pid int, digest binary, b_first_doc_id long, b_first_name int, b_first_start int")
-    known = F.col("b_first_start").isNotNull()
-    edge = found.where("end is not null and digest is not null").join(F.broadcast(table), ["pid", "digest"], "left")
-    edge = edge.select(*_PLACE, "end", *(F.when(known, F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) for c in first))
-    rows = found.where("digest is null").select(*edge.columns).unionByName(edge)
-    same = F.lit(True)
-    for c in _PLACE:
-        same = same & F.col(c).eqNullSafe(F.col(f"first_{c}"))
-    return rows.where(~same).drop("first_name")
+    edges = sorted(found.where("pid is not null").collect(), key=lambda r: r["pid"])  # one row per partition
+    again = [tuple(r[c] for c in ("doc_id", "name", "start", "end")) for before, r in zip(edges, edges[1:]) if bytes(before["last"]) == bytes(r["digest"])]
+    rows = found.where("pid is null").select("doc_id", "name", "start", "end")
+    return rows.unionByName(spark.createDataFrame(again, rows.schema))
 
 
 def cleaned(text: str, cuts: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]], int, int]:
