@@ -7,8 +7,8 @@ terms of weight times the term's extreme; it visits blocks by falling bound and
 index until the next bound lies below its k-th score (equal bounds are visited, for ties). A first
 pass over each query's own range gives thresholds with which every other range starts.
 
-Queries and ranges meet on an explicit range key, a chunk of queries per range and row; what leaves a range is k
-rows per query at most.
+Chunks of queries first meet the extremes of the ranges, EXTREMES ranges to a row, and only queries whose bound reaches their threshold
+travel on to a range's vectors; what leaves a range is k rows per query at most.
 
 Defined cases: null vectors and vectors that hold null or non-finite components take no part; shorter vectors count as padded with zero weights;
 fewer than k other vectors give as many rows as there are; ties go to the smaller id; a
@@ -28,6 +28,8 @@ from .common import ordered_offsets, staged
 
 K, EVERY, SCALE = 5, 50, 256
 RANGE_ROWS, BLOCK_ROWS, CHUNK_ROWS = 4096, 128, 256
+#: Ranges whose extremes stand in one row.
+EXTREMES = 256
 _DDL = "query_id long, vec_id long, score long"
 
 
@@ -136,6 +138,56 @@ def search(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(run, _DDL)
 
 
+def extremes(ranges: DataFrame, each: int) -> DataFrame:
+    """block, keys, dims, high, low: the largest and smallest weights of each range, ``each`` ranges to a row."""
+
+    def one(batches) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for key, ids, w, dims in zip(*(c.to_pylist() for c in b.columns)):
+                m = np.frombuffer(w, np.float64).reshape(len(ids) // 8, dims)
+                out.append((key // each, key, m.max(0).tobytes(), m.min(0).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "key", "high", "low"])
+
+    def side(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("key")
+        high, low = gather(list(pdf["high"])), gather(list(pdf["low"]))
+        return pd.DataFrame([(pdf["block"].iloc[0], pdf["key"].to_numpy(np.int64).tobytes(), high.shape[1], high.tobytes(), low.tobytes())], columns=["block", "keys", "width", "high", "low"])
+
+    rows = ranges.select("key", "ids", "w", "dims").mapInArrow(one, "block long, key long, high binary, low binary")
+    return rows.groupBy("block").applyInPandas(side, "block long, keys binary, width long, high binary, low binary")
+
+
+def promising(chunks: DataFrame, ends: DataFrame) -> DataFrame:
+    """to, ids, w, dims, floors: for each range the queries of a chunk whose bound there reaches their floor."""
+    blocks = ends.count()
+    spread = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(blocks - 1, 0)).cast("long"))))
+    met_ends = spread.join(ends, "block").select("ids", "w", "dims", "floors", "keys", "width", "high", "low")
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+        for b in batches:
+            for ids, w, dims, floors, keys, width, high, low in zip(*(c.to_pylist() for c in b.columns)):
+                ids, floors, keys = np.frombuffer(ids, np.int64), np.frombuffer(floors, np.float64), np.frombuffer(keys, np.int64)
+                q = np.frombuffer(w, np.float64).reshape(len(ids), dims)
+                high, low = (np.frombuffer(x, np.float64).reshape(len(keys), width) for x in (high, low))
+                d = min(dims, width)  # weights beyond the shorter side are zero there
+                bound = np.maximum(q[:, :d], 0) @ high[:, :d].T + np.minimum(q[:, :d], 0) @ low[:, :d].T
+                reach = bound + 1 + 1e-9 * np.abs(bound) >= floors[:, None]
+                out = [(int(keys[k]), ids[on].tobytes(), q[on].tobytes(), dims, floors[on].tobytes()) for k in range(len(keys)) if (on := reach[:, k]).any()]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["to", "ids", "w", "dims", "floors"])
+
+    return met_ends.mapInArrow(run, "to long, ids binary, w binary, dims long, floors binary")
+
+
 def best_k(rows: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -155,8 +207,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, range_rows: int =
     floor = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least"))
     again = asked.join(floor, asked["vec_id"] == floor["query_id"], "left").withColumn("floor", F.when(F.col("n") >= k, F.col("least")).otherwise(none))
     chunks = staged(side_by_side(again.withColumn("chunk", F.floor(F.col("at") / (chunk_rows * every))), "chunk"))
-    n_ranges = ranges.count()
-    aimed = chunks.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(max(n_ranges - 1, 0))))).repartition(max(1, n_ranges), "to", "key")
+    aimed = promising(chunks, staged(extremes(ranges, EXTREMES)))
     found = search(met(ranges, aimed, ranges["key"] == aimed["to"]), k)
     return best_k(found, k).select("query_id", "rank", "vec_id", "score")
 
