@@ -269,3 +269,26 @@ def test_steps_reach_the_exact_distribution_of_tables():
         for _ in range(12):
             state = op8.reseated(state, np.full(20000, fresh), np.full(20000, slope), d, rng)
         assert np.abs(np.bincount(state.tables, minlength=c + 1) / 20000 - want).max() < 0.015
+
+
+def test_a_dish_finished_alone_follows_the_process():
+    """One by one, customers at one dish open tables as often as the skipping search does."""
+    d, fresh, slope, c, rng = 0.7, 0.2, 0.05, 40, np.random.default_rng(3)
+    alone = np.array([1 + len(op8.finished(c, 1, 1, fresh, slope, d, rng)) for _ in range(20000)])
+    tables = np.zeros(c + 1)
+    tables[1] = 1
+    for i in range(1, c):
+        a = fresh + slope * np.arange(c + 1)
+        p = np.clip(a / np.maximum(a + i - d * np.arange(c + 1), a), 0, 1)
+        tables = tables * (1 - p) + np.r_[0, (tables * p)[:-1]]
+    assert np.abs(np.bincount(alone, minlength=c + 1) / 20000 - tables).max() < 0.015
+    assert op8.finished(9, 9, 2, fresh, slope, d, rng) == []
+
+
+def test_frequent_contexts_are_dealt_apart(spark):
+    """Counts of contexts decide their spread only; scores do not depend on it."""
+    docs = spark.createDataFrame([(i, f"the a{i % 7} the b{i % 5} rare{i}") for i in range(300)], "doc_id long, text string")
+    size, bits = op8.context_sizes(docs, most=100)
+    cell = lambda w: int(np.uint64(op8.hash_of(w)) >> np.uint64(op8.CELL_SHIFT))
+    assert size == sum(len(t) for _, t in docs.collect())
+    assert bits[cell("the")] == 3 and bits[cell("rare1")] == 0 and bits[int(op8.START >> np.uint64(op8.CELL_SHIFT))] == 2
