@@ -17,6 +17,9 @@ from .op07_topk import top_k
 from .op08_pitman_yor import score
 from .op09_exact_dedup import exact_dedup
 from .op10_mixing import mix
+from .op11_repair import repair
+from .op12_collocations import collocations
+from .op13_secrets import secrets
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +62,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of the subpackage; the pipeline counts as part of it."""
-    own = (op1_packing, op2_warc, op3_ngram_join, op4_substring_dedup, op5_toxicity, op6_quality, op7_topk, op8_pitman_yor, op9_exact_dedup, op10_mixing)
+    own = (op1_packing, op2_warc, op3_ngram_join, op4_substring_dedup, op5_toxicity, op6_quality, op7_topk, op8_pitman_yor, op9_exact_dedup, op10_mixing, op11_repair, op12_collocations, op13_secrets)
     return {f.__name__: f for f in (*own, pipeline)}
 
 
@@ -176,5 +191,110 @@ FROM p
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE
+k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+f AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT)),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 20 AS fate
+  FROM k),
+g AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM f WHERE fate <> 0),
+o AS (
+  SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS occ FROM g),
+p AS (
+  SELECT conv_id, turn, role, text, pos, role[1] AS ini, bare = '' AS blank, bare <> '' AND occ > 1 AS dup, bare <> '' AND occ = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+         coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) || role[1] NOT IN ('su', 'ua', 'au'), false) AS bad FROM o),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+         count(*) FILTER (cut) AS truncated, count(*) FILTER (bad) AS illegal, count(*) AS rows FROM p GROUP BY conv_id),
+t AS (
+  SELECT conv_id, rows + 1 AS pos, {'c': 0::BIGINT, 'a': ''} AS n, {'c': 4::BIGINT, 'a': 'II'} AS s, {'c': 2::BIGINT, 'a': 'I'} AS u, {'c': 0::BIGINT, 'a': ''} AS a FROM c
+  UNION ALL
+  SELECT conv_id, pos, list_min([n, {'c': cu.c + 2, 'a': 'I' || cu.a}]), list_min([s, {'c': cu.c + 2, 'a': 'I' || cu.a}]), cu, ca FROM (
+    SELECT conv_id, pos, n, s, list_min([u, {'c': a.c + 2, 'a': 'I' || a.a}]) AS cu, list_min([a, {'c': u.c + 2, 'a': 'I' || u.a}]) AS ca FROM (
+      SELECT t.conv_id, p.pos,
+             list_min([{'c': t.n.c + 3, 'a': 'D' || t.n.a}, CASE WHEN NOT blank AND NOT dup THEN {'c': t.u.c + 2 + cut::INT, 'a': 'R' || t.u.a} END,
+                       CASE WHEN NOT blank AND NOT dup AND ini = 'u' THEN {'c': t.u.c + cut::INT, 'a': 'K' || t.u.a} WHEN NOT blank AND NOT dup AND ini = 's' THEN {'c': t.s.c + cut::INT, 'a': 'K' || t.s.a} END]) AS n,
+             list_min([{'c': t.s.c + 3, 'a': 'D' || t.s.a}, CASE WHEN NOT blank AND NOT dup THEN {'c': t.u.c + CASE WHEN ini = 'u' THEN 0 ELSE 2 END + cut::INT, 'a': CASE WHEN ini = 'u' THEN 'K' ELSE 'R' END || t.u.a} END]) AS s,
+             list_min([{'c': t.u.c + 3, 'a': 'D' || t.u.a}, CASE WHEN NOT blank AND NOT dup THEN {'c': t.a.c + CASE WHEN ini = 'a' THEN 0 ELSE 2 END + cut::INT, 'a': CASE WHEN ini = 'a' THEN 'K' ELSE 'R' END || t.a.a} END]) AS u,
+             list_min([{'c': t.a.c + 3, 'a': 'D' || t.a.a}, CASE WHEN NOT blank AND NOT dup THEN {'c': t.u.c + CASE WHEN ini = 'u' THEN 0 ELSE 2 END + cut::INT, 'a': CASE WHEN ini = 'u' THEN 'K' ELSE 'R' END || t.u.a} END]) AS a
+      FROM t JOIN p ON p.conv_id IS NOT DISTINCT FROM t.conv_id AND p.pos = t.pos - 1))),
+b AS (SELECT conv_id, n.c AS cost, n.a AS audit FROM t WHERE pos = 1),
+e AS (SELECT conv_id, audit, generate_subscripts(list, 1) AS i, unnest(list) AS letter FROM (SELECT conv_id, audit, string_split(audit, '') AS list FROM b WHERE audit <> '')),
+q AS (
+  SELECT conv_id, i, letter, count(*) FILTER (letter <> 'I') OVER w AS pos, count(*) FILTER (letter <> 'D') OVER w AS line FROM e
+  WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+y AS (SELECT q.*, p.role, p.text, max(letter = 'K' AND ini = 's' AND line = 1) OVER (PARTITION BY q.conv_id) AS sys FROM q LEFT JOIN p ON q.conv_id IS NOT DISTINCT FROM p.conv_id AND q.pos = p.pos),
+z AS (
+  SELECT conv_id, sha256(string_agg(CASE letter WHEN 'K' THEN role ELSE CASE WHEN (line - sys::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY line)) AS sha
+  FROM y WHERE letter <> 'D' GROUP BY conv_id)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k
+LEFT JOIN c ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON k.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN z ON k.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+t AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+m AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+f AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k AS words, count(*) AS a FROM t, range(1, 6) r(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+x AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+s AS (
+  SELECT c.lang, c.phrase, c.a, c.w, n, k, l.a AS l, r.a AS r, 1000::HUGEINT * c.a * n // (l.a::HUGEINT * r.a) AS score
+  FROM x c JOIN m USING (lang) JOIN range(1, 5) q(k) ON k < c.words
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+b AS (SELECT lang, phrase, a, n, min({'score': score, 'k': k, 'l': l, 'r': r}) AS low FROM s GROUP BY ALL),
+u AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS around FROM x, range(2, 5) q(k), range(1, 5) j(i) WHERE k < words AND i + k - 1 <= words GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY low.score DESC, a DESC, b.phrase) AS rank, b.phrase, a, low.l AS l, low.r AS r, n, low.score::BIGINT AS score
+  FROM b LEFT JOIN u USING (lang, phrase) WHERE around IS NULL OR 100 * around < 100 * a) WHERE rank <= 2000
+"""
+
+_SPANS = """SELECT id, '{kind}' AS kind, {no} AS no, unnest(range(1, len(whole) + 1)) AS i, gaps, whole, value FROM (
+    SELECT id, string_split_regex(text, {regex}) AS gaps, regexp_extract_all(text, {regex}) AS whole, regexp_extract_all(text, {regex}, {group}) AS value FROM d)"""
+_KINDS = [
+    ("assign", r"""'(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'""", 2),
+    ("access", "'AKIA[A-Z0-9]+'", 0),
+    ("hex", "'[0-9a-f]+'", 0),
+    ("owned", "'[A-Za-z0-9+/_=-]{20,}'", 0),
+]
+OP13_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, coalesce(source, chr(0)) AS owner FROM documents),\nm AS ("
+    + "\n  UNION ALL ".join(_SPANS.format(kind=kind, no=no, regex=regex, group=group) for no, (kind, regex, group) in enumerate(_KINDS))
+    + r"""),
+p AS (
+  SELECT id, kind, no, value[i] AS value, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS start, length(whole[i]) AS n
+  FROM m WHERE length(value[i]) >= CASE kind WHEN 'assign' THEN 8 WHEN 'access' THEN 16 WHEN 'hex' THEN 32 ELSE 20 END),
+v AS (
+  SELECT id, kind, no, value, start::BIGINT AS start, (start + n)::BIGINT AS stop,
+         regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 10
+         AND NOT regexp_matches(value, '(?i)example|sample|dummy|changeme|placeholder|your|xxxx|0000|123456') AS looks FROM p),
+s AS (
+  SELECT * FROM v WHERE no < 3 UNION ALL
+  SELECT * FROM v WHERE no = 3 AND looks AND NOT EXISTS (SELECT 1 FROM v b WHERE b.id = v.id AND b.no < 3 AND b.start < v.stop AND b.stop > v.start)),
+o AS (SELECT value, count(DISTINCT owner) AS owners FROM s JOIN d USING (id) GROUP BY value),
+j AS (SELECT *, owners = 1 AND looks AS live, kind || ':' || start || ':' || stop AS span FROM s JOIN o USING (value) WHERE no < 3 OR (owners = 1 AND looks)),
+a AS (
+  SELECT id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex, string_agg(span, ',' ORDER BY start, no) FILTER (no < 3) AS base,
+         string_agg(span, ',' ORDER BY start, no) AS spans, count(*) FILTER (no = 3) AS n_owned, count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= 3) AS n_example,
+         string_agg(span, ',' ORDER BY start, no) FILTER (live) AS live FROM j GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(live, '') AS live
+FROM d LEFT JOIN a USING (id)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_topk": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_topk": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL, "op11_repair": OP11_SQL, "op12_collocations": OP12_SQL, "op13_secrets": OP13_SQL}
