@@ -38,7 +38,7 @@ IS_WORD[list(WORD_ENDS)] = False
 #: Words with numbers of their own, bits of the bitmap of further frequent words, tokens a bucket, positions a block.
 NUMBERED = (1 << 18) - 1
 FILTER_BITS = 1 << 25
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 2_000_000
 BLOCK = 1_000_000
 PORTION = 4_000_000
 #: Sampled suffixes per block of words, and sampled blocks at most: for the borders of ranges only.
@@ -107,11 +107,17 @@ def _strings(part: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(raw)])
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Four bytes a value where all fit."""
+    return values.astype(np.uint32) if values.size and values.max() < 1 << 32 else values
+
+
 def _suffixes(values: np.ndarray, fresh: np.ndarray, least: int) -> np.ndarray:
     """Suffixes (rows of DEPTH values, 0 after their end) of all positions with ``least`` words or more; value 0 ends one."""
     n = len(values)
     at = np.flatnonzero(values)
-    out = np.zeros((len(at), DEPTH), np.uint64)
+    values = narrow(values)
+    out = np.zeros((len(at), DEPTH), values.dtype)
     out[:, 0], alive = values[at], np.arange(len(at))
     for d in range(1, DEPTH):
         p = at[alive] + d
@@ -220,9 +226,9 @@ class Numbers:
 
 def in_order(s: np.ndarray) -> np.ndarray:
     """The order of suffixes."""
-    if len(s) and s.max() <= NUMBERED < 1 << 18:
-        x = s << np.uint64(0)
-        return np.lexsort((x[:, 3] << np.uint64(18) | x[:, 4], x[:, 0] << np.uint64(36) | x[:, 1] << np.uint64(18) | x[:, 2]))
+    if len(s) and s.max() < 1 << 18:
+        part = lambda d, bits: s[:, d].astype(np.uint64) << np.uint64(bits)
+        return np.lexsort((part(3, 18) | part(4, 0), part(0, 36) | part(1, 18) | part(2, 0)))
     return np.lexsort(s.T[::-1])
 
 
@@ -239,11 +245,15 @@ def fold(s: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray,
 
 def cuts(s: np.ndarray, borders: np.ndarray) -> list[int]:
     """Per border the first of the ordered suffixes that is not below it."""
-    out = []
+    out, columns = [], [np.ascontiguousarray(s[:, d]) for d in range(DEPTH)]
+    top = np.iinfo(s.dtype).max
     for border in borders:
         lo, hi = 0, len(s)
+        if border.max() > top:
+            columns, top = [c.astype(np.uint64) for c in columns], border.max()
+        border = border.astype(columns[0].dtype)
         for d in range(DEPTH):
-            part = s[lo:hi, d]
+            part = columns[d][lo:hi]
             lo, hi = lo + int(np.searchsorted(part, border[d], "left")), lo + int(np.searchsorted(part, border[d], "right"))
         out.append(lo)
     return out
@@ -253,9 +263,8 @@ def pack(s: np.ndarray, counts: np.ndarray) -> bytes:
     """Compressed byte planes of suffixes and counts."""
     import pyarrow as pa
 
-    cells = np.column_stack([s, counts.astype(np.uint64)])
-    if not cells.size or cells.max() < 1 << 32:
-        cells = cells.astype(np.uint32)
+    kind = np.uint32 if s.dtype == np.uint32 and (not len(counts) or counts.max() < 1 << 32) else np.uint64
+    cells = np.column_stack([s.astype(kind, copy=False), counts.astype(kind)])
     planes = np.ascontiguousarray(np.ascontiguousarray(cells.T).reshape(-1).view(np.uint8).reshape(cells.size, -1).T)
     return np.array([len(s), cells.itemsize], np.int64).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
@@ -266,8 +275,8 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, size = np.frombuffer(raw[:16], np.int64)
     planes = np.frombuffer(pa.decompress(raw[16:], decompressed_size=int(n * size * (DEPTH + 1)), codec="zstd", asbytes=True), np.uint8)
     flat = np.ascontiguousarray(planes.reshape(int(size), -1).T).reshape(-1).view(np.uint32 if size == 4 else np.uint64)
-    cells = flat.reshape(DEPTH + 1, int(n)).T.astype(np.uint64)
-    return cells[:, :DEPTH], cells[:, DEPTH].astype(np.int64)
+    cells = flat.reshape(DEPTH + 1, int(n))
+    return cells[:DEPTH].T, cells[DEPTH].astype(np.int64)
 
 
 def multikey_quicksort(s: np.ndarray, weights: np.ndarray, least: int, edges: list[np.ndarray]):
