@@ -12,6 +12,7 @@ from ..functions import efg, ratio, true_shooting
 from . import KEYS
 from .events import MADE, points
 from .history import last_k
+from .possessions import assisted_baskets
 from .reports import player_report, records, splits, team_report
 from .shots import shot_profile
 
@@ -89,15 +90,13 @@ def player_phases(players: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def points_by_origin(events: DataFrame, shots: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ("num", "seq"), rules: str = "report") -> DataFrame:
-    """Per team: points from free throws, twos and threes (events), the twos' split into paint and mid range (shots), and the share of field goals that an
-    assist of the side follows within four events."""
+    """Per team: points from free throws, twos and threes (events), the twos' split into paint and mid range (shots), and the share of field goals
+    with an assist: an assist makes one basket assisted, the one that ``events.assist_pairs`` finds."""
     game = (*keys, "game")
-    w = Window.partitionBy(*game).orderBy(*order).rowsBetween(1, 4)
     basket = F.col("kind").isin("CANASTA-2P", "CANASTA-3P")
-    ahead = F.collect_list(F.when(F.col("kind") == "ASISTENCIA", F.col("side"))).over(w)
-    rows = events.withColumn("_helped", F.array_contains(ahead, F.col("side"))).where("team is not null")
+    rows = assisted_baskets(events, game, order).where("team is not null")
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, points()).otherwise(0))
-    out = rows.groupBy(*keys, "team").agg(of("CANASTA-1P").alias("free_throw_pts"), of("CANASTA-2P").alias("two_pts"), of("CANASTA-3P").alias("three_pts"), F.count_if(basket).alias("fgm"), F.count_if(basket & F.col("_helped")).alias("assisted"))
+    out = rows.groupBy(*keys, "team").agg(of("CANASTA-1P").alias("free_throw_pts"), of("CANASTA-2P").alias("two_pts"), of("CANASTA-3P").alias("three_pts"), F.count_if(basket).alias("fgm"), F.count_if(basket & (F.col("assists") > 0)).alias("assisted"))
     zone = zone_category("zone", rules)
     made = shots.where("result = 'CONVERTIDO' and kind = 'TIRO2'")
     areas = made.groupBy(*keys, "team").agg((2 * F.count_if(zone == "paint")).alias("paint_pts"), (2 * F.count_if(zone == "mid")).alias("mid_pts"))
@@ -117,26 +116,6 @@ def period_splits(quarters: DataFrame, games: DataFrame, keys: Sequence[str] = K
     return both.groupBy(*keys, "team").agg(F.count("*").alias("games"), *(F.avg(f"{n}_{x}").alias(f"{n}_{x}") for n, _ in spans for x in ("for", "against")))
 
 
-def transition_split(events: DataFrame, game: Sequence[str] = (*KEYS, "game"), order: Sequence[str] = ("num", "seq"), seconds: int = 8) -> DataFrame:
-    """Points, possessions and points per possession of each side in transition and in the half court.
-
-    A shot, free throw or turnover is in transition if it comes within ``seconds`` of the change of possession before it (a rival's turnover, field
-    goal or missed shot that the own side rebounds). Needs ``elapsed``.
-    """
-    before = Window.partitionBy(*game).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    kind = F.col("kind")
-    other = F.when(F.col("side") == "LOCAL", "VISITANTE").when(F.col("side") == "VISITANTE", "LOCAL")
-    gains = F.when(kind.isin("PERDIDA", "CANASTA-2P", "CANASTA-3P"), other).when(kind == "REBOTE-DEFENSIVO", F.col("side"))
-    change = F.when(gains.isNotNull(), F.struct(gains.alias("side"), "elapsed"))
-    rows = events.withColumn("_change", F.last(change, ignorenulls=True).over(before))
-    ends = kind.isin("CANASTA-2P", "CANASTA-3P", "TIRO2-FALLADO", "TIRO3-FALLADO", "PERDIDA")
-    free = kind.isin("CANASTA-1P", "TIRO1-FALLADO")
-    fast = F.coalesce((F.col("_change.side") == F.col("side")) & (F.col("elapsed") - F.col("_change.elapsed") <= seconds), F.lit(False))
-    rows = rows.where("side is not null").where(ends | free).withColumn("transition", fast)
-    out = rows.groupBy(*game, "side", "transition").agg(F.sum(points()).alias("pts"), F.sum(ends.cast("int") + 0.44 * free.cast("int")).alias("poss"))
-    return out.withColumn("ppp", ratio("pts", "poss"))
-
-
 def allowed_efficiency(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """What a team's rivals reach against it: eFG, true shooting and offensive rebound share (rows carry the opp_ columns)."""
     cols = ("opp_pts", "opp_fgm", "opp_fga", "opp_fg3m", "opp_fta", "opp_orb", "drb")

@@ -42,12 +42,15 @@ def pace(events: DataFrame, group: Sequence[str] = (*KEYS, "game", "team"), weig
 
 
 def clutch(preset: str = "model", margin: int = 5) -> Column:
-    """model: period 4, two minutes or less, all scoring. report: period 4 within five minutes or any overtime, field goals only."""
+    """model: period 4, two minutes or less, all scoring. report: period 4 within five minutes or any overtime, field goals only. team: period 4 within
+    five minutes, all events."""
     close = F.abs(F.col("home_score") - F.col("away_score")) <= margin
     if preset == "model":
         return (F.col("period") == 4) & (F.col("clock") <= 120) & close
     if preset == "report":
         return (((F.col("period") == 4) & (F.col("clock") <= 300)) | (F.col("period") >= 5)) & close & F.col("kind").isin("CANASTA-2P", "CANASTA-3P", *MISSED[1:])
+    if preset == "team":
+        return (F.col("period") == 4) & (F.col("clock") <= 300) & close
     raise ValueError(f"unknown preset {preset!r}")
 
 

@@ -3,11 +3,13 @@
 A stint is the time from a player's entry to the next substitution of that player; a segment lies between two neighbouring
 boundaries of a side in a game (own substitutions, period starts and ends). Events belong to the segment of their place; only
 segments with ``size`` players and with time on the clock count. A segment lasts from the clock of its first boundary to that of its last.
+
+``court_segments`` does all of it in one ordered pass per game; ``stints``, ``segments``, ``on_court`` and ``segment_facts`` are the same as joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +70,105 @@ def on_court(segs: DataFrame, stint: DataFrame, game: Sequence[str] = (*KEYS, "g
     return rows if size is None else rows.where(F.size("lineup") == size)
 
 
+SEGMENT = ("pts", "opp_pts", "poss", "opp_poss", "fga", "fgm", "fg3a", "fta", "tov", "ast")
+
+
+class _Side:
+    """What a pass over a game knows of one side: who is on court, and the segment that is open."""
+
+    def __init__(self) -> None:
+        self.court: dict = {}
+        self.start, self.lineup, self.facts = None, None, None
+
+    def open(self, n: int, elapsed: int | None) -> None:
+        self.start = (n, elapsed)
+        self.lineup = sorted(p for p in self.court if p is not None) if self.court else None
+        self.facts = dict.fromkeys(SEGMENT, 0)
+
+    def closed(self, n: int | None, elapsed: int | None) -> tuple:
+        seconds = None if elapsed is None else elapsed - self.start[1]
+        return (self.start[0], n, seconds, self.lineup, *(self.facts[c] for c in SEGMENT))
+
+
+def court_segments(events: DataFrame, game: Sequence[str] = (*KEYS, "game"), size: int | None = 5, parity: bool = False, order: Sequence[str] = ("num", "seq"), timing: bool = True, entry: str = IN, leave: str = OUT, boundaries: Sequence[str] = ("INICIO-PERIODO", "FINAL-PERIODO", "FINAL-PARTIDO")) -> DataFrame:
+    """Segments with their lineup and facts (as ``segment_facts``) by one pass over each game's events in order: one shuffle, by game.
+
+    The pass keeps the players on court and the open segment of both sides, so memory is a few dozen values per task, whatever a
+    game's length. With ``timing`` only segments that have time are given. Numbers and times are windows by game over the same shuffle.
+    """
+    timed_ = timing
+    events = numbered(events, game, order)
+    events = timed(events, game) if timing else events
+    kinds = dict(events.dtypes)
+    columns = [*game, "side", "player", "kind", "n", *(["elapsed"] if timed_ else [])]
+    field = {"CANASTA-2P", "CANASTA-3P"}
+    attempts = set(MADE) if parity else field | {"TIRO2-FALLADO", "TIRO3-FALLADO"}
+    threes = {"CANASTA-3P"} if parity else {"CANASTA-3P", "TIRO3-FALLADO"}
+    thrown = {"CANASTA-1P"} if parity else {"CANASTA-1P", "TIRO1-FALLADO"}
+    free = {"FALTA-RECIBIDA"} if parity else thrown
+    k, cuts = len(game), set(boundaries)
+    schema = ", ".join([*(f"{g} {kinds[g]}" for g in game), "side string, n_from int, n_to int, seconds long, lineup array<string>", *(f"{c} {'double' if 'poss' in c else 'long'}" for c in SEGMENT)])
+
+    def sweep(batches) -> Iterator:
+        import pandas as pd
+
+        held, sides, last, out = None, {}, None, []
+
+        def frame():
+            return pd.DataFrame(out, columns=[*game, "side", "n_from", "n_to", "seconds", "lineup", *SEGMENT]).astype({"n_to": "Int32", "seconds": "Int64"})
+
+        def keep(side: str, row: tuple) -> None:
+            if row[3] is not None and (size is None or len(row[3]) == size) and (row[2] is None or row[2] > 0):
+                out.append((*held, side, *row))
+
+        def finish() -> None:
+            for name, side in sides.items():
+                if side.start is not None:
+                    keep(name, side.closed(None, last))
+
+        for pdf in batches:
+            for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None):
+                side, player, kind, n = row[k : k + 4]
+                if held != row[:k]:
+                    if held is not None:
+                        finish()
+                    held, sides, last = row[:k], {"LOCAL": _Side(), "VISITANTE": _Side()}, None
+                elapsed = row[k + 4] if timed_ else None
+                last = elapsed if last is None or elapsed is None else max(last, elapsed)
+                for name, own in sides.items():
+                    if own.start is None or side is None:
+                        continue
+                    f, mine = own.facts, name == side
+                    pts = MADE.get(kind, 0)
+                    poss = (kind in attempts) - (kind == "REBOTE-OFENSIVO") + (kind == "PERDIDA") + 0.44 * (kind in free)
+                    f["pts" if mine else "opp_pts"] += pts
+                    f["poss" if mine else "opp_poss"] += poss
+                    if mine:
+                        for c, hit in (("fga", kind in attempts), ("fgm", kind in field), ("fg3a", kind in threes), ("fta", kind in thrown), ("tov", kind == "PERDIDA"), ("ast", kind == "ASISTENCIA")):
+                            f[c] += hit
+                if kind in (entry, leave) and side in sides:
+                    if kind == entry:
+                        sides[side].court[player] = True
+                    else:
+                        sides[side].court.pop(player, None)
+                    cut = (side,)
+                else:
+                    cut = tuple(sides) if kind in cuts else ()
+                for name in cut:
+                    if sides[name].start is not None:
+                        keep(name, sides[name].closed(n, elapsed))
+                    sides[name].open(n, elapsed)
+            if len(out) >= 5000:
+                yield frame()
+                out.clear()
+        if held is not None:
+            finish()
+        yield frame()
+
+    # the windows dealt the rows by game already
+    return events.select(*columns).sortWithinPartitions(*game, "n").mapInPandas(sweep, schema)
+
+
 def segment_facts(events: DataFrame, lineups: DataFrame, game: Sequence[str] = (*KEYS, "game"), parity: bool = False) -> DataFrame:
     """Own and rival points, attempts and possessions (attempts - offensive rebounds + turnovers + 0.44 free throws) of each segment that has time.
 

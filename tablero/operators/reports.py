@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import efg, possessions, ratio, true_shooting
-from . import KEYS
+from . import KEYS, scan
 
 
 def period_membership(games: DataFrame, periods: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ("date", "game")) -> DataFrame:
@@ -64,9 +64,9 @@ def team_report(rows: DataFrame, group: Sequence[str] = (*KEYS, "team", "label")
 
 
 def player_report(players: DataFrame, group: Sequence[str] = (*KEYS, "team", "label"), totals: DataFrame | None = None) -> DataFrame:
-    """Player averages and shares of team totals; usg_share5 has no minutes in it, usg_scaled has.
+    """Player averages and shares of team totals; usg_share5 has no minutes in it, usg_scaled has: plays over (minutes / 40 * team possessions a game).
 
-    ``totals`` holds the team's game totals (fgm, fga, fta, tov, date; the TOTALES rows), which are more than the sum of the players
+    ``totals`` holds the team's game totals (fgm, fga, fta, orb, tov, date; the TOTALES rows), which are more than the sum of the players
     (team rebounds, team turnovers); without it the sums of the player rows stand in.
     """
     used = F.col("fga") + 0.44 * F.col("fta") + F.col("tov")
@@ -74,7 +74,7 @@ def player_report(players: DataFrame, group: Sequence[str] = (*KEYS, "team", "la
     p = rows.groupBy(*group, "player").agg(
         F.count_distinct("date").alias("gp"), F.sum("seconds").alias("seconds"), *(F.sum(c).alias(c) for c in ("pts", "fgm", "fga", "fg3m", "fg3a", "fta", "ast", "tov", "_used"))
     )
-    team = (rows if totals is None else totals).groupBy(*group).agg(F.count_distinct("date").alias("_team_games"), F.sum(used).alias("_team_used"), F.sum("fgm").alias("_team_fgm"))
+    team = (rows if totals is None else totals).groupBy(*group).agg(F.count_distinct("date").alias("_team_games"), F.sum(used).alias("_team_used"), F.sum(possessions("fga", "orb", "tov", "fta")).alias("_team_poss"), F.sum("fgm").alias("_team_fgm"))
     p = p.join(team, list(group))
     minutes = F.col("seconds") / 60.0
     return p.select(
@@ -86,7 +86,7 @@ def player_report(players: DataFrame, group: Sequence[str] = (*KEYS, "team", "la
         ratio("pts", "gp").alias("pts_per_game"),
         efg("fgm", "fg3m", "fga").alias("efg_pct"),
         (5 * ratio("_used", "_team_used")).alias("usg_share5"),
-        ratio("_used", (minutes / 40) * ratio("_team_used", "_team_games")).alias("usg_scaled"),
+        ratio("_used", (minutes / 40) * ratio("_team_poss", "_team_games")).alias("usg_scaled"),
         ratio("fg3a", "fga").alias("fg3_share"),
         ratio("ast", "_team_fgm").alias("ast_pct"),
         ratio("ast", "fgm").alias("ast_per_fgm"),
@@ -148,15 +148,19 @@ def percentiles(rows: DataFrame, metrics: Sequence[str], keys: Sequence[str] = K
 
 
 #: The eight dimensions of a player profile.
-PROFILE = ("pts_per_game", "efg_pct", "ts_pct", "usg_share5", "ast_tov", "trb_40", "stl_40", "blk_40")
+PROFILE = ("pts_per_game", "efg_pct", "ts_pct", "usg_scaled", "ast_tov", "trb_40", "stl_40", "blk_40")
 
 
-def player_profile(seasons: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """League percentiles of the eight dimensions; ``seasons`` has the season totals and games of ``similarity.player_seasons`` with their features."""
+def player_profile(seasons: DataFrame, team_games: DataFrame, keys: Sequence[str] = KEYS, parts: int | None = None) -> DataFrame:
+    """League percentiles of the eight dimensions; ``seasons`` has the season totals and games of ``similarity.player_seasons`` with their features.
+
+    Usage is scaled by minutes: plays over (minutes / 40 * the team's possessions a game), from ``team_games`` (keys, team, game, poss), which hold
+    all games of a team whatever seasons the minutes filter left. Ranks come from ranges of values, not from a task a league.
+    """
     used = F.col("fga") + 0.44 * F.col("fta") + F.col("tov")
-    team = Window.partitionBy(*keys, "team")
-    rows = seasons.withColumns({"pts_per_game": ratio("pts", "games"), "usg_share5": 5 * ratio(used, F.sum(used).over(team))})
-    return percentiles(rows, PROFILE, keys)
+    pace = team_games.groupBy(*keys, "team").agg((F.sum("poss") / F.count_distinct("game")).alias("_poss"))
+    rows = seasons.join(pace, [*keys, "team"], "left").withColumns({"pts_per_game": ratio("pts", "games"), "usg_scaled": ratio(used, (F.col("minutes") / 40) * F.col("_poss"))})
+    return scan.percentiles(rows.drop("_poss"), PROFILE, keys, parts)
 
 
 def foul_trouble(players: DataFrame, group: Sequence[str] = (*KEYS, "team", "player"), fouls: int = 4) -> DataFrame:

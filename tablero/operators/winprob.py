@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timezone
-from typing import NamedTuple
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import KEYS
 from .history import ewm_before, last_k, positions, rolling_before, temporal_cut, temporal_folds
+from .newton import Linear, fit_many, margin, scales_of, standardised
+from .scan import counts_below
 
 ANALYSIS = ("delta_efg_pct", "delta_tov_pct", "delta_orb_pct", "delta_ftr", "delta_net_rating", "home", "rest_diff", "net_rating_ewm", "efg_pct_ewm", "tov_pct_ewm")
 PREGAME = ("home", "net_rating_ewm", "win_last5", "paint_efg_ewm", "fg3_pct_ewm")
@@ -37,21 +36,10 @@ def scaling(train: DataFrame, features: Sequence[str]) -> dict[str, tuple[float,
     return {f: (row[f"m_{f}"] or 0.0, row[f"s_{f}"] or 1.0) for f in features}
 
 
-def scaled(features: Sequence[str], scale: dict[str, tuple[float, float]]) -> Column:
-    return array_to_vector(F.array(*((F.col(f).cast("double") - F.lit(scale[f][0])) / F.lit(scale[f][1]) for f in features)))
-
-
-class Linear(NamedTuple):
-    """Intercept and coefficients of a fitted regression, for models that come from a table."""
-
-    intercept: float
-    coefficients: Sequence[float]
-
-
 class WinModel:
     """A standardised L2 logistic regression; with calibration, the mean of the Platt-scaled fold models."""
 
-    def __init__(self, features: Sequence[str], scale: dict, models: list[LogisticRegressionModel], platt: list[tuple[float, float]], meta: dict) -> None:
+    def __init__(self, features: Sequence[str], scale: dict, models: list[Linear], platt: list[tuple[float, float]], meta: dict) -> None:
         self.features, self.scale, self.models, self.platt, self.meta = tuple(features), scale, models, platt, meta
 
     def transform(self, df: DataFrame, out: str = "prob") -> DataFrame:
@@ -73,32 +61,27 @@ class WinModel:
         return spark.createDataFrame(rows, "feature string, coefficient double").orderBy(F.desc(F.abs("coefficient")), "feature")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        for i, m in enumerate(self.models):
-            m.write().overwrite().save(f"{path}/model_{i}")
-        rows = [(list(self.features), [list(map(float, self.scale[f])) for f in self.features], [list(map(float, p)) for p in self.platt], {k: str(v) for k, v in self.meta.items()})]
-        spark.createDataFrame(rows, "features array<string>, scale array<array<double>>, platt array<array<double>>, meta map<string,string>").write.mode("overwrite").parquet(f"{path}/metadata")
+        """One row of plain arrays: features, scales, models, calibrations and metadata."""
+        models = [(float(m.intercept), [float(w) for w in m.coefficients]) for m in self.models]
+        rows = [(list(self.features), [list(map(float, self.scale[f])) for f in self.features], models, [list(map(float, p)) for p in self.platt], {k: str(v) for k, v in self.meta.items()})]
+        schema = "features array<string>, scale array<array<double>>, models array<struct<intercept:double,coefficients:array<double>>>, platt array<array<double>>, meta map<string,string>"
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "WinModel":
         r = spark.read.parquet(f"{path}/metadata").first()
-        models = [LogisticRegressionModel.load(f"{path}/model_{i}") for i in range(len(r["platt"]))]
+        models = [Linear(m["intercept"], tuple(m["coefficients"])) for m in r["models"]]
         return cls(r["features"], dict(zip(r["features"], map(tuple, r["scale"]))), models, [tuple(p) for p in r["platt"]], dict(r["meta"]))
 
 
-def _fit(train: DataFrame, features: Sequence[str], label: str, scale: dict, c: float, n: int) -> LogisticRegressionModel:
-    ready = train.select(scaled(features, scale).alias("features"), F.col(label).cast("double").alias("label"))
-    # sum of losses * C + |w|^2 / 2 is the mean loss + regParam |w|^2 / 2 with regParam = 1 / (C n)
-    return LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(ready)
-
-
 def train(rows: DataFrame, features: Sequence[str] = PREGAME, label: str = "win", c: float = STRENGTH_C) -> WinModel:
     """One uncalibrated model over rows without nulls."""
     rows = rows.dropna(subset=[*features, label]).cache()
-    n = rows.count()
-    scale = scaling(rows, features)
-    model = _fit(rows, features, label, scale, c, n)
+    one = F.array(F.lit(0))
+    scales, sizes = scales_of(rows, features, one, 1)
+    models = fit_many(rows, one, 1, standardised(features, scales, F.col("_m")), F.col(label), c)
     rows.unpersist()
-    return WinModel(features, scale, [model], [(1.0, 0.0)], {"n_rows": n, "trained_at": datetime.now(timezone.utc).isoformat()})
+    return WinModel(features, scales[0], models, [(1.0, 0.0)], {"n_rows": sizes[0], "trained_at": datetime.now(timezone.utc).isoformat()})
 
 
 def stratified_folds(rows: DataFrame, label: str, date: str, order: Sequence[str], folds: int) -> DataFrame:
@@ -111,41 +94,35 @@ def stratified_folds(rows: DataFrame, label: str, date: str, order: Sequence[str
 def train_calibrated(rows: DataFrame, features: Sequence[str] = PREGAME, label: str = "win", date: str = "date", order: Sequence[str] = ("game", "team"), folds: int = 5, c: float = STRENGTH_C) -> WinModel:
     """Platt-calibrated mean of ``folds`` models, each calibrated on the part it has not seen.
 
-    A sigmoid fit with Platt's soft targets is an unregularised one-feature regression over two weighted copies of each row.
+    The folds' models are fitted together, and so are their sigmoids: unregularised one-feature regressions on Platt's soft targets.
     """
     rows = stratified_folds(rows.dropna(subset=[*features, label]), label, date, order, folds).cache()
     n, scale = rows.count(), scaling(rows, features)
-    models, platt = [], []
-    for k in range(folds):
-        fit, held = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
-        m = _fit(fit, features, label, scale, c, fit.count())
-        margin = m.transform(held.select(scaled(features, scale).alias("features"), F.col(label).cast("double").alias("label"))).select(vector_to_array("rawPrediction")[1].alias("x"), "label")
-        pos, neg = margin.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
-        target = F.when(F.col("label") == 1, (pos + 1) / (pos + 2)).otherwise(1 / (neg + 2))
-        copies = margin.withColumn("t", target).select(array_to_vector(F.array("x")).alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("t").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("t")).alias("w")))).alias("c")).select("features", "c.*")
-        s = LogisticRegression(regParam=0.0, weightCol="w", standardization=False, maxIter=200, tol=1e-10).fit(copies)
-        models.append(m)
-        platt.append((float(s.coefficients[0]), float(s.intercept)))
-    rows.unpersist()
+    scales = [scale] * folds
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("fold"))
+    models = fit_many(rows, others, folds, standardised(features, scales, F.col("_m")), F.col(label), c)
+    held = rows.select("fold", F.col(label).cast("double").alias("_y"), margin(standardised(features, scales, F.col("fold")), F.col("fold"), models).alias("_x"))
+    sizes = {r["fold"]: r for r in held.groupBy("fold").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")).collect()}
+    high = F.array(*(F.lit((sizes[k]["pos"] + 1) / (sizes[k]["pos"] + 2) if k in sizes else 1.0) for k in range(folds)))
+    low = F.array(*(F.lit(1 / (sizes[k]["neg"] + 2) if k in sizes else 0.0) for k in range(folds)))
+    target = F.when(F.col("_y") == 1, F.get(high, F.col("fold"))).otherwise(F.get(low, F.col("fold")))
+    sigmoids = fit_many(held, F.array("fold"), folds, [F.col("_x")], target, None)
+    platt = [(s.coefficients[0], s.intercept) for s in sigmoids]
     last = str(rows.agg(F.max(date)).first()[0])
+    rows.unpersist()
     return WinModel(features, scale, models, platt, {"n_rows": n, "last_date": last, "trained_at": datetime.now(timezone.utc).isoformat()})
 
 
 def metrics(scored: DataFrame, label: str = "win", prob: str = "prob", group: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
     """n, accuracy, auc (rank sum with mean ranks of ties) and log loss per group, without leaving the executors.
 
-    Ranks come from counts per distinct probability, so ties cost nothing; they are summed inside 4,096 buckets of probabilities and over the
-    buckets, so that no task sees all of them.
+    Ranks come from counts per distinct probability, so ties cost nothing, and from ranges of probabilities with carried counts, so that no
+    task sees all of them however they are spread.
     """
     p, y = F.col(prob), F.col(label).cast("double")
     clipped = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
     per = scored.groupBy(*group, p.alias("_p")).agg(F.count("*").alias("_n"), F.sum(y).alias("_pos"), F.sum(-(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))).alias("_loss"), F.count_if((p >= threshold) == (y == 1)).alias("_ok"))
-    # ranks inside buckets of neighbouring probabilities, then the small table of buckets summed up
-    per = per.withColumn("_bucket", F.floor(F.col("_p") * 4096))
-    inner = Window.partitionBy(*group, "_bucket").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = per.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(outer), F.lit(0))).drop("_in")
-    per = per.withColumn("_inner", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(sizes, [*group, "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_inner") + (F.col("_n") + 1) / 2)
+    per = counts_below(per, group, "_p", "_n").withColumn("_rank", F.col("_below") + (F.col("_n") + 1) / 2)
     out = per.groupBy(*group).agg(F.sum("_n").alias("n"), F.sum("_pos").alias("_p1"), F.sum(F.col("_pos") * F.col("_rank")).alias("_ranks"), F.sum("_loss").alias("_loss"), F.sum("_ok").alias("_ok"))
     neg = F.col("n") - F.col("_p1")
     return out.select(*group, "n", (F.col("_ok") / F.col("n")).alias("accuracy"), F.try_divide(F.col("_ranks") - F.col("_p1") * (F.col("_p1") + 1) / 2, F.col("_p1") * neg).alias("auc"), (F.col("_loss") / F.col("n")).alias("log_loss"))
@@ -165,16 +142,16 @@ def retrain(rows: DataFrame, path: str, features: Sequence[str] = PREGAME, label
 
 
 def cross_validate(rows: DataFrame, features: Sequence[str] = PREGAME, label: str = "win", date: str = "date", order: Sequence[str] = ("game", "team"), folds: int = 5, c: float = STRENGTH_C) -> DataFrame:
-    """Metrics of each expanding temporal fold: fold, n_train, n, accuracy, auc, log_loss."""
+    """Metrics of each expanding temporal fold: fold, n_train, n, accuracy, auc, log_loss. All folds are fitted and scored together."""
     placed = temporal_folds(rows.dropna(subset=[*features, label]), date, order, folds).cache()
-    scored, sizes = None, []
-    for k in range(1, folds + 1):
-        fit = placed.where((F.col("fold") == k) & (F.col("role") == "train"))
-        model = train(fit, features, label, c)
-        part = model.transform(placed.where((F.col("fold") == k) & (F.col("role") == "test"))).select("fold", F.col(label).alias("win"), "prob")
-        scored = part if scored is None else scored.unionByName(part)
-        sizes.append(F.when(F.col("fold") == k, model.meta["n_rows"]))
-    return metrics(scored, "win", "prob", ["fold"]).withColumn("n_train", F.coalesce(*sizes))
+    fit, own = placed.where("role = 'train'"), F.array((F.col("fold") - 1).cast("int"))
+    scales, sizes = scales_of(fit, features, own, folds)
+    models = fit_many(fit, own, folds, standardised(features, scales, F.col("_m")), F.col(label), c)
+    test = placed.where("role = 'test'").withColumn("_m", (F.col("fold") - 1).cast("int"))
+    z = margin(standardised(features, scales, F.col("_m")), F.col("_m"), models)
+    scored = test.select("fold", F.col(label).alias("win"), (1 / (1 + F.exp(-z))).alias("prob"))
+    n_train = F.get(F.array(*map(F.lit, sizes)), (F.col("fold") - 1).cast("int"))
+    return metrics(scored, "win", "prob", ["fold"]).withColumn("n_train", n_train)
 
 
 def cv_summary(by_fold: DataFrame) -> DataFrame:
@@ -184,25 +161,29 @@ def cv_summary(by_fold: DataFrame) -> DataFrame:
 
 
 def team_state(rows: DataFrame, metrics_: Sequence[str], keys: Sequence[str] = KEYS, span: int = 10, parity_last: int | None = None) -> DataFrame:
-    """Each team's state after its last game: form over its whole history (parity_last: only its last games), recent wins, last date."""
+    """Each team's state after its last game: form over its whole history (parity_last: only its last games), recent wins, last date.
+
+    ``league_`` columns hold the league's means over all game rows (not over teams), for teams without values of their own.
+    """
     own = [*keys, "team"]
     q = 1 - 2 / (span + 1)
     back = last_k(rows, own, ["date", "game"], parity_last or 1 << 30)
     weight = F.pow(F.lit(q), F.col("_back") - 1)
     mean = lambda m: F.try_divide(F.sum(F.col(m) * weight), F.sum(F.when(F.col(m).isNotNull(), weight)))
-    return back.groupBy(*own).agg(F.max("date").alias("last_date"), F.avg(F.when(F.col("_back") <= 5, F.col("win"))).alias("win_last5"), *(mean(m).alias(f"{m}_ewm") for m in metrics_))
+    state = back.groupBy(*own).agg(F.max("date").alias("last_date"), F.avg(F.when(F.col("_back") <= 5, F.col("win"))).alias("win_last5"), *(mean(m).alias(f"{m}_ewm") for m in metrics_))
+    means = [F.avg("win").alias("league_win_last5"), *(F.avg(m).alias(f"league_{m}_ewm") for m in metrics_)]
+    league = rows.groupBy(*keys).agg(*means) if keys else rows.agg(*means)
+    return state.join(league, list(keys)) if keys else state.crossJoin(F.broadcast(league))  # one row
 
 
 def fixture_features(fixture: DataFrame, state: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Fixture rows (home, away, date) with the home team's state and the rest of both; unknown teams go, missing values take the league's mean."""
-    values = [c for c in state.columns if c not in (*keys, "team", "last_date")]
-    league = state.groupBy(*keys).agg(*(F.avg(c).alias(f"_l_{c}") for c in values)) if keys else state.agg(*(F.avg(c).alias(f"_l_{c}") for c in values))
+    """Fixture rows (home, away, date) with the home team's state and the rest of both; unknown teams go, missing values take the league's mean over game rows."""
+    values = [c for c in state.columns if c not in (*keys, "team", "last_date") and not c.startswith("league_")]
     side = lambda name, cols: state.select(*keys, F.col("team").alias(name), F.col("last_date").alias(f"_{name}_last"), *cols)
-    rows = fixture.join(side("home", values), [*keys, "home"]).join(side("away", []), [*keys, "away"])
-    rows = rows.join(F.broadcast(league), list(keys)) if keys else rows.crossJoin(F.broadcast(league))
+    rows = fixture.join(side("home", [*values, *(f"league_{c}" for c in values)]), [*keys, "home"]).join(side("away", []), [*keys, "away"])
     rest = lambda name: F.greatest(F.datediff("date", F.col(f"_{name}_last")), F.lit(1))
-    rows = rows.withColumns({c: F.coalesce(F.col(c), F.col(f"_l_{c}")) for c in values} | {"rest": rest("home"), "opp_rest": rest("away"), "is_home": F.lit(1)})
-    return rows.withColumn("rest_diff", F.col("rest") - F.col("opp_rest")).drop(*(f"_l_{c}" for c in values), "_home_last", "_away_last")
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.col(f"league_{c}")) for c in values} | {"rest": rest("home"), "opp_rest": rest("away"), "is_home": F.lit(1)})
+    return rows.withColumn("rest_diff", F.col("rest") - F.col("opp_rest")).drop(*(f"league_{c}" for c in values), "_home_last", "_away_last")
 
 
 def predict_fixture(fixture: DataFrame, state: DataFrame, model: WinModel, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -11,6 +11,7 @@ from .. import functions as fn
 from ..operators import documented as dc
 from ..operators import events as ev
 from ..operators import lineups as li
+from ..operators import possessions as po
 from ..operators import reports as rp
 from ..operators import shots as sh
 from ..operators import similarity as sm
@@ -56,14 +57,14 @@ def compare_players(spark, sf):
 
 
 def player_profile(spark, sf):
-    out = rp.player_profile(sm.features(_seasons(spark, sf)), keys=("league", "season"))
-    return out.select("player", "season", *(F.round(f"{m}_pctile", 6).alias(f"{m}_pctile") for m in rp.PROFILE if m != "usg_share5"), F.round("usg_share5", 6).alias("usg_share5"))
+    box = roles.box_rows(spark, sf).withColumns({"team": F.col("supplier"), "league": F.lit("all"), "season": fn.season_label("date")})
+    team = tg.team_box(box, context=("date",), keys=("league", "season")).select("league", "season", "team", "game", fn.possessions("fga", "orb", "tov", "fta").alias("poss"))
+    out = rp.player_profile(sm.features(_seasons(spark, sf)), team, keys=("league", "season"))
+    return out.select("player", "season", *(F.round(f"{m}_pctile", 6).alias(f"{m}_pctile") for m in rp.PROFILE), F.round("usg_scaled", 6).alias("usg_scaled"))
 
 
 def top_lineups(spark, sf):
-    a = li.timed(li.numbered(roles.actions(spark, sf), GAME, EVENT_ORDER), GAME)
-    on = li.on_court(li.segments(a, GAME), li.stints(a, GAME), GAME, size=2)
-    best = li.top_lineups(li.lineup_ratings(li.segment_facts(a, on, GAME), ("side",)), ("side",), 5)
+    best = li.top_lineups(li.lineup_ratings(li.court_segments(roles.actions(spark, sf), GAME, size=2, order=EVENT_ORDER), ("side",)), ("side",), 5)
     return best.select("side", "list", "rank", "label", F.round("minutes", 6).alias("minutes"), F.round("net", 6).alias("net"))
 
 
@@ -86,8 +87,7 @@ def period_splits(spark, sf):
 
 def transition_split(spark, sf):
     a = roles.actions(spark, sf).withColumn("elapsed", fn.elapsed_seconds("period", "clock"))
-    out = dc.transition_split(a, GAME, EVENT_ORDER, seconds=8)
-    return out.select("game", "side", "transition", "pts", F.round("poss", 6).alias("poss"), F.round("ppp", 6).alias("ppp"))
+    return po.transition_split(a, GAME, EVENT_ORDER, seconds=8)
 
 
 def allowed_efficiency(spark, sf):
@@ -97,7 +97,7 @@ def allowed_efficiency(spark, sf):
 def player_phases(spark, sf):
     rows = roles.box_rows(spark, sf).withColumns({"team": F.col("supplier"), "fgm": F.col("fg2m") + F.col("fg3m"), "fga": F.col("fg2a") + F.col("fg3a"), "phase": F.when(F.col("date") >= "1996-01-01", "playoff").otherwise("regular")})
     out = dc.player_phases(rows, keys=())
-    return out.select("team", "player", "gp_regular", "gp_playoff", "pts_per_game_regular", "pts_per_game_playoff", "pts_per_game_change", "efg_pct_change", F.round("usg_share5_change", 6).alias("usg_share5_change"))
+    return out.select("team", "player", *(F.round(c, 6).alias(c) for c in out.columns if c not in ("team", "player")))
 
 
 def team_pace(spark, sf):

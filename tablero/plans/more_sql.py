@@ -50,6 +50,17 @@ _EV = """ev AS (
   SELECT p.game, CASE WHEN p.team = 'home' THEN 'O' ELSE 'F' END AS team, p.team AS side, pace, coalesce(clutch_net, 0) AS clutch_net FROM
   (SELECT game, team, sum(CASE WHEN kind IN ('CANASTA-1P', 'TIRO1-FALLADO') THEN 0.44::DOUBLE ELSE 1.0::DOUBLE END) AS pace FROM act WHERE kind IN ('CANASTA-1P', 'CANASTA-2P', 'CANASTA-3P', 'TIRO1-FALLADO', 'TIRO2-FALLADO', 'TIRO3-FALLADO', 'PERDIDA') GROUP BY game, team) p
   LEFT JOIN (SELECT game, team, sum(f - a)::BIGINT AS clutch_net FROM (SELECT game, team, p AS f, 0 AS a FROM c UNION ALL SELECT game, rival, 0, p FROM c) GROUP BY game, team) k ON p.game = k.game AND p.team = k.team)"""
+#: Possessions by joins of neighbouring plays: a play is what a side does with the ball, a rebound, or a boundary.
+POSSESSIONS = ACTIONS + f""",
+pl AS (SELECT *, {_ELAPSED} AS elapsed, row_number() OVER (PARTITION BY game ORDER BY n) AS i, kind IN ('INICIO-PERIODO', 'FINAL-PERIODO', 'FINAL-PARTIDO') AS edge,
+              kind IN {_FG} OR kind IN ('CANASTA-1P', 'TIRO1-FALLADO', 'PERDIDA') AS try FROM act
+       WHERE kind IN ('INICIO-PERIODO', 'FINAL-PERIODO', 'FINAL-PARTIDO') OR (side IS NOT NULL AND (kind IN {_FG} OR kind IN ('CANASTA-1P', 'TIRO1-FALLADO', 'PERDIDA', 'REBOTE-OFENSIVO', 'REBOTE-DEFENSIVO')))),
+ov AS (SELECT a.*, a.edge OR a.kind = 'PERDIDA' OR (a.kind LIKE 'CANASTA%' AND NOT coalesce(b.kind IN ('CANASTA-1P', 'TIRO1-FALLADO') AND b.side = a.side, FALSE)) AS over FROM pl a LEFT JOIN pl b ON b.game = a.game AND b.i = a.i + 1),
+bg AS (SELECT a.*, (NOT a.edge AND (b.game IS NULL OR b.over OR a.kind = 'REBOTE-DEFENSIVO' OR a.side IS DISTINCT FROM b.side))::INT AS begins FROM ov a LEFT JOIN ov b ON b.game = a.game AND b.i = a.i - 1),
+nm AS (SELECT *, sum(begins) OVER (PARTITION BY game ORDER BY i) AS possession FROM bg),
+p0 AS (SELECT game, possession, arg_min(side, i) AS side, arg_min(period, i) AS period, arg_min(kind, i) AS first, arg_min(elapsed, i) AS began, sum(p)::BIGINT AS pts, count(*) FILTER (kind = 'REBOTE-OFENSIVO') AS second_chances,
+              arg_min(kind, i) FILTER (try) AS first_try, arg_min(elapsed, i) FILTER (try) AS tried, arg_max(elapsed, i) FILTER (NOT edge) AS ended FROM nm WHERE possession > 0 GROUP BY game, possession),
+po AS (SELECT *, tried - CASE WHEN first = 'REBOTE-DEFENSIVO' THEN began WHEN lag(period) OVER w = period THEN lag(ended) OVER w END AS seconds_to_try FROM p0 WINDOW w AS (PARTITION BY game ORDER BY possession))"""
 _CLUTCH = "c AS (SELECT * FROM act WHERE kind LIKE 'CANASTA%' AND period = 4 AND clock <= 120 AND abs(home_score - away_score) <= 5)"
 
 
@@ -98,15 +109,17 @@ def oracle_sql() -> dict[str, str]:
         d AS (SELECT a.pos, a.feature, a.value::DOUBLE AS value_a, b.value::DOUBLE AS value_b, abs(a.z - b.z) AS dz FROM l a JOIN l b ON a.pos = b.pos WHERE a.k = 1 AND b.k = 2)
         SELECT feature, value_a, value_b, abs(value_a - value_b) AS diff, round(dz, 6) AS diff_z, row_number() OVER (ORDER BY dz, pos) <= 3 AS alike, row_number() OVER (ORDER BY dz DESC, pos) <= 3 AS different FROM d"""
     rank = lambda m: f"round(percent_rank() OVER (PARTITION BY season ORDER BY {m} NULLS FIRST), 6)"
-    q["player_profile"] = f"""WITH {SEASONS}, g AS (SELECT *, pts / games AS pts_per_game, fg2a + fg3a + 0.44::DOUBLE * fta + tov AS used FROM pf)
-        SELECT player, season, {', '.join(f'{rank(m)} AS {m}_pctile' for m in ('pts_per_game', 'efg_pct', 'ts_pct', 'ast_tov', 'trb_40', 'stl_40', 'blk_40'))}, round(5 * (used / sum(used) OVER (PARTITION BY season, team)), 6) AS usg_share5 FROM g"""
+    q["player_profile"] = f"""WITH {SEASONS}, tp AS (SELECT supplier AS team, season, sum(fg2a + fg3a - orb + tov + 0.44::DOUBLE * fta) / count(DISTINCT game) AS poss FROM y GROUP BY ALL),
+        g AS (SELECT pf.*, pts / games AS pts_per_game, (fg2a + fg3a + 0.44::DOUBLE * fta + tov) / ((minutes / 40) * poss) AS usg_scaled FROM pf LEFT JOIN tp USING (team, season))
+        SELECT player, season, {', '.join(f'{rank(m)} AS {m}_pctile' for m in ('pts_per_game', 'efg_pct', 'ts_pct', 'usg_scaled', 'ast_tov', 'trb_40', 'stl_40', 'blk_40'))}, round(usg_scaled, 6) AS usg_scaled FROM g"""
     q["lineup_facts"] = f"""WITH {LINEUPS} SELECT side, lineup, lineup AS label, pts, opp_pts, fga, fgm, fg3a, fta, tov, ast, games, round(minutes, 6) AS minutes, round(poss, 6) AS poss, round(opp_poss, 6) AS opp_poss, round(ortg, 6) AS ortg, round(drtg, 6) AS drtg, round(net, 6) AS net,
         round(tov / nullif(poss, 0), 6) AS tov_pct, round(fg3a / nullif(fga, 0), 6) AS fg3_share, round(fta / nullif(fga, 0), 6) AS ft_rate, round(ast / nullif(fgm, 0), 6) AS ast_pct, round(poss / games, 6) AS poss_per_game FROM lx"""
     q["top_lineups"] = f"""WITH {LINEUPS}, k AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY net DESC, lineup) AS rn, row_number() OVER (PARTITION BY side ORDER BY minutes DESC, lineup) AS rm FROM lx WHERE minutes >= 5),
         kn AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY net DESC, lineup) AS r FROM lx WHERE minutes >= 5 AND net IS NOT NULL)
         SELECT side, 'net' AS list, r AS rank, lineup AS label, round(minutes, 6) AS minutes, round(net, 6) AS net FROM kn WHERE r <= 5 UNION ALL SELECT side, 'minutes', rm, lineup, round(minutes, 6), round(net, 6) FROM k WHERE rm <= 5"""
     q["top_scorers"] = f"WITH {BOX}, p AS (SELECT supplier AS team, player, avg(pts) AS pts_per_game FROM box GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY pts_per_game DESC, player) AS rank FROM p) SELECT * FROM r WHERE rank <= 6"
-    q["points_by_origin"] = f"""WITH {ACTIONS}, {SHOTS.strip()}, h AS (SELECT a.seq, bool_or(b.kind = 'ASISTENCIA' AND b.side = a.side) AS helped FROM act a LEFT JOIN act b ON b.game = a.game AND b.n BETWEEN a.n + 1 AND a.n + 4 GROUP BY a.seq),
+    q["points_by_origin"] = f"""WITH {ACTIONS}, {SHOTS.strip()}, pk AS (SELECT a.game, a.n AS assist, max(b.n) AS n FROM act a JOIN act b ON b.game = a.game AND b.side = a.side AND b.n BETWEEN a.n - 4 AND a.n - 1 AND b.kind LIKE 'CANASTA%' WHERE a.kind = 'ASISTENCIA' GROUP BY ALL),
+        h AS (SELECT act.seq, pk.n IS NOT NULL AS helped FROM act LEFT JOIN (SELECT DISTINCT game, n FROM pk) pk ON pk.game = act.game AND pk.n = act.n),
         t AS (SELECT team, sum(CASE WHEN kind = 'CANASTA-1P' THEN p ELSE 0 END)::BIGINT AS free_throw_pts, sum(CASE WHEN kind = 'CANASTA-2P' THEN p ELSE 0 END)::BIGINT AS two_pts, sum(CASE WHEN kind = 'CANASTA-3P' THEN p ELSE 0 END)::BIGINT AS three_pts,
               count(*) FILTER (kind IN ('CANASTA-2P', 'CANASTA-3P')) AS fgm, count(*) FILTER (kind IN ('CANASTA-2P', 'CANASTA-3P') AND helped) AS assisted FROM act JOIN h USING (seq) WHERE team IS NOT NULL GROUP BY team),
         zz AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'home' ELSE 'away' END AS team, k % 16 AS z FROM s0 WHERE event_id % 3 = 0 AND k % 16 <= 10),
@@ -117,17 +130,17 @@ def oracle_sql() -> dict[str, str]:
     q["period_splits"] = f"""WITH {QUARTERS}, g AS (SELECT game, {half('h')}, {half('a')} FROM qd GROUP BY game HAVING count(*) = 4),
         b AS (SELECT game % 10 AS team, h1 AS first_half_for, a1 AS first_half_against, h2 AS second_half_for, a2 AS second_half_against, h4 AS fourth_for, a4 AS fourth_against FROM g UNION ALL SELECT game % 10 + 10, a1, h1, a2, h2, a4, h4 FROM g)
         SELECT team, count(*) AS games, {cols} FROM b GROUP BY team"""
-    q["transition_split"] = f"""WITH {ACTIONS}, x AS (SELECT *, {_ELAPSED} AS elapsed, CASE WHEN kind IN ('PERDIDA', 'CANASTA-2P', 'CANASTA-3P') THEN CASE side WHEN 'LOCAL' THEN 'VISITANTE' WHEN 'VISITANTE' THEN 'LOCAL' END WHEN kind = 'REBOTE-DEFENSIVO' THEN side END AS gain FROM act),
-        y AS (SELECT *, last_value(CASE WHEN gain IS NOT NULL THEN {{'s': gain, 't': elapsed}} END IGNORE NULLS) OVER (PARTITION BY game ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ch FROM x),
-        z AS (SELECT *, coalesce(ch.s = side AND elapsed - ch.t <= 8, FALSE) AS transition FROM y WHERE side IS NOT NULL AND (kind IN {_FG} OR kind IN ('PERDIDA', 'CANASTA-1P', 'TIRO1-FALLADO')))
-        SELECT game, side, transition, sum(p)::BIGINT AS pts, round(sum({_EVENT_POSS}), 6) AS poss, round(sum(p) / nullif(sum({_EVENT_POSS}), 0), 6) AS ppp FROM z GROUP BY ALL"""
+    q["transition_split"] = f"""WITH {POSSESSIONS}, z AS (SELECT *, coalesce(seconds_to_try <= 8, FALSE) AS transition FROM po)
+        SELECT game, side, transition, sum(pts)::BIGINT AS pts, count(*) AS poss, sum(pts) / count(*) AS ppp, count(*) / sum(count(*)) OVER (PARTITION BY game, side) AS share FROM z GROUP BY game, side, transition"""
     q["allowed_efficiency"] = f"""WITH {OPPONENTS} SELECT team, count(*) AS games, (sum(ofgm) + 0.5::DOUBLE * sum(ofg3m)) / sum(ofga) AS opp_efg_pct, sum(opts) / (2 * (sum(ofga) + 0.44::DOUBLE * sum(ofta))) AS opp_ts_pct, sum(oorb) / (sum(oorb) + sum(drb)) AS opp_orb_pct FROM o GROUP BY team"""
-    q["player_phases"] = f"""WITH {BOX}, b AS (SELECT *, date >= DATE '1996-01-01' AS late, fg2a + fg3a + 0.44::DOUBLE * fta + tov AS used FROM box WHERE seconds > 0),
-        t AS (SELECT supplier AS team, late, sum(used) AS tu FROM b GROUP BY ALL),
-        p AS (SELECT supplier AS team, player, late, count(DISTINCT date) AS gp, sum(pts) / count(DISTINCT date) AS ppg, (sum(fg2m + fg3m) + 0.5::DOUBLE * sum(fg3m)) / nullif(sum(fg2a + fg3a), 0) AS efg, sum(used) AS u FROM b GROUP BY ALL),
-        r AS (SELECT p.*, 5 * (u / tu) AS usg FROM p JOIN t USING (team, late))
-        SELECT team, player, max(gp) FILTER (NOT late) AS gp_regular, max(gp) FILTER (late) AS gp_playoff, max(ppg) FILTER (NOT late) AS pts_per_game_regular, max(ppg) FILTER (late) AS pts_per_game_playoff, max(ppg) FILTER (late) - max(ppg) FILTER (NOT late) AS pts_per_game_change,
-        max(efg) FILTER (late) - max(efg) FILTER (NOT late) AS efg_pct_change, round(max(usg) FILTER (late) - max(usg) FILTER (NOT late), 6) AS usg_share5_change FROM r GROUP BY team, player"""
+    stats = ("gp", "minutes", "min_per_game", "pts_per_game", "efg_pct", "usg_share5", "usg_scaled", "fg3_share", "ast_pct", "ast_per_fgm", "ast_tov", "tov_pct")
+    both = ", ".join(f"round(max({m}) FILTER (NOT late), 6) AS {m}_regular, round(max({m}) FILTER (late), 6) AS {m}_playoff, round(max({m}) FILTER (late) - max({m}) FILTER (NOT late), 6) AS {m}_change" for m in stats)
+    q["player_phases"] = f"""WITH {BOX}, b AS (SELECT *, date >= DATE '1996-01-01' AS late, fg2a + fg3a + 0.44::DOUBLE * fta + tov AS used, fg2m + fg3m AS fgm, fg2a + fg3a AS fga FROM box WHERE seconds > 0),
+        t AS (SELECT supplier AS team, late, sum(used) AS tu, sum(fga - orb + tov + 0.44::DOUBLE * fta) / count(DISTINCT date) AS tp, sum(fgm) AS tf FROM b GROUP BY ALL),
+        p AS (SELECT supplier AS team, player, late, count(DISTINCT date) AS gp, sum(seconds) / 60.0::DOUBLE AS minutes, sum(pts) AS pts, sum(fgm) AS fgm, sum(fga) AS fga, sum(fg3m) AS fg3m, sum(fg3a) AS fg3a, sum(ast) AS ast, sum(tov) AS tov, sum(used) AS used FROM b GROUP BY ALL),
+        r AS (SELECT p.team, player, p.late, gp, minutes, minutes / gp AS min_per_game, pts / gp AS pts_per_game, (fgm + 0.5::DOUBLE * fg3m) / nullif(fga, 0) AS efg_pct, 5 * (used / tu) AS usg_share5, used / ((minutes / 40) * tp) AS usg_scaled, fg3a / nullif(fga, 0) AS fg3_share,
+                     ast / tf AS ast_pct, ast / nullif(fgm, 0) AS ast_per_fgm, ast / nullif(tov, 0) AS ast_tov, tov / used AS tov_pct FROM p JOIN t USING (team, late))
+        SELECT team, player, {both} FROM r GROUP BY team, player"""
     q["team_pace"] = f"""WITH {OPPONENTS}, s AS (SELECT game, team, sum(seconds) AS seconds FROM box GROUP BY game, team), p AS (SELECT team, sum(fga - orb + tov + 0.44::DOUBLE * fta + ofga - oorb + otov + 0.44::DOUBLE * ofta) AS total, count(*) AS games, sum(seconds) AS seconds FROM o JOIN s USING (game, team) GROUP BY team)
         SELECT team, round(total / (2 * games), 6) AS pace, round(40 * (total / (2 * seconds / 300.0::DOUBLE)), 6) AS pace_40 FROM p"""
     q["close_record"] = f"WITH {GAMES}, {QUARTERS} SELECT team, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses FROM g WHERE game % 400 IN (SELECT game FROM e WHERE period = 3 AND abs(home_score - away_score) <= 8) GROUP BY team"
@@ -161,7 +174,7 @@ def oracle_sql() -> dict[str, str]:
         z AS (SELECT *, coalesce((x - avg(x) OVER (PARTITION BY pos)) / nullif(stddev_pop(x) OVER (PARTITION BY pos), 0), 0) AS z FROM v),
         d AS (SELECT a.pos, a.feature, a.x AS value_a, b.x AS value_b, abs(a.z - b.z) AS diff_z FROM z a JOIN z b ON a.pos = b.pos WHERE a.vec_id = 1 AND b.vec_id = 2)
         SELECT feature, value_a, value_b, round(diff_z, 6) AS diff_z, row_number() OVER (ORDER BY diff_z, pos) <= 3 AS alike, row_number() OVER (ORDER BY diff_z DESC, pos) <= 3 AS different FROM d"""
-    q["clutch_team"] = f"""WITH {ACTIONS}, x AS (SELECT * FROM act WHERE period >= 4 AND clock <= 300 AND team IS NOT NULL), b AS (SELECT game, kind, p, team, TRUE AS own FROM x UNION ALL SELECT game, kind, p, rival, FALSE FROM x),
+    q["clutch_team"] = f"""WITH {ACTIONS}, x AS (SELECT * FROM act WHERE period = 4 AND clock <= 300 AND abs(home_score - away_score) <= 5 AND team IS NOT NULL), b AS (SELECT game, kind, p, team, TRUE AS own FROM x UNION ALL SELECT game, kind, p, rival, FALSE FROM x),
         r AS (SELECT game, max(home_score) AS h, max(away_score) AS a FROM act GROUP BY game), v AS (SELECT game, 'home' AS team, h > a AS won FROM r UNION ALL SELECT game, 'away', a > h FROM r),
         t AS (SELECT team, count(DISTINCT game) AS games, coalesce(sum(p) FILTER (own), 0)::BIGINT AS pts, coalesce(sum(p) FILTER (NOT own), 0)::BIGINT AS opp_pts, sum({_EVENT_POSS}) FILTER (own) AS poss, sum({_EVENT_POSS}) FILTER (NOT own) AS opp_poss,
               count(*) FILTER (own AND kind IN {_FG}) AS fga, count(*) FILTER (own AND kind IN ('CANASTA-2P', 'CANASTA-3P')) AS fgm, count(*) FILTER (own AND kind = 'PERDIDA') AS tov, count(*) FILTER (own AND kind = 'CANASTA-3P') AS m3 FROM b GROUP BY team),
@@ -170,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
     phases = ", ".join(f"round(max({m}) FILTER (phase = '{x}'), 6) AS {m}_{x}" for m in _METRICS for x in ("regular", "playoff"))
     changes = ", ".join(f"round(max({m}) FILTER (phase = 'playoff') - max({m}) FILTER (phase = 'regular'), 6) AS {m}_change" for m in _METRICS)
     q["phase_comparison"] = f"""WITH {OPPONENTS}, x AS (SELECT *, CASE WHEN date >= CASE team WHEN 'O' THEN DATE '2000-01-01' ELSE DATE '1994-01-01' END THEN 'playoff' ELSE 'regular' END AS phase FROM o), r AS ({_REPORT.format('team, phase', 'x')}) SELECT team, {phases}, {changes} FROM r GROUP BY team"""
-    q["recent_form"] = f"WITH {OPPONENTS}, b AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY date DESC, game DESC) AS back FROM o) SELECT team, game, back, rival, won, ortg, drtg, ortg - drtg AS net_rating FROM b WHERE back <= 10"
+    q["recent_form"] = f"WITH {OPPONENTS}, b AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY date DESC, game DESC) AS back FROM o) SELECT team, game, back, date, rival, is_home, won, pts, opts AS opp_pts, efg_pct, tov, orb + drb AS reb, ortg, drtg, ortg - drtg AS net_rating FROM b WHERE back <= 10"
     extra = ("wins_h2h", "losses_h2h", "wins_last10", "losses_last10", "wins_home", "losses_home", "wins_away", "losses_away")
     q["executive_comparison"] = f"""WITH {OPPONENTS}, r AS ({_REPORT.format('team', 'o')}), b AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY date DESC, game DESC) AS back FROM o),
         w AS (SELECT team, count(*) FILTER (won) AS wins_h2h, count(*) FILTER (NOT won) AS losses_h2h, count(*) FILTER (won AND back <= 10) AS wins_last10, count(*) FILTER (NOT won AND back <= 10) AS losses_last10, CASE WHEN team = 'O' THEN count(*) FILTER (won) END AS wins_home,
@@ -180,11 +193,11 @@ def oracle_sql() -> dict[str, str]:
         t AS (SELECT supplier AS team, game, greatest(sum(fg2a + fg3a) - sum(orb) + sum(tov) + 0.44::DOUBLE * sum(fta), 1.0::DOUBLE) AS poss FROM box GROUP BY ALL),
         m AS (SELECT team, player FROM (SELECT team, player, row_number() OVER (PARTITION BY team ORDER BY sum(seconds) DESC, player) AS r FROM p GROUP BY team, player) WHERE r <= 5)
         SELECT team, game, player, round(used / nullif((seconds / 2400.0::DOUBLE) * poss, 0), 6) AS usage FROM p JOIN t USING (team, game) SEMI JOIN m USING (team, player)"""
-    q["player_report"] = f"""WITH {BOX}, dd AS (SELECT supplier AS team, count(DISTINCT date) AS days FROM (SELECT supplier, game, max(date) AS date FROM box GROUP BY ALL) GROUP BY 1), t AS (SELECT supplier AS team, sum(fg2a + fg3a + 0.44::DOUBLE * fta + tov) + count(DISTINCT game) AS tu, sum(fg2m + fg3m) AS tf FROM box GROUP BY 1), p AS (SELECT supplier AS team, player, count(DISTINCT date) AS gp, sum(seconds) / 60.0::DOUBLE AS minutes, sum(pts) AS pts,
+    q["player_report"] = f"""WITH {BOX}, dd AS (SELECT supplier AS team, count(DISTINCT date) AS days FROM (SELECT supplier, game, max(date) AS date FROM box GROUP BY ALL) GROUP BY 1), t AS (SELECT supplier AS team, sum(fg2a + fg3a + 0.44::DOUBLE * fta + tov) + count(DISTINCT game) AS tu, sum(fg2a + fg3a - orb + tov + 0.44::DOUBLE * fta) + count(DISTINCT game) AS tp, sum(fg2m + fg3m) AS tf FROM box GROUP BY 1), p AS (SELECT supplier AS team, player, count(DISTINCT date) AS gp, sum(seconds) / 60.0::DOUBLE AS minutes, sum(pts) AS pts,
         sum(fg2m + fg3m) AS fgm, sum(fg2a + fg3a) AS fga, sum(fg3m) AS fg3m, sum(fg3a) AS fg3a, sum(ast) AS ast, sum(tov) AS tov, sum(fg2a + fg3a + 0.44::DOUBLE * fta + tov) AS used FROM box WHERE seconds > 0 GROUP BY 1, 2),
         s AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY minutes DESC, player) AS rank FROM p)
         SELECT team, player, gp, pts / gp AS pts_per_game, (fgm + 0.5::DOUBLE * fg3m) / nullif(fga, 0) AS efg_pct, fg3a / nullif(fga, 0) AS fg3_share, ast / tf AS ast_pct, ast / nullif(fgm, 0) AS ast_per_fgm, ast / nullif(tov, 0) AS ast_tov, round(minutes, 6) AS minutes, round(minutes / gp, 6) AS min_per_game,
-        round(5 * (used / tu), 6) AS usg_share5, round(used / ((minutes / 40) * (tu / days)), 6) AS usg_scaled, round(tov / used, 6) AS tov_pct, rank FROM s JOIN t USING (team) JOIN dd USING (team) WHERE rank <= 8"""
+        round(5 * (used / tu), 6) AS usg_share5, round(used / ((minutes / 40) * (tp / days)), 6) AS usg_scaled, round(tov / used, 6) AS tov_pct, rank FROM s JOIN t USING (team) JOIN dd USING (team) WHERE rank <= 8"""
     q |= _models()
     return q
 

@@ -18,7 +18,7 @@ from ..operators import similarity as sm
 from ..operators import teamgame as tg
 from ..operators import winprob as wp
 from ..sources import extract, tables
-from . import more, pages, roles
+from . import extra, more, pages, roles
 
 GAME, EVENT_ORDER = ("game",), ("ts", "seq")
 
@@ -188,15 +188,12 @@ def after_turnover(spark, sf):
 
 
 def lineup_segments(spark, sf):
-    a = li.numbered(roles.actions(spark, sf), GAME, EVENT_ORDER)
-    on = li.on_court(li.segments(a, GAME), li.stints(a, GAME), GAME, size=None)
+    on = li.court_segments(roles.actions(spark, sf), GAME, size=None, order=EVENT_ORDER, timing=False)
     return on.select("game", "side", "n_from", "n_to", F.array_join("lineup", " / ").alias("lineup"))
 
 
 def lineup_facts(spark, sf):
-    a = li.timed(li.numbered(roles.actions(spark, sf), GAME, EVENT_ORDER), GAME)
-    on = li.on_court(li.segments(a, GAME), li.stints(a, GAME), GAME, size=2)
-    rated = li.lineup_ratings(li.segment_facts(a, on, GAME), ("side",), least_minutes=None)
+    rated = li.lineup_ratings(li.court_segments(roles.actions(spark, sf), GAME, size=2, order=EVENT_ORDER), ("side",), least_minutes=None)
     six = [F.round(c, 6).alias(c) for c in ("minutes", "poss", "opp_poss", "ortg", "drtg", "net", "tov_pct", "fg3_share", "ft_rate", "ast_pct", "poss_per_game")]
     return rated.select("side", F.array_join("lineup", " / ").alias("lineup"), "label", "pts", "opp_pts", "fga", "fgm", "fg3a", "fta", "tov", "ast", "games", *six)
 
@@ -335,7 +332,7 @@ def clutch_team(spark, sf):
     a = roles.actions(spark, sf)
     last = a.groupBy("game").agg(F.max("home_score").alias("h"), F.max("away_score").alias("a"))
     results = last.select("game", F.explode(F.array(F.struct(F.lit("home").alias("team"), (F.col("h") > F.col("a")).alias("won")), F.struct(F.lit("away").alias("team"), (F.col("a") > F.col("h")).alias("won")))).alias("r")).select("game", "r.*")
-    out = dc.clutch_team_report(a, (F.col("period") >= 4) & (F.col("clock") <= 300), GAME, keys=(), results=results)
+    out = dc.clutch_team_report(a, ev.clutch("team"), GAME, keys=(), results=results)
     return out.select("team", "games", "wins", "losses", "pts", "opp_pts", "fga", "fgm", "tov", "efg_pct", *(F.round(c, 6).alias(c) for c in ("poss", "opp_poss", "ortg", "drtg", "tov_pct")))
 
 
@@ -356,8 +353,8 @@ def phase_comparison(spark, sf):
 
 
 def recent_form(spark, sf):
-    rows = _factors(spark, sf).where("opp_pts is not null").withColumn("won", F.col("pts") > F.col("opp_pts"))
-    return dc.recent_form(rows, 10, keys=()).select("team", "game", "back", "rival", "won", "ortg", "drtg", "net_rating")
+    rows = _factors(spark, sf).where("opp_pts is not null").withColumns({"won": F.col("pts") > F.col("opp_pts"), "reb": F.col("orb") + F.col("drb")})
+    return dc.recent_form(rows, 10, keys=()).select("team", "game", "back", "date", "rival", "is_home", "won", "pts", "opp_pts", "efg_pct", "tov", "reb", "ortg", "drtg", "net_rating")
 
 
 def usage_per_game(spark, sf):
@@ -437,7 +434,7 @@ def stream_ingest(spark, sf):
     events = roles.table(spark, sf, "events")
     games = events.select(F.col("user_id").alias("game"), "event_id", "event_type")
     games.repartition(2).write.parquet(f"{work}/landing")
-    games.where("game % 2 = 0").write.parquet(f"{work}/target")
+    games.where("game % 2 = 0").withColumns({"run": F.lit("before"), "batch": F.lit(0).cast("long")}).write.partitionBy("run", "batch").parquet(f"{work}/target")
     from ..streaming import ingest_stream
 
     ingest_stream(spark, f"{work}/landing", games.schema, f"{work}/target", f"{work}/offsets", key=("game",), files_per_batch=1000).awaitTermination()
@@ -455,4 +452,4 @@ def _own() -> list[Callable]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _own()} | more.queries() | pages.queries()
+    return {f.__name__: f for f in _own()} | more.queries() | pages.queries() | extra.queries()

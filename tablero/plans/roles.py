@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..dims import EVENTS
+from ..staging import scratch  # noqa: F401
 
 KINDS = [e[0] for e in EVENTS]
 PERIOD_DAYS = 6
@@ -18,16 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one; where spark.checkpoint.dir is unset, as in tests on one machine, a temporary folder stands in."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/tablero-{uuid.uuid4().hex}"
-
-
 def box_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One box row per order line: game = order, team = line status, player = part; integer stats."""
     hundred = lambda c: F.round(F.col(c) * 100).cast("long")
