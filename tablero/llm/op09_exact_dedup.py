@@ -24,7 +24,8 @@ from .common import shared_dir, shuffle_partitions, staged
 #: Bytes of content that one table may hold; beyond it a task flushes (input side) or spills (bucket side).
 TABLE_BYTES = 64 << 20
 FAN_OUT = 16
-NO_ID = 2**63 - 1
+#: Stands for a null id in Python: above every id.
+NO_ID = 2**63
 
 SPACES = " \t\n\x0b\x0c\r"
 _DELETE = str.maketrans("", "", SPACES)
@@ -121,15 +122,20 @@ def grace(records: Iterable[Record], folder: str, most: int = TABLE_BYTES, depth
 def _batches(rows: Iterable[Record], schema, each: int = 512, most: int = 16 << 20) -> Iterator:
     import pyarrow as pa
 
+    def batch(held: list) -> pa.RecordBatch:
+        columns = list(zip(*held))
+        columns[3] = [None if x == NO_ID else x for x in columns[3]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema)], names=_NAMES)
+
     held, size = [], 0
     for r in rows:
         held.append(r)
         size += len(r[1])
         if len(held) >= each or size >= most:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema)], names=_NAMES)
+            yield batch(held)
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema)], names=_NAMES)
+        yield batch(held)
 
 
 _NAMES = ["digest", "content", "best_len", "best_id", "members"]
@@ -166,7 +172,9 @@ def fold_buckets(folder: str, most: int) -> Callable:
     def run(batches):
         def rows():
             for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns))
+                columns = [c.to_pylist() for c in b.columns]
+                columns[3] = [NO_ID if x is None else x for x in columns[3]]
+                yield from zip(*columns)
 
         yield from _batches(((r[0], b"", *r[2:]) for r in grace(rows(), folder, most)), _types())
 
@@ -186,7 +194,7 @@ def exact_groups(docs: DataFrame, most: int = TABLE_BYTES) -> DataFrame:
     found = dealt.mapInArrow(fold_buckets(shared_dir(spark), most), _DDL)
     return found.select(
         F.lower(F.hex("digest")).alias("text_sha256"),
-        F.when(F.col("best_id") != NO_ID, F.col("best_id")).alias("keep_id"),
+        F.col("best_id").alias("keep_id"),
         F.col("members").alias("group_size"),
     )
 
