@@ -146,7 +146,9 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, roll: int = ROLL_B
     large = rows.select("page_id", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest"), "url", "html", none("long").alias("best"))
     # html is shuffled once: each (page, payload) meets the row with its largest id inside the shard
     tagged = small.unionByName(large).mapInArrow(lambda batches: in_shards(batches, bounds), "shard long, page_id long, digest binary, url string, html string, best long")
-    dealt = tagged.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", F.col("url").asc_nulls_first())
+    # a task per shard, none by chance with several
+    shards = 1 + max((s for s, _ in bounds), default=0)
+    dealt = tagged.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", F.col("url").asc_nulls_first())
 
     def run(batches) -> Iterator:
         import pyarrow as pa
