@@ -10,7 +10,7 @@ logistic of its three highest units and its length.
 
 Defined cases: null or empty text has no unit and gets the score of texts without evidence; without toxic
 or clean training rows every score is 0; rows without a label take no part in the fit; repeated rows are scored
-each; extra columns are ignored; an empty table gives an empty result.
+each; very long texts are read whole, very long words in overlapping pieces; extra columns are ignored; an empty table gives an empty result.
 
 The fit uses at most TOXIC_ROWS and CLEAN_ROWS labelled rows, those with the smallest hashed ids.
 """
@@ -254,7 +254,7 @@ def sampled(labels: DataFrame, label: str, toxic_rows: int, clean_rows: int) ->
 
 
 def units_of(batches):
-    """Per text its different units: y, doc_id, unit."""
+    """Per text its different units, longer ones in overlapping pieces: y, doc_id, unit."""
     import pyarrow as pa
 
     for b in batches:
@@ -265,8 +265,9 @@ def units_of(batches):
                 order = np.lexsort((h, r))
                 pick = order[np.r_[True, (h[order][1:] != h[order][:-1]) | (r[order][1:] != r[order][:-1])]]
                 raw = part.tobytes()
-                units = [raw[i:j][:UNIT_BYTES] for i, j in zip(s[pick].tolist(), e[pick].tolist())]
-                rows = lo + r[pick]
+                ps, pe, unit = pieces(s[pick], e[pick])
+                units = [raw[i:j] for i, j in zip(ps.tolist(), pe.tolist())]
+                rows = lo + r[pick][unit]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(ys[rows].astype(np.int32)), pa.array(units, pa.binary())], names=["doc_id", "y", "unit"])
 
 
