@@ -88,8 +88,27 @@ def side_by_side(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "vec_id", "w", "floor").groupBy(key).applyInPandas(run, "key long, ids binary, w binary, dims long, floors binary")
 
 
-def block_search(ids: np.ndarray, w: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray, block: int = BLOCK_ROWS) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of the k best of a range for each query, above or at its floor."""
+def ball(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and radii of groups of vectors."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        centres = np.stack([p.mean(0) for p in parts])
+        return centres, np.array([np.sqrt(((p - c) ** 2).sum(1).max()) for p, c in zip(parts, centres)])
+
+
+def ball_bounds(q: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of queries with balls; the margin covers rounding."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = np.sqrt((q * q).sum(1))
+        bound = q @ centres.T + np.outer(size, radii) + 1 + 1e-9 * np.outer(size, np.sqrt((centres * centres).sum(1)) + radii)
+    return np.where(np.isnan(bound), np.inf, bound)  # values beyond the range of squares bound nothing
+
+
+def block_search(ids: np.ndarray, w: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray, block: int = BLOCK_ROWS, scored: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(query, vector, score) of the k best of a range for each query, above or at its floor.
+
+    A block's bound is the lesser of the sum of its terms' extremes and of its ball's (centre and radius). ``scored`` takes the number
+    of blocks that each query scored.
+    """
     d = max(w.shape[1], q.shape[1])
     w = np.pad(w, ((0, 0), (0, d - w.shape[1])))
     q = np.pad(q, ((0, 0), (0, d - q.shape[1])))
@@ -101,12 +120,15 @@ def block_search(ids: np.ndarray, w: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     low = np.stack([w[i : i + block].min(0) for i in edges])
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     bounds = up @ high.T + down @ low.T
+    if w.dtype != object:
+        bounds = np.minimum(bounds, ball_bounds(q, *ball([w[i : i + block] for i in edges])))
     out = []
     for j in range(len(q)):
-        best_s, best_i, least = [], [], floor[j]
+        best_s, best_i, least, seen = [], [], floor[j], 0
         for b in np.argsort(-bounds[j], kind="stable"):
             if bounds[j, b] < least:
                 break
+            seen += 1
             at = slice(edges[b], edges[b] + block)
             scores, own = w[at] @ q[j], ids[at]
             keep = (scores >= least) & (own != q_ids[j])
@@ -116,6 +138,8 @@ def block_search(ids: np.ndarray, w: np.ndarray, q_ids: np.ndarray, q: np.ndarra
                 best_s, best_i = [-s for s, _ in best], [i for _, i in best]
                 least = max(least, best_s[-1])
         out += [(int(q_ids[j]), int(i), int(s)) for s, i in zip(best_s, best_i)]
+        if scored is not None:
+            scored.append(seen)
     return out
 
 
@@ -139,7 +163,7 @@ def search(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def extremes(ranges: DataFrame, each: int) -> DataFrame:
-    """block, keys, dims, high, low: the largest and smallest weights of each range, ``each`` ranges to a row."""
+    """block, keys, dims, high, low, mid, radii: the largest and smallest weights and the ball of each range, ``each`` ranges to a row."""
 
     def one(batches) -> Iterator:
         import pyarrow as pa
@@ -148,38 +172,44 @@ def extremes(ranges: DataFrame, each: int) -> DataFrame:
             out = []
             for key, ids, w, dims in zip(*(c.to_pylist() for c in b.columns)):
                 m = np.frombuffer(w, np.float64).reshape(len(ids) // 8, dims)
-                out.append((key // each, key, m.max(0).tobytes(), m.min(0).tobytes()))
+                mid, radius = ball([m])
+                out.append((key // each, key, m.max(0).tobytes(), m.min(0).tobytes(), mid[0].tobytes(), float(radius[0])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "key", "high", "low"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["block", "key", "high", "low", "mid", "radius"])
 
     def side(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("key")
-        high, low = gather(list(pdf["high"])), gather(list(pdf["low"]))
-        return pd.DataFrame([(pdf["block"].iloc[0], pdf["key"].to_numpy(np.int64).tobytes(), high.shape[1], high.tobytes(), low.tobytes())], columns=["block", "keys", "width", "high", "low"])
+        high, low, mid = (gather(list(pdf[c])) for c in ("high", "low", "mid"))
+        radii = pdf["radius"].to_numpy(np.float64).tobytes()
+        return pd.DataFrame([(pdf["block"].iloc[0], pdf["key"].to_numpy(np.int64).tobytes(), high.shape[1], high.tobytes(), low.tobytes(), mid.tobytes(), radii)], columns=["block", "keys", "width", "high", "low", "mid", "radii"])
 
-    rows = ranges.select("key", "ids", "w", "dims").mapInArrow(one, "block long, key long, high binary, low binary")
-    return rows.groupBy("block").applyInPandas(side, "block long, keys binary, width long, high binary, low binary")
+    rows = ranges.select("key", "ids", "w", "dims").mapInArrow(one, "block long, key long, high binary, low binary, mid binary, radius double")
+    return rows.groupBy("block").applyInPandas(side, "block long, keys binary, width long, high binary, low binary, mid binary, radii binary")
 
 
 def promising(chunks: DataFrame, ends: DataFrame) -> DataFrame:
     """to, ids, w, dims, floors: for each range the queries of a chunk whose bound there reaches their floor."""
     blocks = ends.count()
     spread = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(blocks - 1, 0)).cast("long"))))
-    met_ends = spread.join(ends, "block").select("ids", "w", "dims", "floors", "keys", "width", "high", "low")
+    met_ends = spread.join(ends, "block").select("ids", "w", "dims", "floors", "keys", "width", "high", "low", "mid", "radii")
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
         for b in batches:
-            for ids, w, dims, floors, keys, width, high, low in zip(*(c.to_pylist() for c in b.columns)):
+            for ids, w, dims, floors, keys, width, high, low, mid, radii in zip(*(c.to_pylist() for c in b.columns)):
                 ids, floors, keys = np.frombuffer(ids, np.int64), np.frombuffer(floors, np.float64), np.frombuffer(keys, np.int64)
                 q = np.frombuffer(w, np.float64).reshape(len(ids), dims)
-                high, low = (np.frombuffer(x, np.float64).reshape(len(keys), width) for x in (high, low))
+                high, low, mid = (np.frombuffer(x, np.float64).reshape(len(keys), width) for x in (high, low, mid))
                 d = min(dims, width)  # weights beyond the shorter side are zero there
                 bound = np.maximum(q[:, :d], 0) @ high[:, :d].T + np.minimum(q[:, :d], 0) @ low[:, :d].T
+                full = np.zeros((len(q), max(dims, width)))
+                full[:, :dims] = q
+                bound = np.minimum(bound, ball_bounds(full, np.pad(mid, ((0, 0), (0, full.shape[1] - width))), np.frombuffer(radii, np.float64)))
                 reach = bound + 1 + 1e-9 * np.abs(bound) >= floors[:, None]
                 out = [(int(keys[k]), ids[on].tobytes(), q[on].tobytes(), dims, floors[on].tobytes()) for k in range(len(keys)) if (on := reach[:, k]).any()]
                 if out:
