@@ -40,7 +40,7 @@ NUMBERED = (1 << 18) - 1
 FILTER_BITS = 1 << 25
 BUCKET_TOKENS = 2_000_000
 BLOCK = 1_000_000
-PORTION = 4_000_000
+PORTION = 2_000_000
 #: Sampled suffixes per block of words, and sampled blocks at most: for the borders of ranges only.
 SAMPLED = 256
 SAMPLED_BLOCKS = 512
