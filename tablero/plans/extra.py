@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from ..operators import neighbours as nb
 from ..operators import possessions as po
 from ..operators import scan
 from ..operators import similarity as sm
+from ..operators import state as ts
 from ..operators import winprob as wp
+from ..sources import facts
 from . import more, roles
 from .more_sql import _FG, _Q, FEATURE_ROWS, POSSESSIONS
-from .oracle import ACTIONS, GAMES
+from .oracle import ACTIONS, BOX, GAMES
 
 GAME, EVENT_ORDER = ("game",), ("ts", "seq")
 
@@ -91,10 +95,42 @@ def winprob_analysis(spark, sf):
     return model.transform(rows).select("game", "team", F.round("prob", 6).alias("prob"))
 
 
+def nearest_pruned(spark, sf):
+    e = roles.table(spark, sf, "embeddings")
+    v = e.select(F.col("vec_id").alias("player"), F.col("label").alias("season"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return nb.nearest_all(v, 3, keys=("season",), block=64).select("season", "player", "match", F.round("score", 6).alias("score"), "rank")
+
+
+def streamed_state(spark, sf):
+    """Games arrive in three parts; the state kept by the stream scores like that of the whole history."""
+    from ..streaming import current_state, keep_state
+
+    work = roles.scratch(spark)
+    g = roles.games(spark, sf).select("team", "game", "date", F.col("won").cast("int").alias("win"), F.when(F.col("game") % 4 > 0, F.col("price")).alias("price"))
+    for low, high in (("1900-01-01", "1994-06-30"), ("1994-07-01", "1999-01-31"), ("1999-02-01", "2100-01-01")):
+        g.where(F.col("date").between(F.lit(low).cast("date"), F.lit(high).cast("date"))).write.mode("append").parquet(f"{work}/landing")
+        keep_state(spark, f"{work}/landing", g.schema, f"{work}/state", f"{work}/offsets", ["price"], keys=(), files_per_batch=100_000)
+    state = current_state(spark, f"{work}/state")
+    out = ts.scoring_state(state, ["price"], keys=())
+    return out.select("team", "last_date", *(F.round(c, 4).alias(c) for c in ("win_last5", "price_ewm", "league_win_last5", "league_price_ewm")))
+
+
+def colocated_result(spark, sf):
+    """Box rows with the result of their game, from two bucketed fact tables: neither the join nor the sums shuffle."""
+    work, name = roles.scratch(spark), f"tablero_{uuid.uuid4().hex}"
+    where = {"league": F.lit("all"), "season": F.floor(F.col("game") / 1000)}
+    box = facts.write_bucketed(roles.box_rows(spark, sf).withColumns(where), f"{name}_box", f"{work}/box", buckets=8)
+    games = facts.write_bucketed(roles.games(spark, sf).withColumns(where).select(*facts.GAME_KEY, "won"), f"{name}_games", f"{work}/games", buckets=8)
+    out = facts.game_totals(facts.with_result(box, games), ["pts", "ast"], by=("team", "won")).select("game", "team", "won", "rows", "pts", "ast")
+    out._jdf.queryExecution().optimizedPlan()  # the relations are known from here on
+    facts.forget(spark, f"{name}_box", f"{name}_games")
+    return out
+
+
 def _own() -> list[Callable[[SparkSession, str], DataFrame]]:
     return [
         possession_events, possession_table, possession_count, assisted_baskets, scan_ewm_form, scan_rolling_mean, scan_score_fill, scan_running_points, scan_percentiles, fixture_fallback,
-        similar_two_leagues, winprob_analysis,
+        similar_two_leagues, winprob_analysis, nearest_pruned, streamed_state, colocated_result,
     ]
 
 
@@ -130,6 +166,11 @@ def oracle_sql() -> dict[str, str]:
     q["similar_two_leagues"] = f"""WITH v AS (SELECT CASE WHEN vec_id % 3 = 0 THEN 'first' ELSE 'second' END AS league, vec_id, [{z}] AS e FROM embeddings WINDOW l AS (PARTITION BY vec_id % 3 = 0)),
         s AS (SELECT a.league, a.vec_id AS player, b.vec_id AS "match", list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) AS score FROM v a JOIN v b ON a.league = b.league AND a.vec_id <> b.vec_id)
         SELECT league, player, "match", round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY score DESC, "match") AS rank FROM s) WHERE rank <= 3"""
+    q["nearest_pruned"] = windows["similar_topk"]
+    q["streamed_state"] = f"""WITH {GAMES}, b AS (SELECT *, CASE WHEN game % 4 > 0 THEN price END AS p, row_number() OVER (PARTITION BY team ORDER BY date DESC, game DESC) AS back FROM g),
+        l AS (SELECT avg(won::INT) AS lw, avg(p) AS lp FROM b)
+        SELECT team, max(date) AS last_date, round(avg(won::INT) FILTER (back <= 5), 4) AS win_last5, round(sum(p * {w}) / sum({w}) FILTER (p IS NOT NULL), 4) AS price_ewm, round(any_value(lw), 4) AS league_win_last5, round(any_value(lp), 4) AS league_price_ewm FROM b, l GROUP BY team"""
+    q["colocated_result"] = f"""WITH {BOX}, {GAMES} SELECT box.game, box.team, won, count(*) AS rows, sum(box.pts)::BIGINT AS pts, sum(ast)::BIGINT AS ast FROM box LEFT JOIN g ON g.game = box.game GROUP BY ALL"""
     of = {"home": "ft.home", "rest_diff": "ft.rest_diff", "net_rating_ewm": "net_rating_ewm", "efg_pct_ewm": "efg_pct_ewm", "tov_pct_ewm": "tov_pct_ewm"}
     of |= {"delta_efg_pct": "f.efg_pct - f.oefg", "delta_tov_pct": "f.tov_pct - f.otp", "delta_ftr": "f.ftr - f.oftr", "delta_orb_pct": "f.orb_pct - f.oorbp", "delta_net_rating": "(f.ortg - f.drtg) - (f.oortg - f.odrtg)"}
     margin = " + ".join([f"{ANALYSIS_MODEL.intercept!r}::DOUBLE", *(f"({c!r}::DOUBLE) * (coalesce({of[f]}, {ANALYSIS_SCALE[f][0]!r}::DOUBLE) - {ANALYSIS_SCALE[f][0]!r}::DOUBLE) / {ANALYSIS_SCALE[f][1]!r}::DOUBLE" for f, c in zip(wp.ANALYSIS, ANALYSIS_MODEL.coefficients))])

@@ -69,13 +69,21 @@ def read_shots(spark: SparkSession, path: str, league: str | None = None) -> Dat
     return typed(read_csv(spark, path), SHOT_COLUMNS, league)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or any match of a pattern) is there, in the store that Spark reads it from."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+
+
 FIXTURE = ("fecha", "hora", "local", "visitante", "estadio")
 
 
 def read_fixtures(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Fixture files of any column order, by name: date, time, home, away, stadium; files without rows give none."""
+    """Fixture files of any column order, by name: date, time, home, away, stadium; missing files and files without rows give none."""
     out = None
     for path in paths:
+        if not exists(spark, path):
+            continue
         one = read_csv(spark, path)
         one = one.select(*((F.col(c) if c in one.columns else F.lit(None).cast("string")).alias(c) for c in FIXTURE))
         out = one if out is None else out.unionByName(one)

@@ -12,7 +12,7 @@ def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one; where spark.checkpoint.dir is unset, as in tests on one machine, a temporary folder stands in."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/tablero-{uuid.uuid4().hex}"
