@@ -32,11 +32,13 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share (spark.checkpoint.dir).
 
-    Only where the setting is absent, as in tests on one machine, a temporary folder stands in.
+    Only where the setting is absent and the session is local, as in tests on one machine, a temporary folder stands in.
     """
     bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _alone:
             _alone.append(f"file://{tempfile.mkdtemp(prefix='tablero-')}")
         base = _alone[0]

@@ -38,6 +38,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 without its floor: lines and sentences of any number of words."""
+    return substring_dedup(table(spark, sf_dir, "documents"), min_words=1)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -83,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of the subpackage; the pipeline counts as part of it."""
     own = (op1_packing, op2_warc, op3_ngram_join, op4_substring_dedup, op5_toxicity, op6_quality, op7_topk, op8_pitman_yor, op9_exact_dedup, op10_mixing, op11_repair, op12_collocations, op13_secrets)
-    return {f.__name__: f for f in (*own, pipeline)}
+    return {f.__name__: f for f in (*own, pipeline, every_line_dedup)}
 
 
 OP2_SQL = r"""
@@ -139,6 +144,9 @@ SELECT doc_id, CASE WHEN spans IS NULL THEN text ELSE rest END AS text, coalesce
 FROM documents LEFT JOIN o USING (doc_id)
 """
 
+#: The same with a floor of one word.
+EVERY_LINE_SQL = OP4_SQL.replace("stop - a.i >= 4 AND b.i < a.i + 4", "stop - a.i >= 1 AND b.i < a.i + 1").replace("stop - i >= 4", "stop - i >= 1")
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
@@ -297,4 +305,4 @@ FROM d LEFT JOIN a USING (id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_topk": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL, "op11_repair": OP11_SQL, "op12_collocations": OP12_SQL, "op13_secrets": OP13_SQL}
+    return {"op2_warc": OP2_SQL, "op4_substring_dedup": OP4_SQL, "every_line_dedup": EVERY_LINE_SQL, "op7_topk": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL, "op11_repair": OP11_SQL, "op12_collocations": OP12_SQL, "op13_secrets": OP13_SQL}
