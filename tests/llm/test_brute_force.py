@@ -119,3 +119,36 @@ def test_exact_dedup_knows_the_largest_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["kept"])) for r in op9.exact_dedup(docs).collect())
     assert got == sorted(map(str, [(top, None, 2, False), (None, None, 2, True), (None, None, 1, True), (top - 1, top - 1, 2, True), (None, top - 1, 2, False)]))
+
+
+def test_language_model_scores_from_a_known_seating(spark):
+    """With every pair and word once in training there is one seating only; scores follow from its tables."""
+    import zlib
+
+    from tablero.llm import op08_pitman_yor as op8
+
+    trained = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1)
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    words = [f"w{k}" for k in range(8)]
+    texts = {trained: " ".join(words), held[0]: "w3 W4 zz w1", held[1]: "", held[2]: "qq"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in op8.score(rows).collect()}
+    # nine tokens, words, pairs and tables (the end is one of each); counts of counts put both discounts at their upper end
+    d, n = 0.95, 9
+    tokens = [*words, None]
+    pairs = set(zip(["start", *words], tokens))
+    parent = lambda w: ((1 - d if w in tokens else 0) + (1 + d * n) / (n + 1)) / (1 + n)
+
+    def chance(u, w):
+        if u not in ("start", *words):
+            return parent(w)
+        return ((1 - d if (u, w) in pairs else 0) + (1 + d) * parent(w)) / 2
+
+    assert abs(sum(chance("w3", w) for w in [*tokens, "unknown"]) - 1) < 1e-12
+    for i, text in texts.items():
+        own = [*text.lower().split(), None]
+        want = sum(math.log10(chance(u, w)) for u, w in zip(["start", *own], own))
+        base = sum(math.log10(((w in tokens) + 0.5) / (n + 0.5 * (n + 1))) for w in own)
+        r = got[i]
+        assert abs(r["score"] - want) < 1e-5 and abs(r["base_score"] - base) < 1e-6, i
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(own), sum(w in tokens for w in own), n, i != trained)
