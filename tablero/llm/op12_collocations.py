@@ -20,12 +20,14 @@ columns are ignored. Arithmetic is decimal with 38 digits.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged
-from .textops import LOWER, byte_buffer, hash_of, mix, slices, word_hashes
+from .textops import LOWER, byte_buffer, mix, slices, word_hashes
 
 #: The characters that end a piece, and those that end only a word.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -70,6 +72,11 @@ def portions(data: np.ndarray, offsets: np.ndarray):
             at = stop
 
 
+def seed_of(lang: str) -> int:
+    """64 bits that stand for a language: of its exact bytes (``EN`` is not ``en``), and of no kin to the hashes of words (``es`` in ``de`` is not ``de`` in ``es``)."""
+    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
+
+
 def words_of(lang, text):
     """Per portion: hashes of (language, word), whether a word begins a piece, starts, ends, bytes and row of every word."""
     import pyarrow as pa
@@ -78,7 +85,7 @@ def words_of(lang, text):
     if isinstance(lang, pa.ChunkedArray):
         lang = lang.combine_chunks()
     named = pc.dictionary_encode(lang.fill_null("und"))
-    seeds = np.array([hash_of(x) for x in named.dictionary.to_pylist()], np.uint64)
+    seeds = np.array([seed_of(x) for x in named.dictionary.to_pylist()], np.uint64)
     of_row = named.indices.to_numpy(zero_copy_only=False)
     for part, offs, first in portions(*byte_buffer(text)):
         inside, edge = IS_WORD[part], np.zeros(len(part) + 1, bool)

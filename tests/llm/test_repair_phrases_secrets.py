@@ -224,6 +224,14 @@ def test_collocations_against_counting(spark, phrase_rows, monkeypatch, numbered
     assert {r[0] for r in got} >= {"en", "de", "und"}
 
 
+@pytest.mark.parametrize("numbered", [200, 2])
+def test_collocations_of_languages_named_like_words(spark, numbered):
+    rows = [(g, f"{a} {b} {a} x{g}y {b} {a}, {b} {a} {b}") for g in ("es", "de", "DE", "und", None) for a in ("es", "de", "und") for b in ("de", "es") for _ in range(5)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = sorted(tuple(r) for r in op12.collocations(docs, least=12, first=40, numbered=numbered).collect())
+    assert got == phrases_by_counting(rows, 12, 40)
+
+
 def test_multikey_quicksort_counts_prefixes(monkeypatch):
     monkeypatch.setattr(op12, "SMALL", 8)
     rng = np.random.default_rng(0)
