@@ -226,3 +226,22 @@ def test_lineup_minutes_span_the_boundaries(spark):
     facts = li.segment_facts(a.withColumn("team", F.lit("t")), on, ("game",))
     got = {tuple(r["lineup"]): (r["seconds"], r["poss"]) for r in facts.groupBy("lineup").agg(F.sum("seconds").alias("seconds"), F.sum("poss").alias("poss")).collect()}
     assert got == {("A",): (500, 0.0), ("B",): (700, 0.0)}
+
+
+def test_latest_team_of_a_player_with_two_teams_in_the_last_game(spark):
+    rows = [("x", 1, team, "2024-05-01", 600 * 60, 1) for team in (7, 9, 8)] + [("x", 1, 3, "2024-04-01", 60, 1)]
+    box = spark.createDataFrame(rows, "player string, game long, team long, date string, seconds long, pts long").withColumn("date", F.col("date").cast("date"))
+    for order in ("team", F.desc("team")):
+        got = sm.player_seasons(box.orderBy(order).coalesce(1), keys=(), stats=("pts",))
+        assert [r["team"] for r in got.collect()] == [9]
+
+
+def test_profile_ranks_of_equal_teams_do_not_hang_on_row_order(spark):
+    from tablero.operators import reports as rp
+
+    seasons = spark.createDataFrame([(f"p{t}", t, 100.0, 3, 50, 40, 10, 20, 8, 5) for t in range(12)], "player string, team long, minutes double, games long, pts long, fga long, fta long, tov long, ast long, trb long")
+    same = {m: F.lit(1.0) for m in rp.PROFILE if m not in ("pts_per_game", "usg_scaled")}
+    poss = [0.44 * k + 0.1 for k in range(40)]
+    games = spark.createDataFrame([(t, g, poss[(g * (2 * t + 1)) % 40]) for t in range(12) for g in range(40) if len({(g * (2 * t + 1)) % 40 for g in range(40)}) == 40], "team long, game long, poss double").coalesce(1)
+    out = rp.player_profile(seasons.withColumns(same), games, keys=()).where("usg_scaled is not null").collect()
+    assert len({r["usg_scaled"] for r in out}) == 1 and len({r["usg_scaled_pctile"] for r in out}) == 1 and len(out) > 3
