@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablero.operators import events as ev
@@ -257,3 +258,19 @@ def test_ingest_replaces_a_repeated_batch(spark, tmp_path):
     (tmp_path / "offsets-done").rmdir()
     ingest_stream(spark, f"{base}/landing", rows.schema, f"{base}/target", f"{base}/offsets", files_per_batch=1)
     assert read() == list(range(6))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_form_and_previous_over_ranges_equal_windows(spark, parts):
+    rng = random.Random(5)
+    rows = [(t, i // 3, i, None if (i // 300) % 2 and i % 7 or rng.random() < 0.1 else rng.random(), rng.randrange(2) if rng.random() < 0.9 else None) for t, n in ((None, 40), (1, 3000), (2, 1), (3, 260), (4, 700)) for i in range(n)]
+    games = spark.createDataFrame(rows, "team long, day int, game long, x double, win int").withColumns({"date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("day")), "y": F.col("x") * F.col("game")}).drop("day")
+    order = ["date", "game"]
+    want = hi.rolling_before(hi.ewm_before(games, ["team"], order, ["x", "y"]), ["team"], order, "win", 5).withColumn("was", F.lag("win").over(Window.partitionBy("team").orderBy(*order)))
+    got = scan.previous(scan.form_before(games, ["team"], order, ["x", "y"], "win", parts=parts), ["team"], order, "win", "was", parts=parts)
+    keyed = lambda df: {(r["team"], r["game"]): r for r in df.collect()}
+    a, b = keyed(want), keyed(got)
+    assert a.keys() == b.keys()
+    for k, r in a.items():
+        assert b[k]["was"] == r["was"] and b[k]["x"] == r["x"]
+        assert all(b[k][c] == pytest.approx(r[c], rel=1e-9) if r[c] is not None else b[k][c] is None for c in ("x_ewm", "y_ewm", "win_last5")), k
