@@ -245,3 +245,17 @@ def test_profile_ranks_of_equal_teams_do_not_hang_on_row_order(spark):
     games = spark.createDataFrame([(t, g, poss[(g * (2 * t + 1)) % 40]) for t in range(12) for g in range(40) if len({(g * (2 * t + 1)) % 40 for g in range(40)}) == 40], "team long, game long, poss double").coalesce(1)
     out = rp.player_profile(seasons.withColumns(same), games, keys=()).where("usg_scaled is not null").collect()
     assert len({r["usg_scaled"] for r in out}) == 1 and len({r["usg_scaled_pctile"] for r in out}) == 1 and len(out) > 3
+
+
+def test_similar_all_sends_a_row_to_few_blocks_and_ties_go_to_the_smaller_id(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(sm, "GRID", 3)
+    monkeypatch.setattr(sm, "TILE", 7)
+    rng = np.random.default_rng(1)
+    rows = [("a", i, [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(60)]
+    got = sm.similar_all(spark.createDataFrame(rows, "season string, player long, vector array<double>"), 4, ("season",), block=4).collect()
+    v = np.array([r[2] for r in rows])
+    norm = np.linalg.norm(v, axis=1)
+    s = np.divide(v @ v.T, np.outer(norm, norm), out=np.zeros((60, 60)), where=np.outer(norm, norm) > 0)
+    assert sorted((r["player"], r["rank"], r["match"]) for r in got) == [(i, k + 1, j) for i in range(60) for k, j in enumerate(sorted((j for j in range(60) if j != i), key=lambda j: (-s[i, j], j))[:4])]
