@@ -105,3 +105,26 @@ def test_merge_aligns_types_and_blocklist(spark):
     blocked = spark.createDataFrame([("n", "c")], "league string, game string")
     assert [r["game"] for r in tables.without_blocked(games, blocked).collect()] == ["a"]
     assert tables.new_rows(new, old).agg(F.count("*")).first()[0] == 1
+
+
+def test_plain_pages_are_read_as_by_the_parser():
+    import random
+
+    from tablero.sources import extract
+
+    rng, pieces = random.Random(3), ["<div class='a b'>", "</div>", "<p>", "</p>", "<b id=\"x&amp;y\" class=\"\">", "</b>", "text ", "&amp;&lt", " <br> ", "<TR>", "</tr>", "<td hidden>", "</td>", "<a href=\"/partido/1/a-vs-b\">", "</a>", "\n", "é", "<hr >"]
+    odd = ["<!-- x -->", "<script>var a = '<p>';</script>", "a < b", "<br/>", "<p/>", "<a href=x>", "<title>T</title>", "<a b='>'>", "<"]
+    for i in range(3000):
+        html = "".join(rng.choice(pieces) if rng.random() < 0.98 or i % 2 else rng.choice(odd) for _ in range(rng.randrange(40)))
+        assert extract._elements(html) == extract._parsed(html), html
+
+
+def test_rows_of_many_pages_come_in_small_frames(monkeypatch):
+    import pandas as pd
+
+    from tablero.sources import extract
+
+    monkeypatch.setattr(extract, "MOST_ROWS", 10)
+    pages = pd.DataFrame({"league": ["l"] * 50, "game_id": [str(i) for i in range(50)], "html": ["x"] * 50})
+    got = list(extract._cells([pages], lambda html: [(1,), (2,), (3,)], ["n"]))
+    assert max(map(len, got)) <= 12 and sum(map(len, got)) == 150
