@@ -12,6 +12,15 @@ GAME_KEY = ("league", "season", "game")
 BUCKETS = 64
 
 
+#: Rows of a bucket, on the mean.
+BUCKET_ROWS = 250_000
+
+
+def bucket_number(rows: int, least: int = 8) -> int:
+    """Buckets for facts whose largest table has ``rows`` rows: a bucket's task reads about as much whatever their size."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, buckets: int = BUCKETS, key: Sequence[str] = GAME_KEY, mode: str = "overwrite") -> DataFrame:
     """Save df as an external table with a file per bucket, sorted by ``key``; returns it as read back.
 

@@ -131,3 +131,9 @@ def test_public_names(spark, games):
     fixture = spark.createDataFrame([("l", "t1", "t3"), ("l", "t1", "nobody")], "league string, home string, away string").withColumn("date", F.lit("2024-06-01").cast("date"))
     out = api.predict_upcoming_games(fixture, games, model, ["form"], ("league",)).collect()
     assert len(out) == 1 and out[0]["prob_local"] + out[0]["prob_visit"] == pytest.approx(1)
+
+
+def test_buckets_follow_the_rows():
+    from tablero.sources import facts
+
+    assert facts.bucket_number(0) == 8 and all(rows / facts.bucket_number(rows) <= facts.BUCKET_ROWS for rows in (10**6, 10**8, 216 * 10**6))
