@@ -13,7 +13,9 @@ the same order, so that a family of near copies tests about the same few pairs a
 sketches allow no other pair the bucket is finished; the postings of the others are kept. Verified links are joined to components, and
 of the kept buckets only those of several components are read again, in blocks: pairs across components that sketches allow and
 no test has covered, a few per member at first and then all that are left. So no link between different components is
-missed and component ids are exact, while a family of very many near copies costs tests in proportion to its postings.
+missed and component ids are exact, while a family of very many near copies costs tests in proportion to its postings. In these
+rounds the few members that are left bring a finer sketch, which is close to the symmetric difference itself, so that hardly a pair
+below the threshold becomes a row. Links found late only join the components known by then.
 
 Defined cases: null or empty text, or text without words, has the empty set and links with nothing; fewer words than a
 shingle make one shingle; sets too small to differ and still reach the threshold link only with equal sets; very long
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, staged
-from .graph import components
+from .graph import components, merged
 from .textops import hashed_rows, mix, shingle_hashes
 
 WIDTH, PERCENT = 5, 80
@@ -41,6 +43,8 @@ ORDERS = 3
 FILTER_BITS = 24
 #: Bits of the least and the largest parity sketch.
 LEAST_CELLS, MOST_CELLS = 6, 11
+#: Cells per token that may differ and bits of the largest in the sketch that travels with postings, and in the fine one of the rounds across components.
+COARSE, FINE = (5, MOST_CELLS), (40, 13)
 #: Members of a bucket that meet in one piece; buckets of up to SMALL members are compared whole at once.
 BLOCK, SMALL = 1024, 64
 #: Partners of a member in the first round across components.
@@ -125,16 +129,16 @@ def least_size(percent: int) -> int:
     return -(-percent // (100 - percent))
 
 
-def parity(tokens: np.ndarray, percent: int) -> bytes:
-    """Parity of the number of tokens in each cell, as bits; about five cells for each token that may differ at the threshold."""
-    bits = (len(tokens) * 5 * (100 - percent) // 100).bit_length()
-    cells_ = 1 << min(max(bits, LEAST_CELLS), MOST_CELLS)
+def parity(tokens: np.ndarray, percent: int, each: int = COARSE[0], most: int = COARSE[1]) -> bytes:
+    """Parity of the number of tokens in each cell, as bits; about ``each`` cells for each token that may differ at the threshold."""
+    bits = (len(tokens) * each * (100 - percent) // 100).bit_length()
+    cells_ = 1 << min(max(bits, LEAST_CELLS), most)
     at = (mix(tokens ^ np.uint64(0x7F4A7C15)) & np.uint64(cells_ - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=cells_) & 1).astype(np.uint8)).tobytes()
 
 
 def prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """sig, n, parity sketch and the prefix under the first order of every set; copies within a task count once."""
+    """sig, n, both parity sketches and the prefix under the first order of every set; copies within a task count once."""
     least = least_size(percent)
 
     def run(batches) -> Iterator:
@@ -142,7 +146,7 @@ def prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
 
         seen: set[int] = set()
         for b in batches:
-            tokens, sigs, sizes, bits = [], [], [], []
+            tokens, sigs, sizes, bits, fine = [], [], [], [], []
             for _, s in text_sets(b.column(0), width):
                 if len(s) < least:
                     continue
@@ -154,10 +158,11 @@ def prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
                 sigs.append(name)
                 sizes.append(len(s))
                 bits.append(parity(s, percent))
+                fine.append(parity(s, percent, *FINE))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["sig", "n", "parity", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(fine, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["sig", "n", "parity", "fine", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "sig long, n int, parity binary, tokens array<long>")
+    return docs.select("text").mapInArrow(run, "sig long, n int, parity binary, fine binary, tokens array<long>")
 
 
 def shared_postings(found: DataFrame) -> DataFrame:
@@ -460,18 +465,18 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
             sets = more if sets is None else sets.unionByName(more)
         return staged(verified(sharing(pairs, sets), sets, percent).distinct())
 
-    links = links_of(tested)
+    joined = components(links_of(tested)).withColumnRenamed("node", "sig")
     for most in (PARTNERS, None):
-        label = components(links).withColumnRenamed("node", "sig")
-        named = kept.join(label, "sig", "left").select("token", "n", "sig", "parity", F.coalesce("component", "sig").alias("component"))
+        named = kept.join(joined, "sig", "left").select("token", "n", "sig", F.coalesce("component", "sig").alias("component"))
         mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-        blocks = staged(blocked(named.join(mixed, "token").select("token", "n", "sig", "parity", "component")))
+        members = staged(named.join(mixed, "token").select("token", "n", "sig", "component"))
+        fine = found.select("sig", F.col("fine").alias("parity")).join(members.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
+        blocks = staged(blocked(members.join(fine, "sig").select("token", "n", "sig", "parity", "component")))
         rest = staged(cross_pairs(blocks, percent, most).distinct().join(tested, ["a", "b"], "left_anti"))
         if rest.isEmpty():
             break
-        links, tested = links.unionByName(links_of(rest)), tested.unionByName(rest)
+        joined, tested = merged(joined.withColumnRenamed("sig", "node"), links_of(rest)).withColumnRenamed("node", "sig"), tested.unionByName(rest)
 
-    joined = components(links).withColumnRenamed("node", "sig")
     named_sets = reps.join(joined, "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("component"))
     smallest = named_sets.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = staged(named_sets.join(smallest, "component").select("sig", "component_id"))
