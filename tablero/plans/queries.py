@@ -220,9 +220,9 @@ def jersey_map(spark, sf):
 def shot_cell_parse(spark, sf):
     rows = roles.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.least(F.col("l_linenumber"), F.col("l_quantity").cast("int")).alias("m"), F.col("l_quantity").cast("int").alias("a"))
     cell = F.concat(F.bround(100.0 * F.col("m") / F.col("a")).cast("int"), F.col("m"), F.lit("/"), F.col("a"))
-    got = fn.split_pct_cell(cell)
-    plain = fn.split_made_att(F.concat("m", F.lit("/"), "a"))
-    return rows.select("id", got["made"].alias("made"), got["att"].alias("att"), plain["made"].alias("plain_made"), plain["pct"].alias("plain_pct")).groupBy("made", "att", "plain_made", "plain_pct").agg(F.count("*").alias("n"))
+    cells = rows.select(cell.alias("cell"), F.concat("m", F.lit("/"), "a").alias("plain")).groupBy("cell", "plain").agg(F.count("*").alias("_n"))
+    got, plain = fn.split_pct_cell("cell"), fn.split_made_att("plain")  # equal cells are read once
+    return cells.select(got["made"].alias("made"), got["att"].alias("att"), plain["made"].alias("plain_made"), plain["pct"].alias("plain_pct"), "_n").groupBy("made", "att", "plain_made", "plain_pct").agg(F.sum("_n").alias("n"))
 
 
 def name_split(spark, sf):
