@@ -85,8 +85,12 @@ def usage_per_game(players: DataFrame, team_possessions: DataFrame, keys: Sequen
 
 
 def player_phases(players: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Player averages of the regular phase and the playoffs side by side, with differences (rows carry ``phase``)."""
-    return _by_phase(player_report(players, (*keys, "team", "phase")), (*keys, "team", "player"))
+    """Player averages of the regular phase and the playoffs side by side, with differences (rows carry ``phase``).
+
+    Rows are dealt once by team and phase: players' and teams' sums, their distinct dates and the join of both need no further shuffle.
+    """
+    group = (*keys, "team", "phase")
+    return _by_phase(player_report(players.repartition(*group), group), (*keys, "team", "player"))
 
 
 def points_by_origin(events: DataFrame, shots: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ("num", "seq"), rules: str = "report") -> DataFrame:
