@@ -47,6 +47,8 @@ LEAST_CELLS, MOST_CELLS = 6, 11
 COARSE, FINE = (5, MOST_CELLS), (40, 13)
 #: Members of a bucket that meet in one piece; buckets of up to SMALL members are compared whole at once.
 BLOCK, SMALL = 1024, 64
+#: Bytes of sketches of pairs that are compared at once.
+PAIR_BYTES = 4 << 20
 #: Partners of a member in the first round across components.
 PARTNERS = 4
 
@@ -222,16 +224,22 @@ class Members:
             out[k] = np.bitwise_xor.reduce(m.reshape(len(k), size // width, width), axis=1)
         return out
 
-    def possible(self, i: np.ndarray, j: np.ndarray, percent: int, other: "Members | None" = None, most: int = 50_000) -> np.ndarray:
-        """Marks of the pairs (member i, member j of ``other``) whose sizes and sketches allow the threshold."""
+    def folded(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sketches of the distinct members of ``at`` as words, and the place of each of ``at`` in them."""
+        members, place = np.unique(at, return_inverse=True)
+        return self.rows(members, width).view(np.uint64), place
+
+    def possible(self, i: np.ndarray, j: np.ndarray, percent: int, other: "Members | None" = None) -> np.ndarray:
+        """Marks of the pairs (member i, member j of ``other``) whose sizes and sketches allow the threshold; at most PAIR_BYTES of sketches are compared at once."""
         other = other or self
         keep = near_sizes(self.n[i], other.n[j], percent)
         width = np.minimum(self.width[i], other.width[j])
         for w in np.unique(width[keep]):
             at = np.flatnonzero(keep & (width == w))
-            for lo in range(0, len(at), most):
-                k = at[lo : lo + most]
-                apart = np.bitwise_count(self.rows(i[k], w) ^ other.rows(j[k], w)).sum(1, dtype=np.int64)
+            (own, a), (others, b) = self.folded(i[at], w), other.folded(j[at], w)
+            for lo in range(0, len(at), step := max(1, PAIR_BYTES // int(w))):
+                k = at[lo : lo + step]
+                apart = np.bitwise_count(own[a[lo : lo + step]] ^ others[b[lo : lo + step]]).sum(1, dtype=np.int64)
                 keep[k] = apart * (100 + percent) <= (self.n[i[k]] + other.n[j[k]]) * (100 - percent)
         return keep
 

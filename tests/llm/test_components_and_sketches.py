@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -53,3 +54,16 @@ def test_fine_sketches_leave_hardly_a_pair_below_the_threshold():
         near = np.array([len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j)])
         assert m.possible(i, j, 80)[near].all()
     assert passed["fine"] < 0.02 < passed["coarse"]
+
+
+def test_comparing_fine_sketches_takes_little_memory():
+    """Half a million pairs of two blocks with sketches of 1 KB: a worker holds a few MB of them, not all indices of their bytes."""
+    rng = np.random.default_rng(3)
+    width, size = 1 << op3.FINE[1] >> 3, op3.BLOCK
+    m = op3.Members(np.full(size, 2000), np.arange(size), rng.integers(0, 256, size * width).astype(np.uint8), np.arange(size + 1) * width)
+    i, j = np.triu_indices(size, 1)
+    tracemalloc.start()
+    m.possible(i, j, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
