@@ -47,8 +47,8 @@ LEAST_CELLS, MOST_CELLS = 6, 11
 COARSE, FINE = (5, MOST_CELLS), (40, 13)
 #: Members of a bucket that meet in one piece; buckets of up to SMALL members are compared whole at once.
 BLOCK, SMALL = 1024, 64
-#: Bytes of sketches of pairs that are compared at once.
-PAIR_BYTES = 4 << 20
+#: Bytes of sketches of pairs, and members of a block, that are compared at once with another block.
+PAIR_BYTES, SLAB = 4 << 20, 128
 #: Partners of a member in the first round across components.
 PARTNERS = 4
 
@@ -167,34 +167,41 @@ def prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) ->
     return docs.select("text").mapInArrow(run, "sig long, n int, parity binary, fine binary, tokens array<long>")
 
 
-def shared_postings(found: DataFrame) -> DataFrame:
-    """token, sig of the tokens that at least two different sets hold (and those at the ends of a partition)."""
+def shared_postings(found: DataFrame, percent: int) -> DataFrame:
+    """token, n, sig of the tokens that at least two different sets of near sizes hold (and those at the ends of a partition).
+
+    In order of size a posting has a partner of near size exactly if a neighbour is one.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        held, before = np.zeros((2, 0), np.int64), None  # the last posting, whose successor is not known yet; the token before it
+        held, before = np.zeros((3, 0), np.int64), None  # the last posting, whose successor is not known yet; the one before it
+
+        def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return (a[0] == b[0]) & near_sizes(a[1], b[1], percent)
 
-        def kept(rows: np.ndarray, next_token) -> pa.RecordBatch:
+        def kept(rows: np.ndarray, after: np.ndarray | None) -> pa.RecordBatch:
             nonlocal before
-            same = rows[0, 1:] == rows[0, :-1]
-            keep = np.r_[before is None or before == rows[0, 0], same] | np.r_[same, next_token is None or next_token == rows[0, -1]]
-            before = rows[0, -1]
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows], names=["token", "sig"])
+            same = meet(rows[:, 1:], rows[:, :-1])
+            keep = np.r_[before is None or meet(before, rows[:, 0]), same] | np.r_[same, after is None or meet(after, rows[:, -1])]
+            before = rows[:, -1]
+            token, n, sig = rows[:, keep]
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n.astype(np.int32)), pa.array(sig)], names=["token", "n", "sig"])
 
         for b in batches:
-            rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])], 1)
+            rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])], 1)
             if rows.shape[1]:
                 rows = rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)]]  # copies are neighbours
                 held = rows[:, -1:]
                 if rows.shape[1] > 1:
-                    yield kept(rows[:, :-1], held[0, 0])
+                    yield kept(rows[:, :-1], held[:, 0])
         if held.shape[1]:
             yield kept(held, None)
 
     parts = shuffle_partitions(found.sparkSession)
-    postings = found.select(F.explode("tokens").alias("token"), "sig")
-    return postings.repartitionByRange(parts, "token", "sig").sortWithinPartitions("token", "sig").mapInArrow(run, "token long, sig long")
+    postings = found.select(F.explode("tokens").alias("token"), "n", "sig")
+    return postings.repartitionByRange(parts, "token", "n", "sig").sortWithinPartitions("token", "n", "sig").mapInArrow(run, "token long, n int, sig long")
 
 
 def near_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -328,16 +335,16 @@ def first_pairs(sketched: DataFrame, percent: int) -> DataFrame:
     return sketched.mapInArrow(run, _BOTH)
 
 
-_BLOCKS = "token long, block long, low long, high long, least int, most int, n binary, sig binary, component binary, parity binary, offsets binary"
+_BLOCKS = "token long, block long, alone boolean, low long, high long, least int, most int, n binary, sig binary, component binary, parity binary, offsets binary"
 
 
 def blocked(rows: DataFrame) -> DataFrame:
-    """token, n, sig, parity, component, dealt by ranges, packed to blocks of at most BLOCK members of one token."""
+    """token, n, sig, parity, component, dealt by ranges, packed to blocks of at most BLOCK members of one token; ``alone``: surely its token's only block."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("token", pa.int64()), ("block", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), *((c, pa.binary()) for c in ("n", "sig", "component", "parity", "offsets"))])
+        schema = pa.schema([("token", pa.int64()), ("block", pa.int64()), ("alone", pa.bool_()), ("low", pa.int64()), ("high", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), *((c, pa.binary()) for c in ("n", "sig", "component", "parity", "offsets"))])
         block = TaskContext.get().partitionId() << 40
         for b in batches:
             token, component = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 4))
@@ -348,7 +355,8 @@ def blocked(rows: DataFrame) -> DataFrame:
             out = []
             for i, j in zip(starts, np.r_[starts[1:], len(token)]):
                 n, c, lo = m.n[i:j], component[i:j], m.offsets[i]
-                out.append((token[i], block, c.min(), c.max(), n.min(), n.max(), n.tobytes(), m.sig[i:j].tobytes(), c.tobytes(), m.data[lo : m.offsets[j]].tobytes(), (m.offsets[i : j + 1] - lo).tobytes()))
+                alone = 0 < i and j < len(token) and token[i - 1] != token[i] and token[j] != token[i]
+                out.append((token[i], block, alone, c.min(), c.max(), n.min(), n.max(), n.tobytes(), m.sig[i:j].tobytes(), c.tobytes(), m.data[lo : m.offsets[j]].tobytes(), (m.offsets[i : j + 1] - lo).tobytes()))
                 block += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -360,57 +368,86 @@ def blocked(rows: DataFrame) -> DataFrame:
 def cross_pairs(blocks: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs of sets of different components in the blocks of one token that sizes and sketches allow, at most ``most`` a member.
 
-    Blocks meet by number first, those of one and the same component or of far sizes not at all; then their contents are joined.
+    A block meets itself where it lies. Of tokens with several blocks these meet by number first, those of one and the same component or of
+    far sizes not at all; then their contents are joined.
     """
-    near = blocks.select("token", "block", "low", "high", "least", "most")
+    columns = ("n", "sig", "component", "parity", "offsets")
+    own = blocks.where("low < high").select(*columns)
+    several = blocks.where("NOT alone")
+    near = several.select("token", "block", "low", "high", "least", "most")
     a, b = near.alias("a"), near.alias("b")
     apart = ~((F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low")))
     sizes = (F.col("a.most") * 100 >= F.col("b.least") * percent) & (F.col("b.most") * 100 >= F.col("a.least") * percent)
-    meet = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.block") <= F.col("b.block")) & apart & sizes).select(F.col("a.block").alias("block"), F.col("b.block").alias("other"))
-    columns = ("n", "sig", "component", "parity", "offsets")
-    left = blocks.select("block", *(F.col(c).alias(f"{c}_a") for c in columns))
-    right = blocks.select(F.col("block").alias("other"), *(F.col(c).alias(f"{c}_b") for c in columns))
-    rows = meet.join(left, "block").join(right, "other").select("block", "other", *(f"{c}_{s}" for s in "ab" for c in columns))
+    meet = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.block") < F.col("b.block")) & apart & sizes).select(F.col("a.block").alias("block"), F.col("b.block").alias("other"))
+    left = several.select("block", *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = several.select(F.col("block").alias("other"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    rows = meet.join(left, "block").join(right, "other").select(*(f"{c}_{s}" for s in "ab" for c in columns))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             found = []
-            for block, other, *raw in zip(*(c.to_pylist() for c in batch.columns)):
-                na, sa, ca, pa_, oa, nb, sb, cb, pb, ob = (np.frombuffer(x, np.uint8 if k % 5 == 3 else np.int64) for k, x in enumerate(raw))
-                i, j = np.nonzero(ca[:, None] != cb[None, :])
-                if block == other:
-                    i, j = i[i < j], j[i < j]
+            for row in range(batch.num_rows):  # the content of a block, or of two
+                na, sa, ca, pa_, oa, *second = (np.frombuffer(c[row].as_buffer(), np.uint8 if k % 5 == 3 else np.int64) for k, c in enumerate(batch.columns))
+                nb, sb, cb, pb, ob = second or (na, sa, ca, pa_, oa)
                 m, o = Members(na, sa, pa_, oa), Members(nb, sb, pb, ob)
-                ok = m.possible(i, j, percent, o)
-                i, j = i[ok], j[ok]
-                if most is not None and len(i):
-                    i, j = i[(few := np.arange(len(i)) - np.searchsorted(i, i) < most)], j[few]
-                if len(i):
-                    found.append(pair_batch(sa[i], sb[j]))
+                for lo in range(0, len(sa), SLAB):
+                    i, j = np.nonzero(ca[lo : lo + SLAB, None] != cb[None, :])
+                    i += lo
+                    if not second:
+                        i, j = i[i < j], j[i < j]
+                    ok = m.possible(i, j, percent, o)
+                    i, j = i[ok], j[ok]
+                    if most is not None and len(i):
+                        i, j = i[(few := np.arange(len(i)) - np.searchsorted(i, i) < most)], j[few]
+                    if len(i):
+                        found.append(pair_batch(sa[i], sb[j]))
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return own.mapInArrow(run, "a long, b long").unionByName(rows.mapInArrow(run, "a long, b long"))
 
 
 HEADS = [f"head{k}" for k in range(1, ORDERS)]
 
 
-def whole_sets(docs: DataFrame, reps: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """sig, n, tokens, prefixes under the other orders (32 bits a token, as they only filter) of the documents named in ``reps`` (and of a few more).
+def _bit(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
 
-    A bitmap of 2**FILTER_BITS hashed ids (2 MB, whatever the number of documents) keeps most others from being read into sets.
-    """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    marked = reps.select(bit("rep").alias("bit")).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
+
+def bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """2**FILTER_BITS bits (2 MB), of which those of the column's hashed values are set."""
+    marked = rows.select(_bit(column).alias("bit")).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
     table = np.zeros(1 << FILTER_BITS, np.uint8)
     for r in marked.collect():  # bit k of bucket b, counted from 1, stands for (b - 1) * 32768 + k
         bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
         table[(r["no"] - 1) * 32768 :][: len(bits)] = bits
-    packed = np.packbits(table)
+    return np.packbits(table)
+
+
+def fine_sketches(found: DataFrame, members: DataFrame) -> DataFrame:
+    """sig, fine sketch of the sets of ``members``, each once; a bitmap keeps most others out of the shuffle."""
+    packed = bitmap(members, "sig")
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        wanted = np.unpackbits(packed).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(wanted[b.column(2).to_numpy(zero_copy_only=False)])).select(["sig", "parity"])
+
+    few = found.select("sig", F.col("fine").alias("parity"), _bit("sig").alias("bit")).mapInArrow(run, "sig long, parity binary")
+    return few.join(members.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
+
+
+def whole_sets(docs: DataFrame, reps: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
+    """sig, n, tokens, prefixes under the other orders (32 bits a token, as they only filter) of the documents named in ``reps`` (and of a few more).
+
+    A bitmap of their hashed ids keeps most others from being read into sets.
+    """
+    packed = bitmap(reps, "rep")
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -423,7 +460,7 @@ def whole_sets(docs: DataFrame, reps: DataFrame, classes: np.ndarray, width: int
                 heads = [pa.array([(ordered(s, classes, k, prefix_length(len(s), percent)) >> np.uint64(33)).astype(np.int32) for s in sets], pa.list_(pa.int32())) for k in range(1, ORDERS)]
                 yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), *heads], names=["sig", "n", "tokens", *HEADS])
 
-    return docs.select("text", bit("doc_id").alias("bit")).mapInArrow(run, "sig long, n long, tokens array<long>, " + ", ".join(f"{h} array<int>" for h in HEADS))
+    return docs.select("text", _bit("doc_id").alias("bit")).mapInArrow(run, "sig long, n long, tokens array<long>, " + ", ".join(f"{h} array<int>" for h in HEADS))
 
 
 def _sides(sets: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -454,31 +491,29 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     classes = rarity(rows.where("block is not null").select("block", "counts"))
     reps = staged(texts.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")))
     found = staged(prefixes(docs, classes, width, percent))
-    shared = staged(shared_postings(found))
+    shared = staged(shared_postings(found, percent))
 
     # sketches travel with the postings, so that hopeless pairs never become rows
-    sketched = shared.join(found.select("sig", "n", "parity").dropDuplicates(["sig"]), "sig").select("token", "n", "sig", "parity")
+    sketched = shared.join(found.select("sig", "parity").dropDuplicates(["sig"]), "sig").select("token", "n", "sig", "parity")
     dealt = sketched.repartitionByRange(parts, "token", "n", "sig").sortWithinPartitions("token", "n", "sig")
     both = staged(first_pairs(dealt, percent))
     kept = both.where("token is not null").select("token", "n", "sig", "parity")
     tested = staged(both.where("a is not null").select("a", "b").distinct())
-    sets = None
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        nonlocal sets
+        # only the sets of these pairs are read and shuffled, not those of rounds before
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        unread = staged((ends if sets is None else ends.join(sets.select("sig"), "sig", "left_anti")).join(reps, "sig"))
-        if sets is None or not unread.isEmpty():
-            more = staged(whole_sets(docs, unread, classes, width, percent))
-            sets = more if sets is None else sets.unionByName(more)
+        sets = staged(whole_sets(docs, ends.join(reps, "sig"), classes, width, percent))
         return staged(verified(sharing(pairs, sets), sets, percent).distinct())
 
     joined = components(links_of(tested)).withColumnRenamed("node", "sig")
+    fine = None
     for most in (PARTNERS, None):
         named = kept.join(joined, "sig", "left").select("token", "n", "sig", F.coalesce("component", "sig").alias("component"))
         mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
         members = staged(named.join(mixed, "token").select("token", "n", "sig", "component"))
-        fine = found.select("sig", F.col("fine").alias("parity")).join(members.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
+        if fine is None:  # buckets of several components only get fewer, so the second round needs no other sets
+            fine = staged(fine_sketches(found, members))
         blocks = staged(blocked(members.join(fine, "sig").select("token", "n", "sig", "parity", "component")))
         rest = staged(cross_pairs(blocks, percent, most).distinct().join(tested, ["a", "b"], "left_anti"))
         if rest.isEmpty():

@@ -5,6 +5,7 @@ import numpy as np
 
 from tablero.llm import graph
 from tablero.llm import op03_ngram_join as op3
+from tablero.llm.common import staged
 
 
 def plain(links):
@@ -67,3 +68,36 @@ def test_comparing_fine_sketches_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6
+
+
+def test_postings_without_a_partner_of_near_size_go(spark):
+    """A token that sets of far sizes hold is no candidate; neighbours of near size stay whatever lies around them."""
+    rows = [(1, 100, [7, 8]), (2, 1000, [7]), (3, 5000, [7, 9]), (4, 4600, [7]), (5, 20, [8]), (5, 20, [8]), (6, 19, [8]), (7, 5000, [10])]
+    found = spark.createDataFrame(rows, "sig long, n int, tokens array<long>").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        got = sorted((r["token"], r["n"], r["sig"]) for r in op3.shared_postings(found, 90).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ends = {(7, 100, 1), (10, 5000, 7)}  # of the partition
+    assert set(got) - ends == {(7, 4600, 4), (7, 5000, 3), (8, 19, 6), (8, 20, 5)} and len(got) == len(set(got))
+
+
+def test_pairs_across_components_of_one_block_and_of_several(spark):
+    """Tokens of one block, which meets itself in place, and of several blocks, which are joined, give the pairs of a plain comparison."""
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 1 << 62, 60, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.r_[base[k % 3], rng.integers(0, 1 << 62, k % 5, dtype=np.uint64)]) for k in range(60)]
+    rows = [(t, len(sets[k]), k, op3.parity(sets[k], 90, *op3.FINE), k % 4) for t, holders in ((1, range(60)), (2, range(7, 12)), (3, range(0, 60, 9)), (4, [5, 6])) for k in holders]
+    members = spark.createDataFrame(rows, "token long, n int, sig long, parity binary, component long")
+    blocks = staged(op3.blocked(members))  # read several times: numbers of blocks must stay
+    assert blocks.where("alone").count() and blocks.where("NOT alone").groupBy("token").count().where("count > 1").count()
+    got = {(r["a"], r["b"]) for r in op3.cross_pairs(blocks, 90, None).collect()}
+    want = set()
+    for a in range(60):
+        for b in range(a + 1, 60):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if a % 4 != b % 4 and 100 * common >= 90 * (len(sets[a]) + len(sets[b]) - common):
+                want.add((a, b))
+    assert want and want <= got and len(got) < 60 * 59 / 2
