@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tablero.llm import op01_packing as op1
 from tablero.llm import op03_ngram_join as op3
@@ -221,6 +222,17 @@ def test_pitman_yor_base_and_gain(nasty, nasty_rows, empty):
     assert op8.score(empty).count() == 0 and not [t for t in empty.sparkSession.catalog.listTables() if t.name.startswith("tablero_")]
 
 
+def test_pitman_yor_sweeps_go_on_after_the_start(spark, monkeypatch):
+    """Three sweeps of all chains follow the start; without chains or sweeps there is no model."""
+    settled, appended = [], op8.appended
+    monkeypatch.setattr(op8, "appended", lambda *a: settled.append(1) or appended(*a))
+    assert op8.score(spark.createDataFrame([(i, "a b a b a c") for i in range(8)], "doc_id long, text string")).count() == 8
+    assert len(settled) == op8.SWEEPS >= 4
+    for none in ({"sweeps": 0}, {"chains": 0}):
+        with pytest.raises(ValueError):
+            op8.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), **none)
+
+
 def test_pitman_yor_sums_to_one(spark):
     """The probabilities of all known words and the unknown one after one context."""
     train = [(i, "a b a c a b d b", None) for i in range(40)]
