@@ -211,7 +211,8 @@ def cleaned(text: str, cuts: list[tuple[int, int]]) -> tuple[str, list[tuple[int
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """One row per document: doc_id, text without its repeated units, spans ('start-end' in the original text, by blanks), removed_units,
     removed_words, longest (words of the longest removed span), predicted (1 if that is a passage, of ``passage_words`` words or more)."""
-    place = F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")
+    # start and length: a long's hash is the xor of its halves, which of start and end is the same for most units
+    place = F.shiftleft(F.col("start").cast("long"), 32) + F.col("end") - F.col("start")
     removed = removed_units(docs, min_words).select("doc_id", "name", place.alias("place"))
     cuts = removed.groupBy("doc_id", "name").agg(F.collect_set("place").alias("cuts")).withColumnsRenamed({"doc_id": "own", "name": "own_name"})
     rows = named(docs).join(cuts, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("name") == F.col("own_name")), "left").select("doc_id", "text", "cuts")
@@ -231,7 +232,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, passage_words:
             for lo, hi in slices(offsets):
                 one, end = np.searchsorted(owner, (lo, hi))
                 place = places[one:end]
-                left, offs, row, i, j, words = cut(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], owner[one:end] - lo, place >> 32, place & 0xFFFFFFFF)
+                left, offs, row, i, j, words = cut(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], owner[one:end] - lo, place >> 32, (place >> 32) + (place & 0xFFFFFFFF))
                 spans = pc.binary_join_element_wise(*(pa.array(x).cast(pa.string()) for x in (i, j)), "-")
                 by_row = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(hi - lo + 1)), pa.int32()), spans)
                 total, longest = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
