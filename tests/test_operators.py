@@ -259,3 +259,36 @@ def test_similar_all_sends_a_row_to_few_blocks_and_ties_go_to_the_smaller_id(spa
     norm = np.linalg.norm(v, axis=1)
     s = np.divide(v @ v.T, np.outer(norm, norm), out=np.zeros((60, 60)), where=np.outer(norm, norm) > 0)
     assert sorted((r["player"], r["rank"], r["match"]) for r in got) == [(i, k + 1, j) for i in range(60) for k, j in enumerate(sorted((j for j in range(60) if j != i), key=lambda j: (-s[i, j], j))[:4])]
+
+
+def test_similar_all_compares_few_of_all_pairs_and_equal_players_once(spark, monkeypatch):
+    import numpy as np
+
+    from tablero.operators import regions
+
+    monkeypatch.setattr(sm, "GRID", 5)
+    monkeypatch.setattr(regions, "LEAF", 16)
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(800, 3)).round(2)  # few dimensions, as player seasons have
+    wide = rng.normal(size=(120, 12))
+    each = [("a", i, points[i % 800].tolist()) for i in range(2000)] + [("b", 5000 + i, wide[i].tolist()) for i in range(120)] + [("a", 9001, [0.0] * 3), ("b", 9002, [0.0] * 12), ("c", 1, [1.0, 2.0])]
+    got = sm.similar_all(spark.createDataFrame(each, "season string, player long, vector array<double>"), 4, ("season",), block=100).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault((r["season"], r["player"]), []).append((r["match"], r["score"]))
+    for season in "ab":
+        ids = [i for s, i, _ in each if s == season]
+        v = np.array([x for s, _, x in each if s == season])
+        square, s = sum(x * x for x in v.T), sum(np.outer(x, x) for x in v.T)
+        length = np.outer(np.sqrt(square), np.sqrt(square))
+        s = np.divide(s, length, out=np.zeros_like(s), where=length > 0)
+        for k, i in enumerate(ids):
+            want = sorted(((ids[j], s[k, j]) for j in range(len(ids)) if j != k), key=lambda x: (-x[1], x[0]))[:4]
+            assert found[season, i] == want
+    assert ("c", 1) not in found
+    # the work: columns that rows are scored against
+    v = regions.Vectors(rng.normal(size=(4000, 3)))
+    scored = []
+    monkeypatch.setattr(np, "nonzero", lambda x, real=np.nonzero: (scored.append(x.size), real(x))[1])
+    regions.search(v, np.full(4000, -np.inf), v, 5, 1024)
+    assert sum(scored) < 0.2 * 4000**2
