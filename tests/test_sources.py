@@ -128,3 +128,35 @@ def test_rows_of_many_pages_come_in_small_frames(monkeypatch):
     pages = pd.DataFrame({"league": ["l"] * 50, "game_id": [str(i) for i in range(50)], "html": ["x"] * 50})
     got = list(extract._cells([pages], lambda html: [(1,), (2,), (3,)], ["n"]))
     assert max(map(len, got)) <= 12 and sum(map(len, got)) == 150
+
+
+def test_plain_rows_of_a_box_page_are_read_at_once(monkeypatch):
+    from tablero.sources import extract
+
+    row = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in cells) + "</tr>"
+    players = "".join(row("td", [f"*{k}", f" Parte{k}, P ", "12:30", *range(15)]) for k in range(40))
+    box = lambda team, rows: f'<h4>{team}</h4><div>Entrenador: X</div><div class="table-responsive"><table>{rows}</table></div>'
+    pages = [
+        box("EQUIPO (O)", players + row("th", ["TOTALES", "200:00", *range(15)])) + box("EQUIPO (F)", row("th", ["A"]) + players),
+        box("UNO", "<tr><td>a</td><th>Total</th><td></td></tr><tr><td> b </td></tr>") + box("DOS", "<tbody>" + players + "</tbody>"),
+        box("UNO", "<tr>\n<td>a</td></tr>" + row("td", ["x &amp; y", "<b>z</b>", "5 > 3"]) + row("td", ["q"])),
+        "<table>" + row("td", ["EQUIPO"]) + "<tr><td><table>" + row("td", [1, 2]) + "</table></td></tr></table><table>" + row("th", ["TOTAL", 3]) + "</table>",
+        "<h4>UNO</h4><tr><td>EQUIPO DOS</td></tr><table>" + row("td", ["a"]) + "</table><table>" + row("td", ["b"]),
+        "<table>" + row("td", ["TOTALES12"]) + "</table><table>" + row("td", ["b"]) + "</table>",
+        "<table><tr>" + row("td", ["a"]) + "</tr></table>",
+        "<script>x</script>" + box("UNO", players),
+    ]
+    got = [list(extract.stats_rows(p)) for p in pages]
+    assert len(extract._elements(pages[0], rows=True)) < 100 < len(extract._elements(pages[0]))
+    real = extract._elements
+    monkeypatch.setattr(extract, "_elements", lambda html, rows=False: real(html))
+    assert got == [list(extract.stats_rows(p)) for p in pages] and sum(map(len, got)) > 160
+    monkeypatch.setattr(extract, "_elements", lambda html, rows=False: extract._parsed(html))
+    assert got == [list(extract.stats_rows(p)) for p in pages]
+
+
+def test_generated_methods_stay_within_what_the_jvm_compiles(spark):
+    from tablero import session
+
+    session.compiled_methods(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
