@@ -152,3 +152,51 @@ def test_language_model_scores_from_a_known_seating(spark):
         r = got[i]
         assert abs(r["score"] - want) < 1e-5 and abs(r["base_score"] - base) < 1e-6, i
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(own), sum(w in tokens for w in own), n, i != trained)
+
+
+def test_tables_are_found_in_few_probes(monkeypatch):
+    from tablero.llm import op08_pitman_yor as op8
+
+    rng = np.random.default_rng(5)
+    n = 3000
+    c, fresh, slope = rng.integers(200, 200_000, n), rng.random(n) * 2 + 1e-4, rng.random(n) * 0.3
+    probed, real = [], op8.log_rise
+    monkeypatch.setattr(op8, "log_rise", lambda lo, hi, base: (probed.append(len(lo)), real(lo, hi, base))[1])
+    got = op8.seated(c, fresh, slope, 0.6, np.random.default_rng(9))
+    assert sum(probed) / 2 < 8 * (len(got.at) + n)  # two a probe; steps and halves alone took over twenty
+    # the same draws, seated customer by customer
+    dishes, places, draws = [], [], np.random.default_rng(9)
+    k, t = np.arange(n), np.ones(n, np.int64)
+    for seats in range(1, op8.EARLY):
+        a = fresh + slope * t
+        opened = np.flatnonzero(draws.random(n) * (a + seats - 0.6 * t) < a)
+        t[opened] += 1
+        dishes.append(opened)
+        places.append(np.full(len(opened), seats))
+    i = np.full(n, op8.EARLY)
+    u = np.log(draws.random(n))
+    for dish in range(200):
+        at = np.arange(i[dish], c[dish])
+        a, held = fresh[dish] + slope[dish] * t[dish], 0.6 * t[dish]
+        gone = np.cumsum(np.log(at - held) - np.log(at + a - held)) < u[dish]
+        mine = np.sort(got.at[(got.dish == dish) & (got.at >= op8.EARLY)])
+        assert (mine[0] == at[np.argmax(gone)]) if gone.any() else not len(mine)
+    early = sorted(zip(np.concatenate(dishes), np.concatenate(places)))
+    assert early == sorted((d, p) for d, p in zip(got.dish, got.at) if p < op8.EARLY)
+
+
+def test_pairs_are_ordered_as_one_number_or_as_two():
+    from tablero.llm import op08_pitman_yor as op8
+
+    rng = np.random.default_rng(2)
+    rows = np.sort(rng.integers(0, 500, 5000)).astype(np.int32)
+    held = rng.random(500) < 0.2
+    u, w = rng.integers(0, 90, 5000), rng.integers(0, 90, 5000)
+    (key, at), (wide, far) = op8.sorted_pairs(u, w, held, rows, 90), op8.sorted_pairs(u, w, held, rows, 1 << 30)
+    want = sorted(zip(u.tolist(), w.tolist(), held[rows].tolist(), rows.tolist()))
+    assert [((k >> 26), (k >> 1) & ((1 << 25) - 1), bool(k & 1), d) for k, d in zip(key.tolist(), at.tolist())] == want
+    assert (key == wide).all() and (at == far).all() and at.dtype == rows.dtype
+    for x in (rng.integers(0, 9, 50), rng.integers(0, 1 << 40, 50), np.zeros(0, np.int64), np.array([7, 7], np.uint8)):
+        for a, b in zip(op8.numbered(x), np.unique(x, return_inverse=True)):
+            assert a.tolist() == b.tolist()
+        assert op8.distinct(x).tolist() == np.unique(x).tolist()
